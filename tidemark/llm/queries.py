@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.components import groups, splits
 from tidemark.llm.nearest import nearest_time_join
 from tidemark.plans.cut import read
 
@@ -24,7 +25,18 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_time_join(left, right, 600_000_000).select(F.col("left_id").alias("reaction_id"), F.col("right_id").alias("record_id")).distinct()
 
 
-QUERIES = {"p5_found": p5_found}
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows tied to at least one other row by event or author, with the key of their group."""
+    return groups(read(spark, sf_dir, "production_rows"))
+
+
+def p6_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's split, in the proportions of the earlier run, no tied rows in two splits."""
+    s = read(spark, sf_dir, "stage17_summary").agg(F.sum("train"), F.sum("validation"), F.sum("test")).first()
+    return splits(read(spark, sf_dir, "production_rows"), {"train": float(s[0] or 1), "validation": float(s[1] or 0), "test": float(s[2] or 0)})
+
+
+QUERIES = {"p5_found": p5_found, "p6_found": p6_found, "p6_splits": p6_splits}
 
 SQL = {
     "p5_found": """
