@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import groups, splits
+from tidemark.llm.leaks import leaked_spans, without_leaks
 from tidemark.llm.nearest import nearest_time_join
+from tidemark.llm.packing import containers
 from tidemark.plans.cut import read
 
 
@@ -36,7 +38,25 @@ def p6_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits(read(spark, sf_dir, "production_rows"), {"train": float(s[0] or 1), "validation": float(s[1] or 0), "test": float(s[2] or 0)})
 
 
-QUERIES = {"p5_found": p5_found, "p6_found": p6_found, "p6_splits": p6_splits}
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of 2,048 tokens of every text or piece of a text."""
+    return containers(read(spark, sf_dir, "documents"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and evaluation item of which at least 12 consecutive words stand in the document."""
+    return leaked_spans(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+def p8_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without the leaked passages."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return without_leaks(docs, leaked_spans(docs, read(spark, sf_dir, "eval_items")))
+
+
+QUERIES = {
+    "p5_found": p5_found, "p6_found": p6_found, "p6_splits": p6_splits, "p7_containers": p7_containers, "p8_found": p8_found, "p8_cleaned": p8_cleaned,
+}
 
 SQL = {
     "p5_found": """
@@ -47,4 +67,11 @@ SQL = {
         c AS (SELECT r.reaction_id, e.record_id, abs(e.t - r.t) AS d FROM r JOIN e ON r.a = e.a AND e.t BETWEEN r.t - 600000000 AND r.t + 600000000)
         SELECT reaction_id, record_id FROM c QUALIFY row_number() OVER (PARTITION BY reaction_id ORDER BY d, record_id) = 1
     """,
+    "p8_found": """
+        WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
+        e AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items),
+        dg AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 11)) AS i FROM d)),
+        eg AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - 11)) AS i FROM e))
+        SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)
+    """,
 }
