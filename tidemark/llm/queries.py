@@ -9,9 +9,21 @@ from tidemark.llm.components import groups, splits
 from tidemark.llm.leaks import leaked_spans, without_leaks
 from tidemark.llm.nearest import nearest_time_join
 from tidemark.llm.packing import containers
+from tidemark.llm.repeats import repeated_lines, without_lines
 from tidemark.plans.cut import read
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every occurrence of a line found in at least 8 records of its source."""
+    return repeated_lines(read(spark, sf_dir, "primary_source_events"))
+
+
+def p4_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record's body without those lines."""
+    records = read(spark, sf_dir, "primary_source_events").select("record_id", "source", "body")
+    return without_lines(records, repeated_lines(records)).select("record_id", "body")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each market reaction with the announcement of its asset published closest to the reaction's start, at most 10 minutes away."""
     reactions = read(spark, sf_dir, "stage16c_market_reactions")
@@ -55,6 +67,7 @@ def p8_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p4_found": p4_found, "p4_cleaned": p4_cleaned,
     "p5_found": p5_found, "p6_found": p6_found, "p6_splits": p6_splits, "p7_containers": p7_containers, "p8_found": p8_found, "p8_cleaned": p8_cleaned,
 }
 
@@ -74,4 +87,11 @@ SQL = {
         eg AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - 11)) AS i FROM e))
         SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)
     """,
+    "p4_found": """
+        WITH l AS (SELECT record_id, source, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS line_no
+                   FROM primary_source_events WHERE body IS NOT NULL),
+        k AS (SELECT record_id, source, line_no, regexp_replace(lower(line), '[^\\p{L}]', '', 'g') AS key FROM l),
+        f AS (SELECT source, key FROM k WHERE key <> '' GROUP BY source, key HAVING count(DISTINCT record_id) >= 8)
+        SELECT DISTINCT record_id, line_no FROM k JOIN f ON k.key = f.key AND k.source IS NOT DISTINCT FROM f.source
+    """,
 }
