@@ -10,9 +10,21 @@ from tidemark.llm.leaks import leaked_spans, without_leaks
 from tidemark.llm.nearest import nearest_time_join
 from tidemark.llm.packing import containers
 from tidemark.llm.repeats import repeated_lines, without_lines
+from tidemark.llm.wrappers import boilerplate
 from tidemark.plans.cut import read
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every non-blank line of a record's body that isn't the article's own text."""
+    return boilerplate(read(spark, sf_dir, "primary_source_events"))
+
+
+def p2_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record's body without those lines."""
+    records = read(spark, sf_dir, "primary_source_events").select("record_id", "source", "title", "author", "body")
+    return without_lines(records, boilerplate(records)).select("record_id", "body")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every occurrence of a line found in at least 8 records of its source."""
     return repeated_lines(read(spark, sf_dir, "primary_source_events"))
@@ -67,6 +79,7 @@ def p8_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found, "p2_content": p2_content,
     "p4_found": p4_found, "p4_cleaned": p4_cleaned,
     "p5_found": p5_found, "p6_found": p6_found, "p6_splits": p6_splits, "p7_containers": p7_containers, "p8_found": p8_found, "p8_cleaned": p8_cleaned,
 }
