@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import groups, splits
 from tidemark.llm.leaks import leaked_spans, without_leaks
+from tidemark.llm.nearcopies import group_pairs, near_copy_groups
 from tidemark.llm.nearest import nearest_time_join
 from tidemark.llm.packing import containers
 from tidemark.llm.repeats import repeated_lines, without_lines
@@ -25,6 +26,16 @@ def p2_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_lines(records, boilerplate(records)).select("record_id", "body")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of records in the same group of near-copies."""
+    return group_pairs(near_copy_groups(read(spark, sf_dir, "primary_source_events")))
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record with the text it copies exactly and the group of near-copies it belongs to."""
+    return near_copy_groups(read(spark, sf_dir, "primary_source_events"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every occurrence of a line found in at least 8 records of its source."""
     return repeated_lines(read(spark, sf_dir, "primary_source_events"))
@@ -80,7 +91,7 @@ def p8_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found, "p2_content": p2_content,
-    "p4_found": p4_found, "p4_cleaned": p4_cleaned,
+    "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_cleaned": p4_cleaned,
     "p5_found": p5_found, "p6_found": p6_found, "p6_splits": p6_splits, "p7_containers": p7_containers, "p8_found": p8_found, "p8_cleaned": p8_cleaned,
 }
 
