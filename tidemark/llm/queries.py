@@ -11,6 +11,7 @@ from tidemark.llm.nearcopies import group_pairs, near_copy_groups
 from tidemark.llm.nearest import nearest_time_join
 from tidemark.llm.packing import containers
 from tidemark.llm.repeats import repeated_lines, without_lines
+from tidemark.llm.spam import scored_pages, spam_pages
 from tidemark.llm.wrappers import boilerplate
 from tidemark.plans.cut import read
 
@@ -89,10 +90,21 @@ def p8_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_leaks(docs, leaked_spans(docs, read(spark, sf_dir, "eval_items")))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that is mostly piled-up keywords, links, hashtags or product tags."""
+    return spam_pages(read(spark, sf_dir, "documents"))
+
+
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score, before and after smoothing by its host."""
+    return scored_pages(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "p2_found": p2_found, "p2_content": p2_content,
     "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_cleaned": p4_cleaned,
     "p5_found": p5_found, "p6_found": p6_found, "p6_splits": p6_splits, "p7_containers": p7_containers, "p8_found": p8_found, "p8_cleaned": p8_cleaned,
+    "p9_found": p9_found, "p9_scores": p9_scores,
 }
 
 SQL = {
