@@ -19,7 +19,7 @@ from tidemark.plans.cut import cut, small
 
 #: Pages on which the trees are trained at most, taken in the order of the hash of their id. A documented bound on the classifier's sample only.
 SAMPLE = 20_000
-TREES, DEPTH, BINS, LEAF = 15, 4, 48, 5
+TREES, DEPTH, BINS, LEAF = 15, 4, 64, 5
 #: Pages whose piled-up share lies in this range get no weak label.
 UNSURE = (0.42, 0.58)
 #: Weight and largest effect (in log odds) of a host's spam rate.
@@ -93,7 +93,8 @@ class Tree:
                 with np.errstate(divide="ignore", invalid="ignore"):
                     gain = parent - p * (n - p) / n - q * (m - q) / m
                 gain[(n < LEAF) | (m < LEAF)] = -1
-                k = int(np.argmax(gain))
+                tied = np.flatnonzero(gain >= gain.max() - 1e-9)
+                k = int(tied[len(tied) // 2])  # the middle of a gap between the classes
                 if gain[k] > best[0]:
                     best = (gain[k], f, k)
         if best[1] >= 0:
@@ -120,14 +121,14 @@ class Tree:
 
 
 class BaggedTrees:
-    """Trees on bootstrap samples over quantile bins; the score is their mean. Without two classes it is the rate of the labels."""
+    """Trees on bootstrap samples over quantile bins; the score is their mean. Without two classes it is about the rate of the labels."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, seed: int = 7) -> None:
-        self.edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) if len(x) else np.zeros(0) for f in range(len(FEATURES))]
+        # Half of the bins hold equally many pages, half are equally wide, as most features are far from uniform.
+        half = np.linspace(0, 1, BINS // 2 + 1)[1:-1]
+        self.edges = [np.unique(np.append(np.quantile(x[:, f], half), x[:, f].min() + half * np.ptp(x[:, f]))) if len(x) else np.zeros(0) for f in range(len(FEATURES))]
         binned, rng = self._bin(x), np.random.default_rng(seed)
-        # Classes weigh the same in each bag, as spam is rare.
-        w = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
-        self.trees = [Tree(binned, y, w * np.bincount(rng.integers(0, len(y), len(y)), minlength=len(y))) for _ in range(TREES)] if len(y) else []
+        self.trees = [Tree(binned, y, np.bincount(rng.integers(0, len(y), len(y)), minlength=len(y)).astype(float)) for _ in range(TREES)] if len(y) else []
 
     def _bin(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(self.edges)], axis=1) if len(x) else np.zeros((0, len(FEATURES)), dtype=np.int64)
