@@ -1,11 +1,15 @@
 """Connected components and leak-free splits.
 
 Method: many seeds expand concurrently, breadth first, over hash-partitioned adjacency rows. Where the regions of two seeds touch, their
-labels collide; the collisions form a smaller graph that is solved the same way, until no labels collide.
+labels collide; the collisions form a smaller graph, which is merged in one task if its size allows, else expanded the same way again.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,6 +18,25 @@ from tidemark.plans.cut import cut
 
 #: Breadth-first steps of every seed before colliding labels are merged.
 HOPS = 2
+#: Collisions that one task merges by union-find; a larger graph of collisions is expanded again from its own seeds.
+SMALL_GRAPH = 200_000
+
+
+def _union_find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(node, label) of a graph of bounded size; label is the smallest node."""
+    edges = pd.concat(list(batches), ignore_index=True)
+    nodes, ids = np.unique(np.concatenate([edges["a"].to_numpy(), edges["b"].to_numpy()]), return_inverse=True)
+    parent = list(range(len(nodes)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for x, y in zip(ids[: len(edges)].tolist(), ids[len(edges) :].tolist(), strict=True):
+        x, y = root(x), root(y)
+        parent[max(x, y)] = min(x, y)
+    yield pd.DataFrame({"node": nodes, "label": nodes[[root(x) for x in range(len(nodes))]]})
 
 
 def _rank(x: Column) -> Column:
@@ -45,11 +68,15 @@ def components(edges: DataFrame, hops: int = HOPS) -> DataFrame:
         labels = cut(reached.select("node", F.coalesce("label", "node").alias("label")))
         ends = current.join(labels.withColumnsRenamed({"node": "a", "label": "la"}), "a").join(labels.withColumnsRenamed({"node": "b", "label": "lb"}), "b")
         collided = cut(ends.where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+        small_graph = collided.count() <= SMALL_GRAPH
         if total is None:
             total = labels.select("node", F.col("label").alias("component"))
         else:
             total = cut(total.join(labels.withColumnsRenamed({"node": "component"}), "component", "left").select("node", F.coalesce("label", "component").alias("component")))
-        if collided.isEmpty():
+        if small_graph:
+            kind = both.schema["a"].dataType.simpleString()
+            merged = collided.coalesce(1).mapInPandas(_union_find, f"node {kind}, label {kind}")
+            total = cut(total.join(merged.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("label", "component").alias("component")))
             break
         current = collided
     alone = both.where("a = b").select(F.col("a").alias("node")).distinct().join(total, "node", "left_anti")
