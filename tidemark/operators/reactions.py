@@ -7,7 +7,7 @@ bars join on (symbol, block of bars) with a filter, never on a bare range.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,6 +82,16 @@ def window_bars(events: DataFrame, grid: DataFrame, first: int, last: int, block
     return e.join(g, ["symbol", "blk"]).where(F.col("bar").between(F.col("base") + first, F.col("base") + last)).withColumn("offset", F.col("bar") - F.col("base")).drop("blk")
 
 
+def per_base(events: DataFrame, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``compute`` makes of events (event_id, symbol, base), done once for each distinct symbol and base and joined back to all events.
+
+    Many events share a base; the windows then cost what the bars cost, not the events.
+    """
+    keys = events.select("symbol", "base").dropna().distinct().withColumn("event_id", F.col("base"))
+    done = compute(keys).withColumnRenamed("event_id", "base")
+    return events.select("event_id", "symbol", "base").join(done, ["symbol", "base"]).drop("base")
+
+
 def price_path(events: DataFrame, grid: DataFrame, bars: int) -> DataFrame:
     """(event_id, symbol, offset, open_ret, high_ret, low_ret) from the base to ``bars`` later, for events whose base exists with a positive open."""
     w = window_bars(events, grid, 0, bars)

@@ -47,31 +47,32 @@ def d8_market_adjusted(spark: SparkSession, d: str) -> DataFrame:
 
 def d3_hour_reaction(spark: SparkSession, d: str) -> DataFrame:
     """Extremes and volume change over the five bars after the base."""
-    return R.hour_reaction(event_assets(spark, d).select("event_id", "symbol", "base"), bars(spark, d), 5).select("event_id", "symbol", *_r("max_ret", "min_ret", "volume_change"))
+    return R.per_base(event_assets(spark, d), lambda e: R.hour_reaction(e, bars(spark, d), 5)).select("event_id", "symbol", *_r("max_ret", "min_ret", "volume_change"))
 
 
-def _path(spark: SparkSession, d: str) -> DataFrame:
-    return R.price_path(event_assets(spark, d).select("event_id", "symbol", "base"), bars(spark, d), 24)
+def _path(spark: SparkSession, d: str, events: DataFrame | None = None) -> DataFrame:
+    events = event_assets(spark, d) if events is None else events
+    return R.price_path(events.select("event_id", "symbol", "base"), bars(spark, d), 24)
 
 
 def d9_excursions(spark: SparkSession, d: str) -> DataFrame:
     """Best and worst excursions of long positions over 24 bars."""
-    return R.excursions(_path(spark, d)).select("event_id", "symbol", *_r("mfe", "mae"), "mfe_at", "mae_at")
+    return R.per_base(event_assets(spark, d), lambda e: R.excursions(_path(spark, d, e))).select("event_id", "symbol", *_r("mfe", "mae"), "mfe_at", "mae_at")
 
 
 def d9_excursions_short(spark: SparkSession, d: str) -> DataFrame:
     """The same for short positions."""
-    return R.excursions(_path(spark, d), short=True).select("event_id", "symbol", *_r("mfe", "mae"), "mfe_at", "mae_at")
+    return R.per_base(event_assets(spark, d), lambda e: R.excursions(_path(spark, d, e), short=True)).select("event_id", "symbol", *_r("mfe", "mae"), "mfe_at", "mae_at")
 
 
 def d11_volatility(spark: SparkSession, d: str) -> DataFrame:
     """Realised volatility over 24 bars."""
-    return R.path_volatility(_path(spark, d), 24).select("event_id", "symbol", *_r("volatility"), "n")
+    return R.per_base(event_assets(spark, d), lambda e: R.path_volatility(_path(spark, d, e), 24)).select("event_id", "symbol", *_r("volatility"), "n")
 
 
 def d13_volume_ratio(spark: SparkSession, d: str) -> DataFrame:
     """Volume after against volume before the event."""
-    return R.volume_ratio(event_assets(spark, d).select("event_id", "symbol", "base"), bars(spark, d), 5).select("event_id", "symbol", *_r("ratio", "log_ratio"), "shock")
+    return R.per_base(event_assets(spark, d), lambda e: R.volume_ratio(e, bars(spark, d), 5)).select("event_id", "symbol", *_r("ratio", "log_ratio"), "shock")
 
 
 def d17_path_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -81,20 +82,23 @@ def d17_path_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def d18_first_passage(spark: SparkSession, d: str) -> DataFrame:
     """First passage of 10 and 50 percent either way."""
-    return R.first_passage(_path(spark, d), (10.0, 50.0))
+    return R.per_base(event_assets(spark, d), lambda e: R.first_passage(_path(spark, d, e), (10.0, 50.0)))
 
 
 def d19_returned(spark: SparkSession, d: str) -> DataFrame:
     """Events whose return came back to the entry after its best."""
-    p = _path(spark, d)
-    return R.returned_to_entry(p, R.excursions(p)).groupBy("symbol", "returned").agg(F.count("*").alias("n"))
+    def back(e: DataFrame) -> DataFrame:
+        p = _path(spark, d, e)
+        return R.returned_to_entry(p, R.excursions(p))
+
+    return R.per_base(event_assets(spark, d), back).groupBy("symbol", "returned").agg(F.count("*").alias("n"))
 
 
 def d20_retention(spark: SparkSession, d: str) -> DataFrame:
     """Share of the best excursion left at 24 bars, and what was given back."""
     r = returns(spark, d).where("horizon = 24").select("event_id", "symbol", "ret")
     kept, back = R.retention(F.col("ret"), F.col("mfe"))
-    return R.excursions(_path(spark, d)).join(r, ["event_id", "symbol"]).select("event_id", "symbol", F.round(kept, 6).alias("kept"), F.round(back, 6).alias("given_back"))
+    return R.per_base(event_assets(spark, d), lambda e: R.excursions(_path(spark, d, e))).join(r, ["event_id", "symbol"]).select("event_id", "symbol", F.round(kept, 6).alias("kept"), F.round(back, 6).alias("given_back"))
 
 
 def d22_reaction_class(spark: SparkSession, d: str) -> DataFrame:
@@ -133,17 +137,17 @@ def e1_pre_returns(spark: SparkSession, d: str) -> DataFrame:
 
 def e3_beta(spark: SparkSession, d: str) -> DataFrame:
     """Beta and correlation with the benchmark over 168 bars."""
-    return X.beta_before(event_assets(spark, d), bars(spark, d), "BTC", 168, 20).select("event_id", "symbol", "n", *_r("beta", "correlation", "used"), "fell_back")
+    return R.per_base(event_assets(spark, d), lambda e: X.beta_before(e, bars(spark, d), "BTC", 168, 20)).select("event_id", "symbol", "n", *_r("beta", "correlation", "used"), "fell_back")
 
 
 def e6_averages(spark: SparkSession, d: str) -> DataFrame:
     """Moving averages, range and volume score before the base."""
-    return X.averages_before(event_assets(spark, d), bars(spark, d), 20).select("event_id", "symbol", "n", *_r("sma_distance", "sma_slope", "range_share", "volume_score", "volume_ratio"))
+    return R.per_base(event_assets(spark, d), lambda e: X.averages_before(e, bars(spark, d), 20)).select("event_id", "symbol", "n", *_r("sma_distance", "sma_slope", "range_share", "volume_score", "volume_ratio"))
 
 
 def e7_ema(spark: SparkSession, d: str) -> DataFrame:
     """Exponential average before the base."""
-    return X.ema_before(event_assets(spark, d), bars(spark, d), 12).select("event_id", "symbol", "n", *_r("ema"))
+    return R.per_base(event_assets(spark, d), lambda e: X.ema_before(e, bars(spark, d), 12)).select("event_id", "symbol", "n", *_r("ema"))
 
 
 def e12_calendar(spark: SparkSession, d: str) -> DataFrame:
