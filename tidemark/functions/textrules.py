@@ -43,7 +43,7 @@ def relevance(text: Column) -> Column:
 
 def amount_usd(text: Column) -> Column:
     """The first amount in millions or billions of dollars or euros, in dollars; NULL if there is none."""
-    p = r"(?i)(\$|usd\s*|€|eur\s*)(\d{1,3}(?:,\d{3})*(?:\.\d+)?)\s*(billion|million|bn|m|b)\b"
+    p = r"(?i)(\$|usd|€|eur)\s*(\d{1,3}(?:,\d{3})*(?:\.\d+)?)\s*(billion|million|bn|m|b)\b"
     cur, num, unit = (F.regexp_extract(text, p, k) for k in (1, 2, 3))
     value = F.replace(num, F.lit(","), F.lit("")).try_cast("double")
     scaled = value * F.when(F.lower(unit).startswith("b"), 1e9).otherwise(1e6)

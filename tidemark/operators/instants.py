@@ -42,7 +42,7 @@ def estimate_zones(walls: DataFrame, declared: DataFrame, candidates: tuple[str,
 
     walls: (site, wall TIMESTAMP_NTZ, fetched TIMESTAMP_NTZ in UTC), declared: (site, home_zone). Rows are first counted by site, day and
     quarter hours of lag, so what is tried against the candidates grows with sites and days, not with rows. Ties: the declared zone, then
-    the earlier candidate by name. Sites without rows keep the declared zone; sites with neither get UTC.
+    UTC, then the earlier candidate by name. Sites without rows keep the declared zone; sites with neither get UTC.
     """
     lag = F.floor((to_micros(F.col("fetched")) - to_micros(F.col("wall"))) / F.lit(900_000_000)).cast("int")
     counted = (
@@ -56,7 +56,7 @@ def estimate_zones(walls: DataFrame, declared: DataFrame, candidates: tuple[str,
     costs = tried.groupBy("site", "declared_zone", "zone").agg(
         (F.sum(offset_history_cost(F.col("zone"), F.col("day"), F.col("lag")) * F.col("n")) / F.sum("n")).alias("cost"), F.sum("n").alias("rows"))
     best = costs.groupBy("site", "declared_zone").agg(
-        F.min(F.struct("cost", "zone")).alias("b"), F.max("rows").alias("rows"), F.min(F.when(F.col("zone") == F.col("declared_zone"), F.col("cost"))).alias("own"))
+        F.min(F.struct("cost", (F.col("zone") != "UTC").alias("far"), "zone")).alias("b"), F.max("rows").alias("rows"), F.min(F.when(F.col("zone") == F.col("declared_zone"), F.col("cost"))).alias("own"))
     keep = F.col("own").isNotNull() & ((F.col("own") - F.col("b.cost") <= MARGIN_H) | (F.col("rows") < MARGIN_ROWS))
     found = best.select("site", F.when(keep, F.col("declared_zone")).otherwise(F.col("b.zone")).alias("found"), F.when(keep, F.col("own")).otherwise(F.col("b.cost")).alias("cost"), "rows")
     return known.join(found, "site", "full").select("site", F.coalesce("found", "declared_zone").alias("zone"), "declared_zone", "cost", "rows")
