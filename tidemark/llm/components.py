@@ -24,7 +24,9 @@ SMALL_GRAPH = 200_000
 
 def _union_find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(node, label) of a graph of bounded size; label is the smallest node."""
-    edges = pd.concat(list(batches), ignore_index=True)
+    edges = pd.concat([pd.DataFrame({"a": [], "b": []}), *batches], ignore_index=True)
+    if not len(edges):
+        return
     nodes, ids = np.unique(np.concatenate([edges["a"].to_numpy(), edges["b"].to_numpy()]), return_inverse=True)
     parent = list(range(len(nodes)))
 
