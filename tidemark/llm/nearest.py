@@ -2,7 +2,7 @@
 
 Method: the time-sorted right side of each entity is cut into shards of bounded size by time. A shard holds a piecewise-linear learned
 index from time to position with a proven error bound; a probe is looked up by predicting its position and searching only within the
-bound. Shards overlap at their edges by the tolerance, so a probe needs exactly one shard.
+bound. Shards overlap at their edges by one record on either side, so a probe needs exactly one shard.
 """
 
 from __future__ import annotations
@@ -11,15 +11,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tidemark.plans.cut import cut, small
+from tidemark.plans.cut import cut
 
 #: Largest distance between predicted and true position in an index.
 ERROR = 32
 #: Rows that one shard of the right side should hold.
 SHARD_ROWS = 50_000
+#: Shards of one entity at most; beyond, they grow.
+MOST_SHARDS = 10_000
 
 
 def fit_segments(times: np.ndarray, error: int = ERROR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,26 +101,43 @@ def nearest_time_join(left: DataFrame, right: DataFrame, tolerance_us: int, shar
     left: left_id, entity, t (microseconds); right: right_id, entity, t; other columns are ignored. Ties go to the smaller right_id.
     NULL ids, entities or times match nothing. Repeated left rows give one row for each distinct (left_id, entity, t).
 
-    An entity's time axis is cut by equal-width slots whose width follows its own row count, then packed into shards of about
-    ``shard_rows`` rows, so a hot entity becomes many tasks. A slot that alone holds more rows than that (many records at one instant) is
-    first thinned to one row, the smallest id, for each instant, which can't change a result.
+    The time axis of an entity with more than ``shard_rows`` instants is cut at its own quantiles, so a hot entity, or a burst of one, becomes
+    many shards of about that size. A shard also gets the last instant before it and the first after it, which are all that a probe in it
+    can need from outside.
     """
     keep = ["entity", "t"]
     l = left.select("left_id", *keep).dropna().distinct()  # noqa: E741
     # One row an instant and entity: pre-aggregated before the shuffle, and no entity's copies of an instant can pile up.
     r = cut(right.select("right_id", *keep).dropna().groupBy("entity", "t").agg(F.min("right_id").alias("right_id")))
-    span = r.groupBy("entity").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.count("*").alias("n"))
-    # Slots are at least twice the tolerance wide, so an overlap reaches at most the next slot.
-    slots = F.greatest(F.lit(1), F.ceil(F.col("n") * 4 / shard_rows))
-    span = span.select("entity", "t0", F.greatest(F.lit(2 * tolerance_us + 1), F.ceil((F.col("t1") - F.col("t0") + 1) / slots)).cast("bigint").alias("width"))
-    dim = small(span)
-
-    def slot(t: Column) -> Column:
-        return F.floor((t - F.col("t0")) / F.col("width")).cast("bigint")
-
-    lefts = l.join(dim, "entity").select("entity", slot(F.col("t")).alias("slot"), F.col("t").alias("lt"), "left_id", F.lit(None).cast("bigint").alias("rt"), F.lit(None).cast("bigint").alias("right_id"))
-    seen = F.array_distinct(F.array(slot(F.col("t") - tolerance_us), slot(F.col("t")), slot(F.col("t") + tolerance_us)))
-    rights = r.join(dim, "entity").select("entity", F.explode(seen).alias("slot"), F.lit(None).cast("bigint").alias("lt"), F.lit(None).cast("bigint").alias("left_id"), F.col("t").alias("rt"), "right_id")
+    sizes = r.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") > shard_rows)
+    most = sizes.agg(F.max("n")).first()[0] or 0
+    parts = min(MOST_SHARDS, -(-most // shard_rows))
+    # One quantile for about every `shard_rows` instants of the large entities: total / shard_rows numbers, however many rows there are.
+    fractions = F.array(*[F.lit(k / parts) for k in range(1, parts)]) if parts > 1 else F.array(F.lit(0.5))
+    cuts = r.join(sizes.select("entity"), "entity", "left_semi").groupBy("entity").agg(F.percentile_approx("t", fractions, 10 * max(parts, 10)).alias("b"))
+    bounds = left.sparkSession.sparkContext.broadcast({x["entity"]: np.unique(np.array(x["b"], dtype=np.int64)) for x in cuts.toLocalIterator()})
+
+    @F.pandas_udf("bigint")
+    def slot(entity: pd.Series, t: pd.Series) -> pd.Series:
+        e, v, out, large = entity.to_numpy(), t.to_numpy(), np.zeros(len(t), dtype=np.int64), bounds.value
+        if large:
+            for x in pd.unique(entity):
+                if x in large:
+                    at = e == x
+                    out[at] = np.searchsorted(large[x], v[at], side="right")
+        return pd.Series(out)
+
+    none = F.lit(None).cast("bigint")
+    lefts = l.select("entity", slot("entity", "t").alias("slot"), F.col("t").alias("lt"), "left_id", none.alias("rt"), none.alias("right_id"))
+    placed = r.select("entity", slot("entity", "t").alias("slot"), F.col("t").alias("rt"), "right_id")
+    ends = placed.groupBy("entity", "slot").agg(F.min(F.struct("rt", "right_id")).alias("a"), F.max(F.struct("rt", "right_id")).alias("z"))
+    along = Window.partitionBy("entity").orderBy("slot")  # at most MOST_SHARDS rows of an entity
+    # A slot of probes only lies between two of these; its edges are carried over it.
+    asked = lefts.select("entity", "slot").distinct().join(ends, ["entity", "slot"], "full")
+    before = F.last("z", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("a", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing))
+    edges = asked.withColumns({"before": before, "after": after}).select("entity", "slot", F.explode(F.array("before", "after")).alias("e")).where("e IS NOT NULL")
+    rights = placed.unionByName(edges.select("entity", "slot", "e.rt", "e.right_id")).select("entity", "slot", none.alias("lt"), none.alias("left_id"), "rt", "right_id")
     both = lefts.unionByName(rights).repartition("entity", "slot").sortWithinPartitions("entity", "slot", F.col("lt").isNotNull(), "rt", "right_id")
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -130,4 +130,15 @@ SQL = {
         f AS (SELECT source, key FROM k WHERE key <> '' GROUP BY source, key HAVING count(DISTINCT record_id) >= 8)
         SELECT DISTINCT record_id, line_no FROM k JOIN f ON k.key = f.key AND k.source IS NOT DISTINCT FROM f.source
     """,
+    "p6_found": """
+        WITH RECURSIVE r AS (SELECT DISTINCT row_id, nullif(lower(trim(event_id)), '') AS e, lower(trim(regexp_replace(trim(author_handle), '^@', ''))) AS h FROM production_rows WHERE row_id IS NOT NULL),
+        k AS (SELECT row_id, 'e:' || e AS e, CASE WHEN h NOT IN ('', 'n/a') THEN 'a:' || h END AS a FROM r),
+        ed AS (SELECT DISTINCT e AS x, a AS y FROM k WHERE e IS NOT NULL AND a IS NOT NULL UNION SELECT DISTINCT a, e FROM k WHERE e IS NOT NULL AND a IS NOT NULL),
+        cc(node, root) USING KEY (node) AS (
+            SELECT DISTINCT n, n FROM (SELECT e AS n FROM k UNION ALL SELECT a FROM k) WHERE n IS NOT NULL
+            UNION SELECT ed.y, min(cc.root) FROM cc JOIN ed ON ed.x = cc.node JOIN recurring.cc AS o ON o.node = ed.y WHERE cc.root < o.root GROUP BY ed.y),
+        t AS (SELECT k.row_id, k.e, k.a, coalesce(c.root, 'r:' || k.row_id) AS g FROM k LEFT JOIN cc AS c ON c.node = coalesce(k.e, k.a)),
+        g AS (SELECT g, coalesce(min(a)[3:], min(e)[3:]) AS group_key FROM t GROUP BY g HAVING count(DISTINCT row_id) >= 2)
+        SELECT DISTINCT row_id, group_key FROM t JOIN g USING (g)
+    """,
 }
