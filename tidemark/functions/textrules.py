@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
+from difflib import SequenceMatcher
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 # Names of the assets.
 ASSET_NAMES = {"BTC": ["bitcoin", "btc"], "ETH": ["ethereum", "ether", "eth"], "SOL": ["solana", "sol"]}
@@ -87,3 +91,21 @@ def best_candidate(candidates: list[tuple[Column, float, str]], now: Column) ->
     """struct(value, confidence, source) of the first candidate time that is there and not in the future."""
     picks = [F.when(c.isNotNull() & (c <= now), F.struct(c.alias("value"), F.lit(conf).alias("confidence"), F.lit(name).alias("source"))) for c, conf, name in candidates]
     return F.coalesce(*picks)
+
+
+@F.pandas_udf(StringType())
+def compatible(text: pd.Series) -> pd.Series:
+    """Compatibility composition of a text (NFKC)."""
+    return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+
+@F.pandas_udf(DoubleType())
+def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Share of matching runs of two texts, from 0 to 1; NULL if either is."""
+    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def drift(a: Column, b: Column, token_likeness: Column, ratio: Column) -> Column:
+    """How far a title moved: exact, minor (likeness .90 or more), material, or unverified without one of them."""
+    likeness = F.greatest(token_likeness, ratio)
+    return F.when(a.isNull() | b.isNull() | (a == "") | (b == ""), "unverified").when(a == b, "exact").when(likeness >= 0.90, "minor").otherwise("material")

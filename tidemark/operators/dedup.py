@@ -130,6 +130,57 @@ def alike_titles(rows: DataFrame, ident: str, tokens: str, least: float) -> Data
     return v.select("a", "b", (F.col("c") / (F.size("wa") + F.size("wb") - F.col("c"))).alias("j")).where(F.col("j") >= least)
 
 
+def ledger(batch: DataFrame, stored: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """Add ``status``: 'stored:<key>' for the first key that is stored, else 'batch:<key>' for the first key whose value an earlier row of the
+    batch has, else 'new'. NULL and empty values match nothing.
+
+    Each key is one join with the distinct stored values and one window over its own values, so nothing is held per batch. A row counts as
+    earlier whether or not it was itself turned away.
+    """
+    status = F.lit("new")
+    out = batch
+    for k in keys:
+        have = stored.select(F.col(k)).where(F.col(k).isNotNull() & (F.col(k) != "")).distinct().withColumn(f"_s_{k}", F.lit(True))
+        out = out.join(have, k, "left").withColumn(f"_r_{k}", F.row_number().over(Window.partitionBy(k).orderBy(*order)))
+    for k in reversed(keys):
+        status = F.when((F.col(f"_r_{k}") > 1) & F.col(k).isNotNull() & (F.col(k) != ""), f"batch:{k}").otherwise(status)
+    for k in reversed(keys):
+        status = F.when(F.col(f"_s_{k}"), f"stored:{k}").otherwise(status)
+    return out.withColumn("status", status).select(*batch.columns, "status")
+
+
+def greedy_groups(rows: DataFrame, key: str, ident: str, t: str, tokens: str, within: int, least: float) -> DataFrame:
+    """(key, id, group): rows of a key in the order of time join the first open group all of whose members are within ``within`` and have a
+    token overlap (of the smaller set) of at least ``least`` with them; else they open one, named by its first id.
+
+    The rule depends on order, so a key's rows stream through one task in order; only groups whose first member is still within reach are held.
+    """
+    r = rows.select(F.col(key).alias("k"), F.col(ident).alias("i"), F.col(t).alias("t"), F.array_distinct(tokens).alias("w")).where("k IS NOT NULL AND t IS NOT NULL")
+    sorted_rows = r.repartition("k").sortWithinPartitions("k", "t", "i")
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, groups = None, []
+        for b in batches:
+            out = []
+            for k, i, at, w in zip(b["k"], b["i"], b["t"], b["w"], strict=True):
+                if k != now:
+                    now, groups = k, []
+                groups = [g for g in groups if at - g[1] <= within]
+                mine = set(w)
+                for g in groups:
+                    if all(m and mine and len(mine & m) >= least * min(len(mine), len(m)) for m in g[2]):
+                        g[2].append(mine)
+                        break
+                else:
+                    g = (i, at, [mine])
+                    groups.append(g)
+                out.append((k, i, g[0]))
+            yield pd.DataFrame(out, columns=["k", "i", "g"])
+
+    kinds = dict(sorted_rows.dtypes)
+    return sorted_rows.mapInPandas(assign, f"k {kinds['k']}, i {kinds['i']}, g {kinds['i']}").toDF(key, ident, "group")
+
+
 def concentration(rows: DataFrame, group: str, entity: str) -> DataFrame:
     """(group, n, top_entity, share, warning): share of the most frequent entity of each group, the smaller name on a tie; warning above half."""
     per = rows.where(F.col(entity).isNotNull()).groupBy(group, entity).agg(F.count("*").alias("n"))

@@ -163,3 +163,45 @@ def reaction_class(pre: Column, post: Column, threshold: float) -> Column:
 def fallback(columns: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
     """The first value that isn't NULL, and the names of all providers that have one, joined by '+'."""
     return F.coalesce(*[F.col(c) for c, _ in columns]), F.concat_ws("+", *[F.when(F.col(c).isNotNull(), F.lit(n)) for c, n in columns])
+
+
+def window_ranges(events: DataFrame, grid: DataFrame, bars: int) -> DataFrame:
+    """(event_id, symbol, n, step_std, range_share, true_range): over the ``bars`` bars from the base on, the sample deviation of the steps of the
+    open in percent, the span of extremes over the first open, and the mean span of a bar over its open."""
+    w = window_bars(events, grid, 0, bars - 1)
+    at = Window.partitionBy("event_id", "symbol").orderBy("offset")
+    step = F.when(F.col("offset") - F.lag("offset").over(at) == 1, pct(F.col("open"), F.lag("open").over(at)))
+    a = w.withColumn("step", step).groupBy("event_id", "symbol").agg(
+        F.count("*").alias("n"), F.stddev_samp("step").alias("step_std"), F.max("high").alias("hi"), F.min("low").alias("lo"), F.min_by("open", "offset").alias("o"),
+        F.avg(F.try_divide(F.col("high") - F.col("low"), F.col("open"))).alias("true_range"))
+    return a.select("event_id", "symbol", "n", "step_std", F.try_divide(F.col("hi") - F.col("lo"), F.col("o")).alias("range_share"), "true_range")
+
+
+def volume_shock(events: DataFrame, grid: DataFrame, bars: int, history: int) -> DataFrame:
+    """(event_id, symbol, shock): volume of the ``bars`` bars from the base on over what the ``history`` bars before let expect."""
+    w = window_bars(events, grid, -history, bars - 1)
+    a = w.groupBy("event_id", "symbol").agg(F.sum(F.when(F.col("offset") >= 0, F.col("volume"))).alias("post"), F.avg(F.when(F.col("offset") < 0, F.col("volume"))).alias("pre"))
+    return a.select("event_id", "symbol", F.try_divide(F.col("post"), F.col("pre") * bars).alias("shock"))
+
+
+def contiguous(events: DataFrame, grid: DataFrame, before: int, after: int) -> DataFrame:
+    """(event_id, symbol, whole): whether every bar from base - before to base + after is there."""
+    w = window_bars(events, grid, -before, after).groupBy("event_id", "symbol").agg(F.count_distinct("bar").alias("n"))
+    return events.select("event_id", "symbol").join(w, ["event_id", "symbol"], "left").select("event_id", "symbol", (F.coalesce("n", F.lit(0)) == before + after + 1).alias("whole"))
+
+
+def latency_returns(events: DataFrame, grid: DataFrame, horizons: Sequence[int], latencies: Sequence[int]) -> DataFrame:
+    """Horizon returns from every latency after the base: (event_id, symbol, latency, horizon, ret)."""
+    e = events.select("event_id", "symbol", F.col("base").alias("b"), F.explode(F.array(*[F.lit(x) for x in latencies])).alias("latency"))
+    key = F.struct("event_id", "latency")
+    r = horizon_returns(e.select(key.alias("event_id"), "symbol", (F.col("b") + F.col("latency")).alias("base")), grid, horizons)
+    return r.select("event_id.event_id", "symbol", "event_id.latency", "horizon", "ret")
+
+
+def path_class(early: Column, late: Column, band: float) -> Column:
+    """What became of a move: none, delayed, kept, faded, grown or reversed, from an early and a late return."""
+    a, b = F.abs(early), F.abs(late)
+    return (
+        F.when(early.isNull() | late.isNull(), None).when((a < band) & (b < band), "none").when(a < band, "delayed").when(early * late < 0, "reversed")
+        .when(b >= a * 1.5, "grown").when(b <= a * 0.5, "faded").otherwise("kept")
+    )

@@ -122,3 +122,43 @@ def cost_table(rows: DataFrame, value: str, costs: list[float]) -> DataFrame:
     """Total, mean and win rate after each cost."""
     c = rows.where(F.col(value).isNotNull()).select(value, F.explode(F.array(*[F.lit(x) for x in costs])).alias("cost")).withColumn("net", F.col(value) - F.col("cost"))
     return c.groupBy("cost").agg(F.count("*").alias("n"), F.sum("net").alias("total"), F.avg("net").alias("mean"), F.avg((F.col("net") > 0).cast("double")).alias("win_rate"))
+
+
+def directional_signals(momentum: Column, trend: Column, high: Column, low: Column, price: Column) -> dict[str, Column]:
+    """Signals of -1, 0 or 1: of the momentum's sign, of trend and momentum agreeing, and of a price beyond the extremes before it."""
+    return {
+        "momentum": F.signum(momentum).cast("int"), "trend": F.when(F.signum(momentum) == F.signum(trend), F.signum(trend).cast("int")).otherwise(0),
+        "breakout": F.when(price > high, 1).when(price < low, -1).otherwise(0),
+    }
+
+
+def position_size(volatility: Column, target: float) -> Column:
+    """Size in inverse proportion to the volatility, between .25 and 1; 0 where it is unknown or not positive."""
+    return F.when(volatility > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.25), target / F.when(volatility > 0, volatility)))).otherwise(0.0)
+
+
+def sample_gate(n: Column) -> Column:
+    """What a number of cases allows to say."""
+    return F.when(n < 30, "descriptive").when(n < 100, "exploratory").when(n < 300, "candidate").otherwise("strong")
+
+
+def baselines(rows: DataFrame, t: str, ident: str, actual: str) -> DataFrame:
+    """Accuracy of guessing always UP, the most frequent direction, and the direction before, in the order of time and id."""
+    day, order = F.floor(F.col(t) / 86_400_000_000), [F.asc(t), F.asc(ident)]
+    r = global_rank(rows.where(F.col(actual).isNotNull()).select(t, ident, actual), day, order, "_r")
+    before = r.select((F.col("_r") + 1).alias("_r"), F.col(actual).alias("_p"))
+    j = r.join(before, "_r", "left")
+    most = r.groupBy(actual).agg(F.count("*").alias("_n")).agg(F.max(F.struct("_n", actual))[actual].alias("_m"))
+    a = j.join(F.broadcast(most)).agg(
+        F.count("*").alias("n"), F.avg((F.col(actual) == "UP").cast("double")).alias("always_up"), F.avg((F.col(actual) == F.col("_m")).cast("double")).alias("majority"),
+        F.avg((F.col(actual) == F.col("_p")).cast("double")).alias("previous"))
+    return a
+
+
+def reject_gate(metrics: DataFrame, least: int) -> DataFrame:
+    """Add ``rejected``: the first reason why a rule isn't kept, or NULL."""
+    reason = (
+        F.when(F.col("n") < least, "low_sample").when(F.col("win_rate") < 0.55, "win_rate").when(F.col("mean_net") <= 0, "no_expectancy")
+        .when(F.coalesce(F.col("profit_factor"), F.lit(float("inf"))) <= 1, "profit_factor")
+    )
+    return metrics.withColumn("rejected", reason)
