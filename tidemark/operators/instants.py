@@ -1,6 +1,6 @@
 """Written publication times to UTC instants, with zones estimated from ingestion times.
 
-Method: a local time without a zone is aligned with the time the row was ingested. Every candidate zone gives each day of a site an
+Method: a local time without a zone is aligned with the time the row was ingested. Every candidate zone gives each day an
 offset, so a zone is an offset history; the history with the fewest and smallest violations (times after ingestion, or long before it)
 is the site's. A declared zone is the prior and is only overturned by clear evidence.
 """
@@ -29,10 +29,14 @@ VIOLATION_H, WAIT_H = 24.0, 24.0
 MARGIN_H, MARGIN_ROWS = 1.0, 50
 
 
-def offset_history_cost(zone: Column, day: Column, lag_quarters: Column) -> Column:
-    """Hours that one row costs under a zone. lag_quarters: quarter hours from the wall time, taken as UTC, to ingestion."""
+def hours_east(zone: Column, day: Column) -> Column:
+    """Hours that a zone is ahead of UTC at noon of a day."""
     noon = day.cast("timestamp_ntz") + F.expr("INTERVAL 12 HOURS")
-    east = (to_micros(noon) - to_micros(F.convert_timezone(zone, F.lit("UTC"), noon))) / F.lit(3_600_000_000.0)
+    return (F.unix_date(day).cast("bigint") * 86_400_000_000 + 43_200_000_000 - to_micros(F.convert_timezone(zone, F.lit("UTC"), noon))) / F.lit(3_600_000_000.0)
+
+
+def offset_history_cost(lag_quarters: Column, east: Column) -> Column:
+    """Hours that one row costs. lag_quarters: quarter hours from the wall time, taken as UTC, to ingestion; east: the zone's hours on that day."""
     lag = lag_quarters / F.lit(4.0) + east
     return F.when(lag < 0, F.lit(VIOLATION_H)).otherwise(F.least(lag, F.lit(WAIT_H)))
 
@@ -51,10 +55,12 @@ def estimate_zones(walls: DataFrame, declared: DataFrame, candidates: tuple[str,
         .groupBy("site", "day", "lag").agg(F.count("*").alias("n"))
     )
     known = declared.where(F.col("home_zone").isNotNull()).groupBy("site").agg(F.min("home_zone").alias("declared_zone"))
-    tried = counted.join(small(known), "site", "left").withColumn(
-        "zone", F.explode(F.array_distinct(F.concat(F.array(*[F.lit(z) for z in candidates]), F.array(F.coalesce("declared_zone", F.lit("UTC")))))))
-    costs = tried.groupBy("site", "declared_zone", "zone").agg(
-        (F.sum(offset_history_cost(F.col("zone"), F.col("day"), F.col("lag")) * F.col("n")) / F.sum("n")).alias("cost"), F.sum("n").alias("rows"))
+    counted = cut(counted)
+    # The offset history of every candidate: days times zones, of which there are some hundreds of names, whatever the number of rows.
+    zones = F.broadcast(known.select(F.col("declared_zone").alias("zone")).distinct().unionByName(walls.sparkSession.createDataFrame([(z,) for z in candidates], "zone string")).distinct())
+    history = counted.select("day").distinct().join(zones).select("day", "zone", hours_east(F.col("zone"), F.col("day")).alias("east"))
+    tried = counted.join(small(cut(history), 1_000_000), "day").join(small(known), "site", "left")
+    costs = tried.groupBy("site", "declared_zone", "zone").agg((F.sum(offset_history_cost(F.col("lag"), F.col("east")) * F.col("n")) / F.sum("n")).alias("cost"), F.sum("n").alias("rows"))
     best = costs.groupBy("site", "declared_zone").agg(
         F.min(F.struct("cost", (F.col("zone") != "UTC").alias("far"), "zone")).alias("b"), F.max("rows").alias("rows"), F.min(F.when(F.col("zone") == F.col("declared_zone"), F.col("cost"))).alias("own"))
     keep = F.col("own").isNotNull() & ((F.col("own") - F.col("b.cost") <= MARGIN_H) | (F.col("rows") < MARGIN_ROWS))
@@ -88,11 +94,13 @@ def resolve_instants(times: DataFrame, sites: DataFrame) -> DataFrame:
     read = t.join(small(dim), "site", "left").mapInPandas(_read, _READ)
     local = read.where((F.col("kind") == "wall") & F.col("offset").isNull())
     zones = estimate_zones(local.select("site", from_micros(F.col("value")).alias("wall"), from_micros(F.col("fetched_us")).alias("fetched")), dim).select("site", "zone")
-    wall = F.when(F.col("offset").isNull(), to_micros(wall_to_utc(from_micros(F.col("value")), F.coalesce("zone", F.lit("UTC"))))).otherwise(
-        F.col("value") - F.col("offset").cast("bigint") * 60_000_000)
+    # A column of its own, so that the two conversions of a wall time are made once.
+    placed = read.join(small(cut(zones)), "site", "left").withColumn("utc", F.when(
+        (F.col("kind") == "wall") & F.col("offset").isNull(), wall_to_utc(from_micros(F.col("value")), F.coalesce("zone", F.lit("UTC")))))
+    wall = F.coalesce(to_micros(F.col("utc")), F.col("value") - F.col("offset").cast("bigint") * 60_000_000)
     micros = F.when(F.col("kind") == "unix", F.col("value")).when(F.col("kind") == "ago", F.col("fetched_us") - F.col("value") * 1_000_000).otherwise(wall)
     return (
-        read.join(small(cut(zones)), "site", "left").select("time_id", micros.alias("utc_micros"), "fetched_us")
+        placed.select("time_id", micros.alias("utc_micros"), "fetched_us")
         .where(F.col("utc_micros").isNotNull() & (F.col("fetched_us").isNull() | (F.col("utc_micros") <= F.col("fetched_us"))))
         .select("time_id", "utc_micros").distinct()
     )

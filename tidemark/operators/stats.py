@@ -117,9 +117,9 @@ def cluster_bootstrap(rows: DataFrame, group: list[str], cluster: str, value: st
     Clusters are summed up in Spark. Instead of drawing clusters n times, each gets a Poisson(1) weight in every repeat, drawn from a hash of
     its id and the repeat; so repeats add up map-side and no group is gathered into one task.
     """
-    sums = rows.where(F.col(value).isNotNull()).groupBy(*group, cluster).agg(F.sum(value).alias("s"), F.count("*").alias("c"))
+    sums = rows.where(F.col(value).isNotNull()).groupBy(*group, cluster).agg(F.sum(value).alias("_s"), F.count("*").alias("_c"))
 
-    names = [*group, "rep", "s", "c"]
+    names = [*group, "_rep", "_s", "_c"]
     kinds = {f.name: f.dataType.simpleString() for f in sums.schema.fields}
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,13 +132,13 @@ def cluster_bootstrap(rows: DataFrame, group: list[str], cluster: str, value: st
                     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
                     u = (x >> np.uint64(11)).astype(float) / 2**53
                     w = np.searchsorted(_POISSON, u, side="right")
-                    parts.append(b.assign(rep=rep, s=b["s"] * w, c=b["c"] * w)[names].groupby([*group, "rep"], as_index=False, dropna=False).sum())
+                    parts.append(b.assign(_rep=rep, _s=b["_s"] * w, _c=b["_c"] * w)[names].groupby([*group, "_rep"], as_index=False, dropna=False).sum())
             yield pd.concat(parts)
 
-    schema = ", ".join(f"{g} {kinds[g]}" for g in group) + ", rep int, s double, c double"
-    reps = sums.withColumn("s", F.col("s").cast("double")).withColumn("c", F.col("c").cast("double")).mapInPandas(weigh, schema).groupBy(*group, "rep").agg((F.sum("s") / F.nullif(F.sum("c"), F.lit(0.0))).alias("m"))
-    ci = reps.groupBy(*group).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).select(*group, F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
-    return sums.groupBy(*group).agg((F.sum("s") / F.sum("c")).alias("mean"), F.count("*").alias("clusters")).join(ci, group)
+    schema = ", ".join(f"{g} {kinds[g]}" for g in group) + ", _rep int, _s double, _c double"
+    reps = sums.withColumns({"_s": F.col("_s").cast("double"), "_c": F.col("_c").cast("double")}).mapInPandas(weigh, schema).groupBy(*group, "_rep").agg((F.sum("_s") / F.nullif(F.sum("_c"), F.lit(0.0))).alias("_m"))
+    ci = reps.groupBy(*group).agg(F.percentile("_m", F.array(F.lit(0.025), F.lit(0.975))).alias("_q")).select(*group, F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"))
+    return sums.groupBy(*group).agg((F.sum("_s") / F.sum("_c")).alias("mean"), F.count("*").alias("clusters")).join(ci, group)
 
 
 _POISSON = np.cumsum([float(np.exp(-1.0 - lgamma(k + 1))) for k in range(12)])
