@@ -127,8 +127,7 @@ def nearest_time_join(left: DataFrame, right: DataFrame, tolerance_us: int, shar
                     out[at] = np.searchsorted(large[x], v[at], side="right")
         return pd.Series(out)
 
-    none = F.lit(None).cast("bigint")
-    lefts = l.select("entity", slot("entity", "t").alias("slot"), F.col("t").alias("lt"), "left_id", none.alias("rt"), none.alias("right_id"))
+    lefts = l.select("entity", slot("entity", "t").alias("slot"), F.lit(1).alias("side"), "t", F.col("left_id").alias("id"))
     placed = r.select("entity", slot("entity", "t").alias("slot"), F.col("t").alias("rt"), "right_id")
     ends = placed.groupBy("entity", "slot").agg(F.min(F.struct("rt", "right_id")).alias("a"), F.max(F.struct("rt", "right_id")).alias("z"))
     along = Window.partitionBy("entity").orderBy("slot")  # at most MOST_SHARDS rows of an entity
@@ -137,30 +136,30 @@ def nearest_time_join(left: DataFrame, right: DataFrame, tolerance_us: int, shar
     before = F.last("z", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
     after = F.first("a", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing))
     edges = asked.withColumns({"before": before, "after": after}).select("entity", "slot", F.explode(F.array("before", "after")).alias("e")).where("e IS NOT NULL")
-    rights = placed.unionByName(edges.select("entity", "slot", "e.rt", "e.right_id")).select("entity", "slot", none.alias("lt"), none.alias("left_id"), "rt", "right_id")
-    both = lefts.unionByName(rights).repartition("entity", "slot").sortWithinPartitions("entity", "slot", F.col("lt").isNotNull(), "rt", "right_id")
+    rights = placed.unionByName(edges.select("entity", "slot", "e.rt", "e.right_id")).select("entity", "slot", F.lit(0).alias("side"), F.col("rt").alias("t"), F.col("right_id").alias("id"))
+    both = lefts.unionByName(rights).repartition("entity", "slot").sortWithinPartitions("entity", "slot", "side", "t", "id")
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, times, ids = None, [], []  # the right rows of the open shard, in order; its left rows follow them
-        ready = None
+        key, times, ids, ready = None, [], [], None  # the right rows of the open shard, in order; its left rows follow them
         for b in batches:
-            group = (b["entity"].ne(b["entity"].shift()) | b["slot"].ne(b["slot"].shift())).cumsum().to_numpy()
-            edges = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(b))
-            entity, slot_no, isleft = b["entity"].to_numpy(), b["slot"].to_numpy(), b["left_id"].notna().to_numpy()
+            if not len(b):
+                continue
+            entity, slot_no, side, t, i = (b[c].to_numpy() for c in ("entity", "slot", "side", "t", "id"))
+            new = np.append(True, (entity[1:] != entity[:-1]) | (slot_no[1:] != slot_no[:-1]))
+            edges_ = np.append(np.flatnonzero(new), len(b))
             out = []
-            for s, e in zip(edges[:-1], edges[1:], strict=True):
+            for s, e in zip(edges_[:-1], edges_[1:], strict=True):
                 if key != (entity[s], slot_no[s]):
                     key, times, ids, ready = (entity[s], slot_no[s]), [], [], None
-                cutoff = s + int((~isleft[s:e]).sum())
-                if cutoff > s:
-                    times.append(b["rt"].to_numpy()[s:cutoff].astype(np.int64))
-                    ids.append(b["right_id"].to_numpy()[s:cutoff].astype(np.int64))
-                if cutoff < e and times:
+                turn = s + int((side[s:e] == 0).sum())
+                if turn > s:
+                    times.append(t[s:turn])
+                    ids.append(i[s:turn])
+                if turn < e and times:
                     if ready is None:
                         ready = np.concatenate(times), np.concatenate(ids)
-                    hit = nearest_in_shard(b["lt"].to_numpy()[cutoff:e].astype(np.int64), *ready, tolerance_us)
-                    ok = hit >= 0
-                    out.append(pd.DataFrame({"left_id": b["left_id"].to_numpy()[cutoff:e][ok].astype(np.int64), "right_id": ready[1][hit[ok]]}))
+                    hit = nearest_in_shard(t[turn:e], *ready, tolerance_us)
+                    out.append(pd.DataFrame({"left_id": i[turn:e][hit >= 0], "right_id": ready[1][hit[hit >= 0]]}))
             if out:
                 yield pd.concat(out)
 
