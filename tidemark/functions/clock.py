@@ -159,16 +159,22 @@ def read_clock(raw: str | None, day_first: bool, home: str | None) -> tuple[str,
     return "wall", (wall - _EPOCH) // _US, offset
 
 
+def _epoch() -> Column:
+    return F.lit("1970-01-01").cast("date").cast("timestamp_ntz")
+
+
+def _micro() -> Column:
+    return F.expr("INTERVAL '0.000001' SECOND")
+
+
 def from_micros(us: Column) -> Column:
     """TIMESTAMP_NTZ so many microseconds after 1970-01-01, whatever the session's zone."""
-    return F.lit("1970-01-01").cast("date").cast("timestamp_ntz") + F.make_dt_interval(secs=(us.cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(10,0)")).cast("decimal(18,6)"))
+    return _epoch() + _micro() * us
 
 
 def to_micros(ntz: Column) -> Column:
     """Microseconds from 1970-01-01 to a TIMESTAMP_NTZ, whatever the session's zone."""
-    day = F.unix_date(ntz.cast("date")).cast("bigint") * 86_400_000_000
-    clock = (F.hour(ntz) * 3600 + F.minute(ntz) * 60).cast("bigint") * 1_000_000
-    return day + clock + (F.extract(F.lit("SECOND"), ntz) * 1_000_000).cast("bigint")
+    return F.call_function("div", ntz - _epoch(), _micro())
 
 
 def wall_to_utc(wall: Column, zone: Column) -> Column:
