@@ -187,3 +187,19 @@ def archive_months(grid: DataFrame) -> DataFrame:
     span = have.groupBy("symbol").agg(F.explode(F.sequence(F.min("month"), F.max("month"), F.expr("INTERVAL 1 MONTH"))).alias("month"))
     expected = (F.day(F.last_day("month")) * 1440).cast("bigint")
     return span.join(have, ["symbol", "month"], "left").select("symbol", "month", expected.alias("expected"), F.coalesce("present", F.lit(0)).alias("present"), (expected - F.coalesce("present", F.lit(0))).alias("missing"))
+
+
+def span_status(spans: DataFrame, grid: DataFrame, before: int, after: int) -> DataFrame:
+    """(id, symbol, status): whether a symbol's history reaches from ``before`` minutes before to ``after`` after a point (id, symbol, at)."""
+    a = availability(grid).select("symbol", "first_minute", "last_minute")
+    j = spans.join(F.broadcast(a), "symbol", "left")  # one row per symbol
+    lo, hi = F.col("at") - before >= F.col("first_minute"), F.col("at") + after <= F.col("last_minute")
+    status = F.when(F.col("first_minute").isNull(), "no_history").when(lo & hi, "covered").when(~lo & ~hi, "too_short").when(~lo, "starts_late").otherwise("ends_early")
+    return j.select("id", "symbol", status.alias("status"))
+
+
+def invalid_impact(parsed: DataFrame, used: DataFrame) -> DataFrame:
+    """(use, n): unsound candle keys that serve as a reaction's reference, as its end point, or not at all; used: symbol, minute, role."""
+    bad = parsed.where(F.col("error").isNull() & ~sound_candle()).select("symbol", "minute").distinct()
+    roles = used.groupBy("symbol", "minute").agg(F.max((F.col("role") == "reference").cast("int")).alias("ref"))
+    return bad.join(roles, ["symbol", "minute"], "left").groupBy(F.when(F.col("ref") == 1, "reference").when(F.col("ref") == 0, "endpoint").otherwise("unused").alias("use")).agg(F.count("*").alias("n"))

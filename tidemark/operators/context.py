@@ -113,3 +113,30 @@ def tercile_labels(df: DataFrame, value: str, train: Column) -> DataFrame:
     q = df.where(train).agg(F.percentile(value, F.array(F.lit(0.33), F.lit(0.67))).alias("q"))
     v = F.col(value)
     return df.join(F.broadcast(q)).withColumn("tercile", F.when(v <= F.col("q")[0], "low").when(v >= F.col("q")[1], "high").when(v.isNotNull(), "middle")).drop("q")
+
+
+def inclusive_scores(events: DataFrame, grid: DataFrame, bars: int) -> DataFrame:
+    """(event_id, symbol, sample, population): score of the last bar's volume among the last ``bars`` bars, itself included, by either deviation."""
+    w = window_bars(events.select("event_id", "symbol", "base"), grid, -bars, -1)
+    v = F.col("volume")
+    a = w.groupBy("event_id", "symbol").agg(F.max(F.when(F.col("offset") == -1, v)).alias("v"), F.avg(v).alias("m"), F.stddev_samp(v).alias("s"), F.stddev_pop(v).alias("p"))
+    return a.select("event_id", "symbol", F.try_divide(F.col("v") - F.col("m"), F.col("s")).alias("sample"), F.try_divide(F.col("v") - F.col("m"), F.col("p")).alias("population"))
+
+
+def prior_price(events: DataFrame, grid: DataFrame, bars: int) -> DataFrame:
+    """Add ``prior_open``: the open exactly ``bars`` bars before the base, NULL if that bar is missing."""
+    prior = grid.select("symbol", (F.col("bar") + bars).alias("base"), F.col("open").alias("prior_open"))
+    return events.join(prior, ["symbol", "base"], "left")
+
+
+def regime(value: Column, band: float, names: tuple[str, str, str] = ("down", "flat", "up")) -> Column:
+    """Name of a value below, within or above a band around zero; the border belongs to the middle."""
+    return F.when(value < -band, names[0]).when(value > band, names[2]).when(value.isNotNull(), names[1])
+
+
+def crowding(price_step: Column, interest_step: Column, ratio: Column, high: float = 1.2, low: float = 0.8) -> dict[str, Column]:
+    """Flags of one-sided positions: the quadrant of price and interest, and a ratio beyond its limits; NULL where an input is."""
+    return {
+        "quadrant": F.concat(F.when(price_step >= 0, "up").otherwise("down"), F.lit("_"), F.when(interest_step >= 0, "building").otherwise("leaving")),
+        "crowded_long": ratio > high, "crowded_short": ratio < low,
+    }

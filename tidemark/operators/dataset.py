@@ -97,3 +97,20 @@ def union_families(families: list[tuple[str, DataFrame]], schema: dict[str, str]
 def bucketed(value: Column, edges: list[float]) -> Column:
     """Number of the right-closed interval between the edges that holds a value, from 1; NULL outside."""
     return reduce(lambda acc, k: F.when((value > edges[k]) & (value <= edges[k + 1]), k + 1).otherwise(acc), range(len(edges) - 1), F.lit(None).cast("int"))
+
+
+def nested_folds(rows: DataFrame, t: str, ident: str, k: int = 5, first: float = 0.4, step: float = 0.1) -> DataFrame:
+    """Rows once for each fold they take part in, with ``fold`` and ``part``: in fold j all before first + step * j train, the next step
+    validates and the one after that evaluates."""
+    ranked = global_rank(rows, F.floor(F.col(t) / 86_400_000_000), [F.asc(t), F.asc(ident)], "_r").join(F.broadcast(rows.agg(F.count("*").alias("_n"))))
+    at = (F.col("_r") - 1) / F.col("_n")
+    f = ranked.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    edge = F.lit(first) + F.lit(step) * F.col("fold")
+    part = F.when(at < edge, "train").when(at < edge + step, "validate").when(at < edge + 2 * step, "evaluate")
+    return f.withColumn("part", part).where("part IS NOT NULL").drop("_r", "_n")
+
+
+def missing_report(rows: DataFrame, by: str, columns: list[str]) -> DataFrame:
+    """(by, column, missing, n) of the named columns, in one aggregation."""
+    a = rows.groupBy(by).agg(F.count("*").alias("n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
+    return a.unpivot([by, "n"], columns, "column", "missing")

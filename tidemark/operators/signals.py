@@ -162,3 +162,28 @@ def reject_gate(metrics: DataFrame, least: int) -> DataFrame:
         .when(F.coalesce(F.col("profit_factor"), F.lit(float("inf"))) <= 1, "profit_factor")
     )
     return metrics.withColumn("rejected", reason)
+
+
+def distinct_memberships(rows: DataFrame, rules: dict[str, Column], ident: str) -> DataFrame:
+    """(rule_id, n) of the rules that no rule before them, by name, shares all its rows with.
+
+    A rule's rows are folded into their number and two order-free hashes of their ids, so memberships are compared without being gathered.
+    """
+    tagged = rows.select(ident, F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]))).alias("rule_id"))
+    m = tagged.groupBy("rule_id").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(ident)).alias("_x"), F.bit_xor(F.xxhash64(F.lit("b"), ident)).alias("_y"))
+    return m.groupBy("n", "_x", "_y").agg(F.min("rule_id").alias("rule_id")).select("rule_id", "n")
+
+
+def discovery_grid(rows: DataFrame, rules: dict[str, Column], values: dict[str, str], bands: list[float], train: Column, least: int) -> DataFrame:
+    """(rule_id, horizon, band, direction, n, accuracy, mean): every rule at every horizon and band, its direction chosen on the training rows.
+
+    The direction is that of the larger share of moves beyond the band, up on a tie; only combinations with ``least`` rows stay. All
+    combinations are aggregated in one pass over the rows.
+    """
+    t = rows.where(train).withColumn("rule_id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]))))
+    long = t.select("rule_id", *values.values()).unpivot(["rule_id"], list(values.values()), "_c", "v").where("v IS NOT NULL")
+    horizon = F.create_map(*[F.lit(x) for h, c in values.items() for x in (c, h)])
+    long = long.withColumn("horizon", F.element_at(horizon, F.col("_c"))).withColumn("band", F.explode(F.array(*[F.lit(b) for b in bands])))
+    a = long.groupBy("rule_id", "horizon", "band").agg(F.count("*").alias("n"), F.avg((F.col("v") > F.col("band")).cast("double")).alias("up"), F.avg((F.col("v") < -F.col("band")).cast("double")).alias("down"), F.avg("v").alias("m"))
+    long_ = F.col("up") >= F.col("down")
+    return a.where(F.col("n") >= least).select("rule_id", "horizon", "band", F.when(long_, "LONG").otherwise("SHORT").alias("direction"), "n", F.greatest("up", "down").alias("accuracy"), F.when(long_, F.col("m")).otherwise(-F.col("m")).alias("mean"))
