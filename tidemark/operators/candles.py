@@ -142,7 +142,7 @@ def window_coverage(spans: DataFrame, grid: DataFrame, benchmark: str) -> DataFr
         F.when((own == need) & (bench == need), "fully_covered").when(F.col("first_minute").isNull() | (F.col("start") < F.col("first_minute")), "pre_listing")
         .when((own > 0) & (bench > 0), "candle_gap_overlap").otherwise("missing_context")
     )
-    return spans.join(seen, "id", "left").join(F.broadcast(first), "symbol", "left").select("id", "symbol", own.alias("own"), bench.alias("bench"), status.alias("status"))
+    return spans.join(seen, "id", "left").join(first, "symbol", "left").select("id", "symbol", own.alias("own"), bench.alias("bench"), status.alias("status"))
 
 
 def bars(grid: DataFrame, minutes: int = 1440) -> DataFrame:
@@ -192,7 +192,7 @@ def archive_months(grid: DataFrame) -> DataFrame:
 def span_status(spans: DataFrame, grid: DataFrame, before: int, after: int) -> DataFrame:
     """(id, symbol, status): whether a symbol's history reaches from ``before`` minutes before to ``after`` after a point (id, symbol, at)."""
     a = availability(grid).select("symbol", "first_minute", "last_minute")
-    j = spans.join(F.broadcast(a), "symbol", "left")  # one row per symbol
+    j = spans.join(a, "symbol", "left")
     lo, hi = F.col("at") - before >= F.col("first_minute"), F.col("at") + after <= F.col("last_minute")
     status = F.when(F.col("first_minute").isNull(), "no_history").when(lo & hi, "covered").when(~lo & ~hi, "too_short").when(~lo, "starts_late").otherwise("ends_early")
     return j.select("id", "symbol", status.alias("status"))

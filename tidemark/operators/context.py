@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.ordered import previous
 from tidemark.operators.reactions import window_bars
 
 #: Microseconds of a minute.
@@ -102,10 +103,18 @@ def rolling_score(df: DataFrame, key: list[str], order: str, value: str, rows: i
 
 
 def next_event(events: DataFrame, key: str, t: str, horizon: int) -> DataFrame:
-    """Add the distance to the key's next event, and the number of its events in (t, t + horizon]."""
-    w = Window.partitionBy(key).orderBy(t)
-    ahead = w.rangeBetween(1, horizon)
-    return events.withColumn("to_next", F.lead(t).over(w) - F.col(t)).withColumn("within", F.count("*").over(ahead))
+    """Add ``to_next``, the distance to the key's next later event, and ``within``, the number of its events in (t, t + horizon].
+
+    Times are whole numbers. A key is cut into blocks of the horizon; a block also sees the times of the next one, so a hot key is many tasks.
+    """
+    blk = F.floor(F.col(t) / horizon)
+    times = events.where(F.col(t).isNotNull()).groupBy(key, F.col(t).alias("_t")).agg(F.count("*").alias("_n")).withColumn("_blk", F.floor(F.col("_t") / horizon))
+    later = previous(times, F.col("_blk"), ["_t"], [key], "_next", forward=True).select(key, "_t", (F.col("_next._t") - F.col("_t")).alias("to_next"))
+    seen = times.withColumn("_at", F.explode(F.array(F.col("_blk"), F.col("_blk") - 1)))
+    w = Window.partitionBy(key, "_at").orderBy("_t").rangeBetween(1, horizon)
+    counted = seen.withColumn("within", F.coalesce(F.sum("_n").over(w), F.lit(0))).where("_at = _blk").select(key, "_t", "within")
+    facts = counted.join(later, [key, "_t"]).withColumnRenamed("_t", t)
+    return events.join(facts, [key, t], "left")
 
 
 def tercile_labels(df: DataFrame, value: str, train: Column) -> DataFrame:

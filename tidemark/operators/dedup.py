@@ -10,14 +10,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.ordered import previous, running
 from tidemark.plans.cut import cut
 
+#: Microseconds of a day, the bucket of times.
+DAY_US = 86_400_000_000
+
 
 def earliest_of_group(rows: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
     """The first row of each group in a total order, with ``group_size`` and ``reason`` ('only' or 'earliest')."""
-    w = Window.partitionBy(*group)
-    ranked = rows.withColumn("_k", F.row_number().over(w.orderBy(*order))).withColumn("group_size", F.count("*").over(w))
-    return ranked.where("_k = 1").drop("_k").withColumn("reason", F.when(F.col("group_size") == 1, "only").otherwise("earliest"))
+    # The first of each group is cut before the shuffle (a group limit), and sizes are counted map-side, so a hot group costs no task its rows.
+    first = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where("_k = 1").drop("_k")
+    sizes = rows.groupBy(*[F.col(g).alias(f"_g{k}") for k, g in enumerate(group)]).agg(F.count("*").alias("group_size"))
+    same = reduce(lambda x, y: x & y, [first[g].eqNullSafe(sizes[f"_g{k}"]) for k, g in enumerate(group)])
+    j = first.join(sizes, same).drop(*[f"_g{k}" for k in range(len(group))])
+    return j.withColumn("reason", F.when(F.col("group_size") == 1, "only").otherwise("earliest"))
 
 
 def pairs_by_key(members: DataFrame, ident: str, keys: list[str]) -> DataFrame:
@@ -35,16 +42,16 @@ def pairs_by_key(members: DataFrame, ident: str, keys: list[str]) -> DataFrame:
 
 def chained_pairs(members: DataFrame, ident: str, key: str, t: str, within: int) -> DataFrame:
     """(a, b) of neighbours in time with the same key that are at most ``within`` apart."""
-    w = Window.partitionBy(key).orderBy(t, ident)
-    m = members.where(F.col(key).isNotNull() & (F.col(key) != "")).select(key, F.col(ident).alias("b"), F.col(t), F.lag(ident).over(w).alias("a"), F.lag(t).over(w).alias("_before"))
-    return m.where(F.col("a").isNotNull() & (F.col(t) - F.col("_before") <= within)).select("a", "b")
+    m = members.where(F.col(key).isNotNull() & (F.col(key) != "")).select(key, F.col(t).alias("t"), F.col(ident).alias("b"))
+    p = previous(m, F.floor(F.col("t") / DAY_US), ["t", "b"], [key], "_p")
+    return p.where(F.col("t") - F.col("_p.t") <= within).select(F.col("_p.b").alias("a"), "b")
 
 
 def islands(members: DataFrame, key: str, t: str, ident: str, within: int) -> DataFrame:
     """Add ``island``: rows of a key numbered by runs without a pause longer than ``within``."""
-    w = Window.partitionBy(key).orderBy(t, ident)
-    jump = (F.col(t) - F.lag(t).over(w) > within).cast("int")
-    return members.withColumn("_j", F.coalesce(jump, F.lit(0))).withColumn("island", F.sum("_j").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_j")
+    day, order = F.floor(F.col(t) / DAY_US), [F.asc(t), F.asc(ident)]
+    p = previous(members, day, [t, ident], [key], "_p").withColumn("_j", F.coalesce((F.col(t) - F.col(f"_p.{t}") > within).cast("int"), F.lit(0)))
+    return running(p, day, order, "_j", "island", by=[key]).drop("_j", "_p")
 
 
 def min_labels(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -77,8 +84,8 @@ def not_stored(new: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
 def first_by_any_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Keep the first row of each key's value, one key after another, as a list of seen values would if each key were checked in turn."""
     for k in keys:
-        rank = F.row_number().over(Window.partitionBy(k).orderBy(*order))
-        rows = rows.withColumn("_k", F.when(F.col(k).isNull(), 1).otherwise(rank)).where("_k = 1").drop("_k")
+        there = rows.where(F.col(k).isNotNull()).withColumn("_k", F.row_number().over(Window.partitionBy(k).orderBy(*order))).where("_k = 1").drop("_k")
+        rows = there.unionByName(rows.where(F.col(k).isNull()))  # rows without the key are no group and need no order
     return rows
 
 
@@ -141,7 +148,10 @@ def ledger(batch: DataFrame, stored: DataFrame, keys: list[str], order: list[Col
     out = batch
     for k in keys:
         have = stored.select(F.col(k)).where(F.col(k).isNotNull() & (F.col(k) != "")).distinct().withColumn(f"_s_{k}", F.lit(True))
-        out = out.join(have, k, "left").withColumn(f"_r_{k}", F.row_number().over(Window.partitionBy(k).orderBy(*order)))
+        out = out.join(have, k, "left")
+        # Rows without the key are spread by their content, so that they don't meet in one task.
+        spread = F.when(F.col(k).isNull() | (F.col(k) == ""), F.xxhash64(*batch.columns))
+        out = out.withColumn(f"_r_{k}", F.row_number().over(Window.partitionBy(k, spread).orderBy(*order)))
     for k in reversed(keys):
         status = F.when((F.col(f"_r_{k}") > 1) & F.col(k).isNotNull() & (F.col(k) != ""), f"batch:{k}").otherwise(status)
     for k in reversed(keys):

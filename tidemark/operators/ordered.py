@@ -1,32 +1,54 @@
-"""Global order without a single task: ranks, running sums and running extremes by buckets.
+"""Order without a single task: ranks, running sums, running extremes and neighbours by buckets, over all rows or within keys.
 
 Each operator takes a ``bucket`` that follows the order (for times, the day). Buckets are summed up first; only their totals, of which there
-are as many as buckets, pass through one window, and rows are ordered within their bucket. Name a finer bucket if one holds too many rows.
+are as many as buckets, pass through one window for each key, and rows are ordered within their key and bucket. So neither the whole table nor
+a hot key is ordered in one task. Name a finer bucket if one holds too many rows. Keys may be NULL.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-def _before() -> WindowSpec:
-    return Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
 
+def _before(by: list[str]) -> WindowSpec:
+    return Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _join(df: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
+    """The totals at every row of their key and bucket; NULL keys meet NULL keys."""
+    t = totals.select(F.col("_b").alias("_b2"), *[F.col(c).alias(f"_2{k}") for k, c in enumerate(by)], *[c for c in totals.columns if c not in (*by, "_b")])
+    same = reduce(lambda a, c: a & c, [df[c].eqNullSafe(t[f"_2{k}"]) for k, c in enumerate(by)], df["_b"].eqNullSafe(t["_b2"]))
+    return df.join(t, same).drop("_b2", *[f"_2{k}" for k in range(len(by))])
 
-def global_rank(df: DataFrame, bucket: Column, order: list[Column], name: str = "rank") -> DataFrame:
+
+def global_rank(df: DataFrame, bucket: Column, order: list[Column], name: str = "rank", by: list[str] | None = None) -> DataFrame:
     """Add the 1-based position of each row in the order bucket, then ``order``, which should be total."""
+    by = by or []
     d = df.withColumn("_b", bucket)
-    ahead = d.groupBy("_b").agg(F.count("*").alias("_n")).withColumn("_ahead", F.coalesce(F.sum("_n").over(_before()), F.lit(0))).select("_b", "_ahead")
-    return d.join(ahead, "_b").withColumn(name, F.col("_ahead") + F.row_number().over(Window.partitionBy("_b").orderBy(*order))).drop("_b", "_ahead")
+    ahead = d.groupBy(*by, "_b").agg(F.count("*").alias("_n")).withColumn("_ahead", F.coalesce(F.sum("_n").over(_before(by)), F.lit(0))).drop("_n")
+    return _join(d, ahead, by).withColumn(name, F.col("_ahead") + F.row_number().over(Window.partitionBy(*by, "_b").orderBy(*order))).drop("_b", "_ahead")
 
 
-def running(df: DataFrame, bucket: Column, order: list[Column], value: str, name: str, largest: bool = False) -> DataFrame:
+def running(df: DataFrame, bucket: Column, order: list[Column], value: str, name: str, largest: bool = False, by: list[str] | None = None) -> DataFrame:
     """Add the running sum of a value in the order, or its running maximum; NULL counts as nothing."""
-    whole, part = (F.max, F.max) if largest else (F.sum, F.sum)
+    by = by or []
+    whole = F.max if largest else F.sum
     d = df.withColumn("_b", bucket)
-    ahead = d.groupBy("_b").agg(whole(value).alias("_v")).withColumn("_ahead", part("_v").over(_before())).select("_b", "_ahead")
-    here = part(value).over(Window.partitionBy("_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    j = d.join(ahead, "_b")
-    both = F.greatest(here, F.col("_ahead")) if largest else F.coalesce(here, F.lit(0.0)) + F.coalesce("_ahead", F.lit(0.0))
+    ahead = d.groupBy(*by, "_b").agg(whole(value).alias("_v")).withColumn("_ahead", whole("_v").over(_before(by))).drop("_v")
+    here = whole(value).over(Window.partitionBy(*by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    j = _join(d, ahead, by)
+    both = F.greatest(here, F.col("_ahead")) if largest else F.coalesce(here, F.lit(0)) + F.coalesce("_ahead", F.lit(0))
     return j.withColumn(name, both).drop("_b", "_ahead")
+
+
+def previous(df: DataFrame, bucket: Column, order: list[str], by: list[str], name: str, forward: bool = False) -> DataFrame:
+    """Add the struct of the ``order`` columns of the row before (or after) in the ascending order of these columns; NULL at the end."""
+    d = df.withColumns({"_b": bucket, "_o": F.struct(*order)})
+    ends = d.groupBy(*by, "_b").agg((F.min if forward else F.max)("_o").alias("_e"))
+    far = (F.lead if forward else F.lag)("_e").over(Window.partitionBy(*by).orderBy("_b"))
+    near = (F.lead if forward else F.lag)("_o").over(Window.partitionBy(*by, "_b").orderBy("_o"))
+    return _join(d, ends.withColumn("_far", far).drop("_e"), by).withColumn(name, F.coalesce(near, "_far")).drop("_b", "_o", "_far")

@@ -76,7 +76,7 @@ def corrected_skew(value: str) -> Column:
 def nth_delay(rows: DataFrame, group: str, t: str, nth: int = 2) -> DataFrame:
     """Time from the first to the nth row of each group that has so many."""
     ranked = rows.withColumn("_k", F.row_number().over(Window.partitionBy(group).orderBy(t)))
-    a = ranked.where(F.col("_k").isin(1, nth)).groupBy(group).agg(F.min(t).alias("a"), F.max(F.when(F.col("_k") == nth, F.col(t))).alias("b"))
+    a = ranked.where(F.col("_k") <= nth).groupBy(group).agg(F.min(t).alias("a"), F.max(F.when(F.col("_k") == nth, F.col(t))).alias("b"))
     return a.where("b IS NOT NULL").select(group, (F.col("b") - F.col("a")).alias("delay"))
 
 

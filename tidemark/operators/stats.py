@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
-from tidemark.operators.ordered import running
+from tidemark.operators.ordered import global_rank, running
 
 Z = 1.959963984540054
 
@@ -91,8 +91,10 @@ def mann_whitney(rows: DataFrame, value: str, first: Column) -> DataFrame:
 
 def trimmed_mean(rows: DataFrame, groups: list[str], value: str, share: float = 0.05) -> DataFrame:
     """Mean without the floor(share * n) smallest and largest values of each group."""
-    w = Window.partitionBy(*groups)
-    r = rows.where(F.col(value).isNotNull()).withColumn("_k", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count("*").over(w))
+    there = rows.where(F.col(value).isNotNull())
+    # Groups are few and large here: each is ordered by buckets of its value, not in one task.
+    n = there.groupBy(*groups).agg(F.count("*").alias("_n"))
+    r = global_rank(there, F.floor(value), [F.asc(value)], "_k", by=groups).join(n, groups)
     t = F.floor(F.col("_n") * F.lit(share))
     return r.where((F.col("_k") > t) & (F.col("_k") <= F.col("_n") - t)).groupBy(*groups).agg(F.count("*").alias("n"), F.avg(value).alias("trimmed_mean"))
 

@@ -93,7 +93,7 @@ def i1_analysis_join(spark: SparkSession, d: str) -> DataFrame:
     p = read(spark, d, "production_rows").distinct().select(F.lower(F.trim("event_id")).alias("event"), "category", "row_id")
     first = p.groupBy("event").agg(F.min_by("category", "row_id").alias("category"))
     value = F.get_json_object("metrics_json", "$.return_1m").cast("double")
-    return r.join(first, "event").groupBy("symbol", "category").agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean_return"))
+    return r.join(first, "event").groupBy("symbol", "category").agg(F.count("*").alias("n"), F.round(F.sum(value), 6).alias("total_return"))
 
 
 def i6_halves(spark: SparkSession, d: str) -> DataFrame:
@@ -235,7 +235,7 @@ SQL = {
     "h23_topic_scores": f"""WITH x AS (SELECT source_type, {_ETHW('title', ['ether', 'eth'])} AS m, {_LIST.format('ETH')} AS h FROM primary_source_events), a AS (SELECT source_type, count(*) FILTER (h AND m) AS tp, count(*) FILTER (NOT h AND m) AS fp, count(*) FILTER (h AND NOT m) AS fn FROM x GROUP BY 1)
         SELECT *, round(tp / nullif(tp + fp, 0), 6) AS "precision", round(tp / nullif(tp + fn, 0), 6) AS recall, round(2 * (tp / nullif(tp + fp, 0)) * (tp / nullif(tp + fn, 0)) / nullif(tp / nullif(tp + fp, 0) + tp / nullif(tp + fn, 0), 0), 6) AS f1 FROM a""",
     "i1_analysis_join": """WITH r AS (SELECT DISTINCT * FROM stage16c_market_reactions), p AS (SELECT lower(trim(event_id)) AS event, arg_min(category, row_id) FILTER (category IS NOT NULL) AS c0, min(row_id) AS m FROM (SELECT DISTINCT * FROM production_rows) GROUP BY 1), q AS (SELECT p.event, x.category FROM p JOIN (SELECT DISTINCT row_id, category FROM production_rows) x ON x.row_id = p.m)
-        SELECT symbol, category, count(*) AS n, round(avg(CAST(json_extract_string(metrics_json, '$.return_1m') AS DOUBLE)), 6) AS mean_return FROM r JOIN q ON lower(trim(r.canonical_event_id)) = q.event GROUP BY 1, 2""",
+        SELECT symbol, category, count(*) AS n, round(sum(CAST(json_extract_string(metrics_json, '$.return_1m') AS DOUBLE)), 6) AS total_return FROM r JOIN q ON lower(trim(r.canonical_event_id)) = q.event GROUP BY 1, 2""",
     "i6_halves": f"WITH {_FR}, k AS (SELECT event_id, row_number() OVER (ORDER BY published_us, event_id) - 1 AS k, count(*) OVER () AS n FROM o) SELECT CASE WHEN k < floor(n * 0.5) THEN 'train' WHEN k < floor(n * 0.75) THEN 'validation' ELSE 'test' END AS split, count(*) AS n, min(event_id) AS first_id FROM k GROUP BY 1",
     "i14_cost_targets": f"WITH {RETURNS} SELECT symbol, " + ", ".join(f"count(*) FILTER (abs(ret) > {b / 100}::DOUBLE) AS above_{b}" for b in (4, 10, 25)) + " FROM hr WHERE ret IS NOT NULL GROUP BY 1",
     "i21_json_element": """SELECT upper(list_filter(from_json(assets_json, '["VARCHAR"]'), lambda x: upper(x) <> 'BTC')[1]) AS asset, count(*) AS n FROM primary_source_events GROUP BY 1""",
