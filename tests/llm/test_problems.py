@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -316,6 +317,32 @@ def test_near_copies(spark, bucket, monkeypatch):
     assert nearcopies.near_copy_groups(records(spark, rows[:1]).limit(0)).collect() == []
 
 
+def test_word_counts_are_of_distinct_texts(spark):
+    rows = [(i, "s", "the very same", None, "text told often") for i in range(50)]
+    rows += [(100, "s", "another text", None, "told once"), (101, "s", "The very", None, "same, text: told often"), (102, "s", "same", None, "text"), rows[3]]
+    counts, texts = nearcopies.word_counts(records(spark, rows).select("record_id", "title", "body"), 3)
+    got = {r.word: r.n for r in counts.where("n > 0").collect()}
+    number = lambda w: int(np.array([xxhash.xxh64_intdigest(w)], dtype=np.uint64).view(np.int64)[0])
+    want = {"the": 1, "very": 1, "same": 1, "text": 2, "told": 2, "often": 1, "another": 1, "once": 1}
+    assert texts == 2 and got == {number(w): k for w, k in want.items()}
+
+
+def test_links_of_hot_texts_are_candidates():
+    """Pairs of texts with only usual words, told apart by a tenth of rare words each (words alike to .8), meet in some table."""
+    rng = np.random.default_rng(4)
+    fresh = lambda k: rng.integers(1, 2**63, k, dtype=np.uint64)
+    met = 0
+    for _ in range(200):
+        told = fresh(160)
+        pair = [np.concatenate([told, fresh(20)]) for _ in range(2)]
+        often = np.sort(told)
+        segments, narrow, _ = nearcopies.fingerprints(np.concatenate(pair), np.array([180, 180]), often, np.full(160, 0.2), 3)
+        codes, count = golay.keys(segments.ravel())
+        of = [[set(codes[k * nearcopies.TABLES + t, : count[k * nearcopies.TABLES + t]].tolist()) for k in range(2)] for t in range(nearcopies.TABLES)]
+        met += any(narrow[0, t] == narrow[1, t] and bool(x & y) for t, (x, y) in enumerate(of))
+    assert met >= 0.97 * 200
+
+
 # Spam
 
 
