@@ -336,13 +336,18 @@ def test_links_of_hot_texts_are_candidates():
         told = fresh(160)
         pair = [np.concatenate([told, fresh(20)]) for _ in range(2)]
         often = np.sort(told)
-        segments, narrow, _ = nearcopies.fingerprints(np.concatenate(pair), np.array([180, 180]), often, np.full(160, 0.2), 3)
+        segments, narrow, _ = nearcopies.fingerprints(np.concatenate(pair), np.array([180, 180]), often, np.full(160, 0.2))
         codes, count = golay.keys(segments.ravel())
         of = [[set(codes[k * nearcopies.TABLES + t, : count[k * nearcopies.TABLES + t]].tolist()) for k in range(2)] for t in range(nearcopies.TABLES)]
         met += any(narrow[0, t] == narrow[1, t] and bool(x & y) for t, (x, y) in enumerate(of))
     assert met >= 0.97 * 200
 
 
+def test_broad_tables_do_not_follow_the_size():
+    assert not hasattr(nearcopies, "broad_minhashes") and nearcopies.BROAD_MINHASHES == 3
+    assert "broad" not in nearcopies.fingerprints.__code__.co_varnames[: nearcopies.fingerprints.__code__.co_argcount]
+
+
 # Spam
 
 
