@@ -28,6 +28,16 @@ def test_query_equals_sql(spark, name):
     same(spark, connect(), queries.QUERIES[name], queries.SQL[name])
 
 
+def test_a_site_does_not_depend_on_other_sites(spark, monkeypatch):
+    monkeypatch.setattr(wrappers, "BLOCK_PAGES", 20)
+    rng = random.Random(11)
+    rows = [(i, "own", f"Title {i}", None, page(rng, i)[0]) for i in range(12)]
+    others = [(1000 + i, "other", None, None, f"Nothing{i} like{i} this{i} was{i} seen{i} before.") for i in range(4000)]
+    alone = {tuple(r) for r in wrappers.boilerplate(records(spark, rows)).collect()}
+    among = {tuple(r) for r in wrappers.boilerplate(records(spark, rows + others)).where("record_id < 1000").collect()}
+    assert len(alone) >= 12 * 8 and among == alone
+
+
 # Nearest time
 
 
