@@ -38,6 +38,16 @@ def test_a_site_does_not_depend_on_other_sites(spark, monkeypatch):
     assert len(alone) >= 12 * 8 and among == alone
 
 
+def test_a_line_counts_in_all_pages_that_have_it(spark, monkeypatch):
+    monkeypatch.setattr(wrappers, "SHARE", 0.05)
+    notice = "This notice is shown on some pages of the site and nowhere else. It has two sentences."
+    unlike = lambda i: "\n".join(f"Nothing{i}x{k} like{i}x{k} this{i}x{k} was{i}x{k} seen{i}x{k} before{i}x{k}." for k in range(4))
+    spell = str.maketrans("0123456789", "abcdefghij")
+    rows = [(i, "own", None, None, unlike(i).translate(spell) + ("\n" + notice if i % 17 == 0 else "")) for i in range(1000)]
+    got = {tuple(r) for r in wrappers.boilerplate(records(spark, rows)).collect()}
+    assert got == {(i, 5) for i in range(0, 1000, 17)}
+
+
 # Nearest time
 
 
