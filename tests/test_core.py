@@ -209,3 +209,13 @@ def test_streams(spark, tmp_path):
     cur = W.resume_cursor(e, "symbol", "t", "1 minute")
     pages = W.request_pages(cur, "symbol", "2024-01-01 01:00:00", "1 minute", 10).where("symbol = 'a'").orderBy("start").collect()
     assert [str(p.start)[14:16] for p in pages] == ["40", "50", "00"] and str(pages[0].stop)[14:16] == "49"
+
+
+def test_minutes_missing_after_the_first_hours(spark, tmp_path):
+    from tidemark.plans.candle_queries import c4_missing_minutes_whole
+
+    first, gone = 29_145_600, {5, 700, 1439, 1440, 3000}
+    rows = [("A", (first + k) * 60_000, 1.0, 1.0, 1.0, 1.0, 1.0, (first + k) * 60_000 + 59_999, 1.0, 1, 0.5, 0.5) for k in range(4000) if k not in gone]
+    columns = "symbol string, open_time bigint, open double, high double, low double, close double, volume double, close_time bigint, quote_volume double, trade_count bigint, taker_buy_base double, taker_buy_quote double"
+    spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/archive_candles.parquet")
+    assert {r.minute - first for r in c4_missing_minutes_whole(spark, str(tmp_path)).collect()} == gone

@@ -86,6 +86,16 @@ def c4_missing_minutes(spark: SparkSession, d: str) -> DataFrame:
     return C.missing_minutes(g, spans)
 
 
+def c4_missing_minutes_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Minutes missing between the first and the last minute of each symbol."""
+    g = _grid(spark, d)
+    a = C.availability(g).select("symbol", "first_minute", "last_minute")
+    # A sequence holds a day at most, however long the history is.
+    days = a.withColumn("day", F.explode(F.sequence(F.floor(F.col("first_minute") / 1440), F.floor(F.col("last_minute") / 1440))))
+    start, stop = F.greatest("first_minute", F.col("day") * 1440), F.least("last_minute", F.col("day") * 1440 + 1439)
+    return C.missing_minutes(g, days.select(F.col("symbol").alias("id"), "symbol", start.alias("start"), stop.alias("stop")))
+
+
 def c5_resume_points(spark: SparkSession, d: str) -> DataFrame:
     """Where each symbol's import has to go on."""
     return C.resume_points(_grid(spark, d), 29_145_600)
@@ -130,7 +140,7 @@ def c14_archive_months(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    b1_normalised_times, b3_candle_codes, b4_sound_candles, b6_copies, b7_conflicts, b8_insert_new, b9_row_hash, c3_gaps, c4_missing_minutes, c5_resume_points, c7_coverage,
+    b1_normalised_times, b3_candle_codes, b4_sound_candles, b6_copies, b7_conflicts, b8_insert_new, b9_row_hash, c3_gaps, c4_missing_minutes, c4_missing_minutes_whole, c5_resume_points, c7_coverage,
     c8_coverage_by_symbol, c9_availability, c11_hourly_bars, c12_period_metrics, c13_step_correlation, c14_archive_months,
 )}
 
@@ -155,6 +165,7 @@ SQL = {
     "b9_row_hash": "SELECT sha256(concat_ws(',', symbol, open_time, close_time, trade_count)) AS h, count(*) AS n FROM archive_candles GROUP BY 1",
     "c3_gaps": f"WITH {_G}, l AS (SELECT symbol, minute, lag(minute) OVER (PARTITION BY symbol ORDER BY minute) AS b FROM g) SELECT symbol, b + 1 AS gap_start, minute - 1 AS gap_end, minute - b - 1 AS missing FROM l WHERE minute - b > 1",
     "c4_missing_minutes": f"WITH {_G}, a AS (SELECT symbol, min(minute) AS f FROM g GROUP BY 1), w AS (SELECT symbol, unnest(generate_series(f, f + 119)) AS minute FROM a) SELECT symbol AS id, symbol, minute FROM w ANTI JOIN g USING (symbol, minute)",
+    "c4_missing_minutes_whole": f"WITH {_G}, a AS (SELECT symbol, min(minute) AS f, max(minute) AS l FROM g GROUP BY 1), w AS (SELECT symbol, unnest(generate_series(f, l)) AS minute FROM a) SELECT symbol AS id, symbol, minute FROM w ANTI JOIN g USING (symbol, minute)",
     "c5_resume_points": f"""WITH {_G}, h AS (SELECT * FROM g WHERE minute >= 29145600), e AS (SELECT symbol, min(minute) + 1 AS hole FROM h WHERE NOT EXISTS (SELECT 1 FROM h AS n WHERE n.symbol = h.symbol AND n.minute = h.minute + 1) GROUP BY 1),
         f AS (SELECT symbol, min(minute) AS f FROM h GROUP BY 1) SELECT symbol, CASE WHEN f > 29145600 THEN 29145600 ELSE hole END AS resume_minute FROM f JOIN e USING (symbol)""",
     "c7_coverage": f"WITH {_COVER} SELECT * FROM cv",
