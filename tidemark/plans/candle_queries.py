@@ -102,7 +102,7 @@ def c5_resume_points(spark: SparkSession, d: str) -> DataFrame:
 
 
 def c7_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """Coverage of spans of two hours around every tenth of an hour of each symbol and of the benchmark."""
+    """Coverage of spans of two hours around every full hour whose first minute a symbol has, of the symbol and of the benchmark."""
     g = _grid(spark, d)
     spans = g.where("minute % 60 = 0").select(F.concat("symbol", F.lit(":"), "minute").alias("id"), "symbol", (F.col("minute") - 60).alias("start"), (F.col("minute") + 60).alias("stop"))
     return C.window_coverage(spans, g, "BTCUSDT")
@@ -113,6 +113,20 @@ def c8_coverage_by_symbol(spark: SparkSession, d: str) -> DataFrame:
     return c7_coverage(spark, d).rollup("symbol", "status").agg(F.count("*").alias("n")).select(F.coalesce("symbol", F.lit("all")).alias("symbol"), F.coalesce("status", F.lit("all")).alias("status"), "n")
 
 
+def c7_coverage_every_hour(spark: SparkSession, d: str) -> DataFrame:
+    """Coverage of spans of two hours around every full hour between a symbol's first and last minute, also where the candles are missing."""
+    g = _grid(spark, d)
+    hours = C.availability(g).select("symbol", F.explode(F.sequence(F.floor(F.col("first_minute") / 60), F.floor(F.col("last_minute") / 60))).alias("hour"), "first_minute", "last_minute")
+    at = hours.withColumn("minute", F.col("hour") * 60).where(F.col("minute").between(F.col("first_minute"), F.col("last_minute")))
+    spans = at.select(F.concat("symbol", F.lit(":"), "minute").alias("id"), "symbol", (F.col("minute") - 60).alias("start"), (F.col("minute") + 60).alias("stop"))
+    return C.window_coverage(spans, g, "BTCUSDT")
+
+
+def c8_coverage_by_symbol_every_hour(spark: SparkSession, d: str) -> DataFrame:
+    """Those spans by symbol and status, with totals."""
+    return c7_coverage_every_hour(spark, d).rollup("symbol", "status").agg(F.count("*").alias("n")).select(F.coalesce("symbol", F.lit("all")).alias("symbol"), F.coalesce("status", F.lit("all")).alias("status"), "n")
+
+
 def c9_availability(spark: SparkSession, d: str) -> DataFrame:
     """First, last and number of minutes of each symbol."""
     return C.availability(_grid(spark, d))
@@ -141,7 +155,7 @@ def c14_archive_months(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     b1_normalised_times, b3_candle_codes, b4_sound_candles, b6_copies, b7_conflicts, b8_insert_new, b9_row_hash, c3_gaps, c4_missing_minutes, c4_missing_minutes_whole, c5_resume_points, c7_coverage,
-    c8_coverage_by_symbol, c9_availability, c11_hourly_bars, c12_period_metrics, c13_step_correlation, c14_archive_months,
+    c7_coverage_every_hour, c8_coverage_by_symbol, c8_coverage_by_symbol_every_hour, c9_availability, c11_hourly_bars, c12_period_metrics, c13_step_correlation, c14_archive_months,
 )}
 
 _COVER = _G + """, av AS (SELECT symbol, min(minute) AS first_minute FROM g GROUP BY 1),
@@ -151,6 +165,12 @@ _COVER = _G + """, av AS (SELECT symbol, min(minute) AS first_minute FROM g GROU
     cv AS (SELECT id, sp.symbol, coalesce(own, 0) AS own, coalesce(bench, 0) AS bench, CASE WHEN own = 121 AND bench = 121 THEN 'fully_covered' WHEN start < first_minute THEN 'pre_listing'
         WHEN own > 0 AND bench > 0 THEN 'candle_gap_overlap' ELSE 'missing_context' END AS status FROM sp LEFT JOIN o USING (id) LEFT JOIN b USING (id) LEFT JOIN av ON av.symbol = sp.symbol)"""
 
+_COVER_HOURS = _COVER.replace(
+    "sp AS (SELECT symbol || ':' || minute AS id, symbol, minute - 60 AS start, minute + 60 AS stop FROM g WHERE minute % 60 = 0)",
+    """fl AS (SELECT symbol, min(minute) AS f, max(minute) AS l FROM g GROUP BY 1), hr AS (SELECT symbol, f, l, unnest(generate_series(f // 60, l // 60)) * 60 AS minute FROM fl),
+    sp AS (SELECT symbol || ':' || minute AS id, symbol, minute - 60 AS start, minute + 60 AS stop FROM hr WHERE minute BETWEEN f AND l)""",
+)
+
 SQL = {
     "b1_normalised_times": f"""WITH {_P}, q AS (SELECT *, CASE WHEN open_us BETWEEN 1483228800000000 AND 1893455999999999 THEN open_us END AS o, CASE WHEN close_us BETWEEN 1483228800000000 AND 1893455999999999 THEN close_us END AS c FROM p)
         SELECT symbol, open_time, o AS open_us, o // 60000000 AS minute, CASE WHEN symbol IS NULL OR open_time IS NULL OR close_time IS NULL OR open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL OR volume IS NULL THEN 'missing_field'
@@ -170,6 +190,8 @@ SQL = {
         f AS (SELECT symbol, min(minute) AS f FROM h GROUP BY 1) SELECT symbol, CASE WHEN f > 29145600 THEN 29145600 ELSE hole END AS resume_minute FROM f JOIN e USING (symbol)""",
     "c7_coverage": f"WITH {_COVER} SELECT * FROM cv",
     "c8_coverage_by_symbol": f"WITH {_COVER} SELECT coalesce(symbol, 'all') AS symbol, coalesce(status, 'all') AS status, count(*) AS n FROM cv GROUP BY ROLLUP (symbol, status)",
+    "c7_coverage_every_hour": f"WITH {_COVER_HOURS} SELECT * FROM cv",
+    "c8_coverage_by_symbol_every_hour": f"WITH {_COVER_HOURS} SELECT coalesce(symbol, 'all') AS symbol, coalesce(status, 'all') AS status, count(*) AS n FROM cv GROUP BY ROLLUP (symbol, status)",
     "c9_availability": f"WITH {_G} SELECT symbol, min(minute) AS first_minute, max(minute) AS last_minute, count(DISTINCT minute) AS minutes FROM g GROUP BY 1",
     "c11_hourly_bars": f"WITH {_D} SELECT symbol, bar, open, high, low, close, round(volume, 4) AS volume, n FROM d",
     "c12_period_metrics": f"""WITH {_D}, w AS (SELECT *, max(close) OVER r AS peak, min(close) OVER r AS trough, close / lag(close) OVER (PARTITION BY symbol ORDER BY bar) - 1 AS step FROM d WINDOW r AS (PARTITION BY symbol ORDER BY bar ROWS UNBOUNDED PRECEDING)),
