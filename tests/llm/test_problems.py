@@ -6,7 +6,6 @@ import re
 
 import numpy as np
 import pytest
-import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -311,14 +310,13 @@ def brute_groups(rows):
     return {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if lab[a] == lab[b]}
 
 
-@pytest.mark.parametrize("bucket", [2, 200])
-def test_near_copies(spark, bucket, monkeypatch):
-    monkeypatch.setattr(nearcopies, "BUCKET", bucket)
+@pytest.mark.parametrize(("bucket", "blocks", "hot"), [(2, 8, 20), (3, 1000, 10**6), (4096, 65536, 50_000)])
+def test_near_copies(spark, bucket, blocks, hot):
     rng = random.Random(8)
     fresh = lambda n: [f"t{rng.randrange(10**6)}" for _ in range(n)]
-    rows, hot = [], fresh(150)
+    rows, told = [], fresh(150)
     for i in range(60):  # one hot group of different texts
-        w = hot[:]
+        w = told[:]
         for _ in range(4):
             w[rng.randrange(150)] = f"e{rng.randrange(10**6)}"
         rows.append((i, "s", "head", None, " ".join(w)))
@@ -329,7 +327,7 @@ def test_near_copies(spark, bucket, monkeypatch):
         rows.append((i, "s", rows[i - 90][2], None, " ".join(w[:50] + fresh(3) + w[50:])))
     rows += [(300 + k, "s", "the very same text", None, "over and over again") for k in range(40)]
     rows += [(400, "s", None, None, None), (401, "s", "", None, ""), (402, "s", "two words", None, None), (403, "s", "two words", None, None), (404, "s", "L", None, "long text " * 50_000), rows[0]]
-    g = nearcopies.near_copy_groups(records(spark, rows))
+    g = nearcopies.near_copy_groups(records(spark, rows), bucket=bucket, blocks=blocks, hot_rows=hot)
     assert g.count() == len({r[0] for r in rows})
     got = set(map(tuple, nearcopies.group_pairs(g).collect()))
     want = brute_groups(rows)
@@ -337,35 +335,29 @@ def test_near_copies(spark, bucket, monkeypatch):
     assert nearcopies.near_copy_groups(records(spark, rows[:1]).limit(0)).collect() == []
 
 
-def test_word_counts_are_of_distinct_texts(spark):
-    rows = [(i, "s", "the very same", None, "text told often") for i in range(50)]
-    rows += [(100, "s", "another text", None, "told once"), (101, "s", "The very", None, "same, text: told often"), (102, "s", "same", None, "text"), rows[3]]
-    counts, texts = nearcopies.word_counts(records(spark, rows).select("record_id", "title", "body"), 3)
-    got = {r.word: r.n for r in counts.where("n > 0").collect()}
-    number = lambda w: int(np.array([xxhash.xxh64_intdigest(w)], dtype=np.uint64).view(np.int64)[0])
-    want = {"the": 1, "very": 1, "same": 1, "text": 2, "told": 2, "often": 1, "another": 1, "once": 1}
-    assert texts == 2 and got == {number(w): k for w, k in want.items()}
-
-
-def test_links_of_hot_texts_are_candidates():
-    """Pairs of texts with only usual words, told apart by a tenth of rare words each (words alike to .8), meet in some table."""
+@pytest.mark.parametrize(("edits", "insert"), [(10, 0), (0, 75), (4, 40)])
+def test_linked_texts_meet_whatever_the_collection_holds(edits, insert):
+    """Pairs with about half of their sequences in common, by scattered edits, one insertion or both, share a key of some table and pass both sketches."""
     rng = np.random.default_rng(4)
     fresh = lambda k: rng.integers(1, 2**63, k, dtype=np.uint64)
     met = 0
-    for _ in range(200):
-        told = fresh(160)
-        pair = [np.concatenate([told, fresh(20)]) for _ in range(2)]
-        often = np.sort(told)
-        segments, narrow, _ = nearcopies.fingerprints(np.concatenate(pair), np.array([180, 180]), often, np.full(160, 0.2))
-        codes, count = golay.keys(segments.ravel())
-        of = [[set(codes[k * nearcopies.TABLES + t, : count[k * nearcopies.TABLES + t]].tolist()) for k in range(2)] for t in range(nearcopies.TABLES)]
-        met += any(narrow[0, t] == narrow[1, t] and bool(x & y) for t, (x, y) in enumerate(of))
-    assert met >= 0.97 * 200
-
-
-def test_broad_tables_do_not_follow_the_size():
-    assert not hasattr(nearcopies, "broad_minhashes") and nearcopies.BROAD_MINHASHES == 3
-    assert "broad" not in nearcopies.fingerprints.__code__.co_varnames[: nearcopies.fingerprints.__code__.co_argcount]
+    for _ in range(300):
+        one = fresh(150)
+        two = one.copy()
+        two[rng.choice(150, edits, replace=False)] = fresh(edits)
+        two = np.insert(two, rng.integers(150), fresh(insert))
+        signs, sketch = nearcopies.signatures(np.concatenate([one, two]), np.array([len(one), len(two)]), 3)
+        row, key = nearcopies.table_keys(signs)
+        far = np.bitwise_count((sketch[0] ^ sketch[1]).view(np.uint64))
+        met += bool(set(key[row == 0]) & set(key[row == 1])) and far[:2].sum() <= nearcopies.FAR_CARRIED and far.sum() <= nearcopies.FAR
+    assert met >= 0.98 * 300
+
+
+def test_group_pairs_of_a_large_group(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies, "PAIR_PART", 7)
+    g = spark.createDataFrame([(i, i % 2, 0) for i in range(60)] + [(100, 9, 9)], "record_id bigint, group_id bigint, text_id bigint")
+    got = sorted(map(tuple, nearcopies.group_pairs(g).collect()))
+    assert got == [(a, b) for a, b in itertools.combinations(range(60), 2) if (b - a) % 2 == 0]
 
 
 # Spam
