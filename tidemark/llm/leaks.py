@@ -121,7 +121,9 @@ def leaked_spans(docs: DataFrame, items: DataFrame, n: int = NGRAM, block_words:
 
 
 def without_leaks(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the words of every leaked span cut from the text; other columns and documents stay as they are."""
+    """``docs`` with the words of every leaked span, and what stands between them, cut from the text; other columns and documents stay as they
+    are. Spans that overlap or follow one another directly are one, so what is left is the text without the union of all spans.
+    """
     ranges = spans.groupBy(F.col("doc_id").alias("_doc")).agg(F.sort_array(F.collect_set(F.struct("first_word", "words"))).alias("_spans"))
 
     @F.pandas_udf("string")
@@ -129,9 +131,14 @@ def without_leaks(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", tex
         out = []
         for t, sp in zip(text, spans_, strict=True):
             if t is not None and sp is not None and len(sp):
-                ends = [(m.start(), m.end()) for m in _WORD.finditer(t)]
-                for s in sorted(sp, key=lambda s: -s["first_word"]):
-                    t = t[: ends[s["first_word"]][0]] + t[ends[s["first_word"] + s["words"] - 1][1] :]
+                places = [(m.start(), m.end()) for m in _WORD.finditer(t)]
+                kept, at, last = [], 0, -1  # characters up to ``at`` and words up to ``last`` are dealt with
+                for s in sorted(sp, key=lambda s: s["first_word"]):
+                    if s["first_word"] > last + 1 or not kept:
+                        kept.append(t[at : places[s["first_word"]][0]])
+                    last = max(last, s["first_word"] + s["words"] - 1)
+                    at = places[last][1]
+                t = "".join(kept) + t[at:]
             out.append(t)
         return pd.Series(out, dtype=object)
 

@@ -123,6 +123,18 @@ SQL = {
         eg AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - 11)) AS i FROM e))
         SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)
     """,
+    "p8_cleaned": """
+        WITH e AS (SELECT regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items),
+        eg AS (SELECT DISTINCT array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT w, unnest(generate_series(1, len(w) - 11)) AS i FROM e)),
+        d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
+        hit AS (SELECT doc_id, i FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 11)) AS i FROM d) JOIN eg ON g = array_to_string(w[i:i + 11], ' ')),
+        gone AS (SELECT DISTINCT doc_id, i + unnest(generate_series(0, 11)) AS i FROM hit),
+        part AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[\\p{L}\\p{N}]+')) AS gap, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}]+')) AS word,
+                        generate_subscripts(regexp_split_to_array(text, '[\\p{L}\\p{N}]+'), 1) AS i FROM documents WHERE doc_id IN (SELECT doc_id FROM hit)),
+        rest AS (SELECT part.doc_id, string_agg(CASE WHEN a.i IS NULL OR b.i IS NULL THEN gap ELSE '' END || CASE WHEN a.i IS NULL THEN coalesce(word, '') ELSE '' END, '' ORDER BY part.i) AS text
+                 FROM part LEFT JOIN gone AS a USING (doc_id, i) LEFT JOIN gone AS b ON b.doc_id = part.doc_id AND b.i = part.i - 1 GROUP BY part.doc_id)
+        SELECT doc_id, CASE WHEN rest.doc_id IS NULL THEN d.text ELSE rest.text END AS text FROM documents AS d LEFT JOIN rest USING (doc_id)
+    """,
     "p4_found": """
         WITH l AS (SELECT record_id, source, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS line_no
                    FROM primary_source_events WHERE body IS NOT NULL),
