@@ -1,6 +1,6 @@
 """Pairing records of two tables by nearest time for the same entity.
 
-Method: the time-sorted right side of each entity is cut into shards of bounded size by time. A shard holds a piecewise-linear learned
+Method: the rows of both sides, in the order of entity and time, are cut into shards of bounded size. A shard holds a piecewise-linear learned
 index from time to position with a proven error bound; a probe is looked up by predicting its position and searching only within the
 bound. Shards overlap at their edges by one record on either side, so a probe needs exactly one shard.
 """
@@ -19,10 +19,8 @@ from tidemark.plans.cut import cut
 
 #: Largest distance between predicted and true position in an index.
 ERROR = 32
-#: Rows that one shard of the right side should hold.
+#: Rows of both sides that one shard should hold.
 SHARD_ROWS = 50_000
-#: Shards of one entity at most; beyond, they grow.
-MOST_SHARDS = 10_000
 
 
 def fit_segments(times: np.ndarray, error: int = ERROR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,23 +74,28 @@ def positions(probes: np.ndarray, times: np.ndarray, index: tuple[np.ndarray, np
     return np.where(seg < 0, 0, lo)
 
 
-def nearest_in_shard(probes: np.ndarray, times: np.ndarray, ids: np.ndarray, tolerance: int) -> np.ndarray:
-    """Index into ids of the nearest time for each probe, -1 if farther than ``tolerance``; ties go to the smaller id.
+class Shard:
+    """The right rows of a shard with the learned index over their times. times and ids come sorted by (time, id); of equal times only the
+    first, with the smallest id, is kept."""
 
-    times and ids are sorted by (time, id); of equal times only the first, with the smallest id, is kept.
-    """
-    first = np.flatnonzero(np.append(True, times[1:] != times[:-1])) if len(times) else np.zeros(0, dtype=np.int64)
-    t, i = times[first], ids[first]
-    if not len(t):
-        return np.full(len(probes), -1)
-    p = positions(probes, t, fit_segments(t))
-    before, after = np.maximum(p - 1, 0), np.minimum(p, len(t) - 1)
-    far = np.iinfo(np.int64).max
-    db = np.where(p > 0, probes - t[before], far)
-    da = np.where(p < len(t), t[after] - probes, far)
-    take_after = (da < db) | ((da == db) & (i[after] < i[before]))
-    best, dist = np.where(take_after, after, before), np.minimum(da, db)
-    return np.where(dist <= tolerance, first[best], -1)
+    def __init__(self, times: np.ndarray, ids: np.ndarray) -> None:
+        first = np.append(True, times[1:] != times[:-1])[: len(times)]
+        self.times, self.ids = times[first], ids[first]
+        self.index = fit_segments(self.times)
+
+    def nearest(self, probes: np.ndarray, tolerance: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which probes have a time within ``tolerance``, and the ids of the nearest ones; ties go to the smaller id."""
+        t, i = self.times, self.ids
+        if not len(t):
+            return np.zeros(len(probes), dtype=bool), i[:0]
+        p = positions(probes, t, self.index)
+        before, after = np.maximum(p - 1, 0), np.minimum(p, len(t) - 1)
+        far = np.iinfo(np.int64).max
+        db = np.where(p > 0, probes - t[before], far)
+        da = np.where(p < len(t), t[after] - probes, far)
+        take_after = (da < db) | ((da == db) & (i[after] < i[before]))
+        hit = np.minimum(da, db) <= tolerance
+        return hit, i[np.where(take_after, after, before)][hit]
 
 
 def nearest_time_join(left: DataFrame, right: DataFrame, tolerance_us: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -101,66 +104,47 @@ def nearest_time_join(left: DataFrame, right: DataFrame, tolerance_us: int, shar
     left: left_id, entity, t (microseconds); right: right_id, entity, t; other columns are ignored. Ties go to the smaller right_id.
     NULL ids, entities or times match nothing. Repeated left rows give one row for each distinct (left_id, entity, t).
 
-    The time axis of an entity with more than ``shard_rows`` instants is cut at its own quantiles, so a hot entity, or a burst of one, becomes
-    many shards of about that size. A shard also gets the last instant before it and the first after it, which are all that a probe in it
-    can need from outside.
+    The rows of both sides together are cut by ranges of (entity, t, side, id) into shards of about ``shard_rows``, so a hot entity, a burst of
+    records or of probes, or very many probes of one instant become many shards, and small entities share one. Each entity of a shard
+    also gets the last instant before the shard and the first after it, which are all that a probe in it can need from outside.
     """
     keep = ["entity", "t"]
     l = left.select("left_id", *keep).dropna().distinct()  # noqa: E741
     # One row an instant and entity: pre-aggregated before the shuffle, and no entity's copies of an instant can pile up.
-    r = cut(right.select("right_id", *keep).dropna().groupBy("entity", "t").agg(F.min("right_id").alias("right_id")))
-    sizes = r.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") > shard_rows)
-    most = sizes.agg(F.max("n")).first()[0] or 0
-    parts = min(MOST_SHARDS, -(-most // shard_rows))
-    # One quantile for about every `shard_rows` instants of the large entities: total / shard_rows numbers, however many rows there are.
-    fractions = F.array(*[F.lit(k / parts) for k in range(1, parts)]) if parts > 1 else F.array(F.lit(0.5))
-    cuts = r.join(sizes.select("entity"), "entity", "left_semi").groupBy("entity").agg(F.percentile_approx("t", fractions, 10 * max(parts, 10)).alias("b"))
-    bounds = left.sparkSession.sparkContext.broadcast({x["entity"]: np.unique(np.array(x["b"], dtype=np.int64)) for x in cuts.toLocalIterator()})
-
-    @F.pandas_udf("bigint")
-    def slot(entity: pd.Series, t: pd.Series) -> pd.Series:
-        e, v, out, large = entity.to_numpy(), t.to_numpy(), np.zeros(len(t), dtype=np.int64), bounds.value
-        if large:
-            for x in pd.unique(entity):
-                if x in large:
-                    at = e == x
-                    out[at] = np.searchsorted(large[x], v[at], side="right")
-        return pd.Series(out)
-
-    lefts = l.select("entity", slot("entity", "t").alias("slot"), F.lit(1).alias("side"), "t", F.col("left_id").alias("id"))
-    placed = r.select("entity", slot("entity", "t").alias("slot"), F.col("t").alias("rt"), "right_id")
-    ends = placed.groupBy("entity", "slot").agg(F.min(F.struct("rt", "right_id")).alias("a"), F.max(F.struct("rt", "right_id")).alias("z"))
-    along = Window.partitionBy("entity").orderBy("slot")  # at most MOST_SHARDS rows of an entity
-    # A slot of probes only lies between two of these; its edges are carried over it.
-    asked = lefts.select("entity", "slot").distinct().join(ends, ["entity", "slot"], "full")
+    r = right.select("right_id", *keep).dropna().groupBy("entity", "t").agg(F.min("right_id").alias("right_id"))
+    both = cut(l.select("entity", "t", F.lit(1).alias("side"), F.col("left_id").alias("id")).unionByName(r.select("entity", "t", F.lit(0).alias("side"), F.col("right_id").alias("id"))))
+    shards = max(1, -(-both.count() // shard_rows))
+    # The number of the range is written down, so it stays the same however often the shards are read.
+    placed = cut(both.repartitionByRange(shards, "entity", "t", "side", "id").withColumn("shard", F.spark_partition_id()))
+    instant = F.when(F.col("side") == 0, F.struct("t", "id"))
+    ends = placed.groupBy("entity", "shard").agg(F.min(instant).alias("a"), F.max(instant).alias("z"))
+    along = Window.partitionBy("entity").orderBy("shard")  # one row for each shard of an entity
     before = F.last("z", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
     after = F.first("a", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing))
-    edges = asked.withColumns({"before": before, "after": after}).select("entity", "slot", F.explode(F.array("before", "after")).alias("e")).where("e IS NOT NULL")
-    rights = placed.unionByName(edges.select("entity", "slot", "e.rt", "e.right_id")).select("entity", "slot", F.lit(0).alias("side"), F.col("rt").alias("t"), F.col("right_id").alias("id"))
-    both = lefts.unionByName(rights).repartition("entity", "slot").sortWithinPartitions("entity", "slot", "side", "t", "id")
+    edges = ends.withColumns({"before": before, "after": after}).select("entity", "shard", F.explode(F.array("before", "after")).alias("e")).where("e IS NOT NULL")
+    whole = placed.unionByName(edges.select("entity", "e.t", F.lit(0).alias("side"), "e.id", "shard"))
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, times, ids, ready = None, [], [], None  # the right rows of the open shard, in order; its left rows follow them
+        key, times, ids, ready = None, [], [], None  # the right rows of the open entity and shard, in order; its left rows follow them
         for b in batches:
             if not len(b):
                 continue
-            entity, slot_no, side, t, i = (b[c].to_numpy() for c in ("entity", "slot", "side", "t", "id"))
-            new = np.append(True, (entity[1:] != entity[:-1]) | (slot_no[1:] != slot_no[:-1]))
-            edges_ = np.append(np.flatnonzero(new), len(b))
+            entity, shard, side, t, i = (b[c].to_numpy() for c in ("entity", "shard", "side", "t", "id"))
+            new = np.append(True, (entity[1:] != entity[:-1]) | (shard[1:] != shard[:-1]))
+            bounds = np.append(np.flatnonzero(new), len(b))
             out = []
-            for s, e in zip(edges_[:-1], edges_[1:], strict=True):
-                if key != (entity[s], slot_no[s]):
-                    key, times, ids, ready = (entity[s], slot_no[s]), [], [], None
+            for s, e in zip(bounds[:-1], bounds[1:], strict=True):
+                if key != (entity[s], shard[s]):
+                    key, times, ids, ready = (entity[s], shard[s]), [], [], None
                 turn = s + int((side[s:e] == 0).sum())
                 if turn > s:
                     times.append(t[s:turn])
                     ids.append(i[s:turn])
                 if turn < e and times:
-                    if ready is None:
-                        ready = np.concatenate(times), np.concatenate(ids)
-                    hit = nearest_in_shard(t[turn:e], *ready, tolerance_us)
-                    out.append(pd.DataFrame({"left_id": i[turn:e][hit >= 0], "right_id": ready[1][hit[hit >= 0]]}))
+                    ready = ready or Shard(np.concatenate(times), np.concatenate(ids))
+                    hit, found = ready.nearest(t[turn:e], tolerance_us)
+                    out.append(pd.DataFrame({"left_id": i[turn:e][hit], "right_id": found}))
             if out:
                 yield pd.concat(out)
 
-    return both.mapInPandas(probe, "left_id bigint, right_id bigint")
+    return whole.repartition("shard").sortWithinPartitions("shard", "entity", "side", "t", "id").mapInPandas(probe, "left_id bigint, right_id bigint")
