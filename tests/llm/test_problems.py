@@ -106,12 +106,13 @@ def labels(edges):
     return {x: root(x) for x in list(parent)}
 
 
-@pytest.mark.parametrize("small", [0, 10**6])
-def test_components(spark, small, monkeypatch):
+@pytest.mark.parametrize(("small", "hub"), [(0, 20), (0, 10**5), (10**6, 7), (10**6, 10**5)])
+def test_components(spark, small, hub, monkeypatch):
     monkeypatch.setattr("tidemark.llm.components.SMALL_GRAPH", small)
     rng = random.Random(3)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(500, 560)] + [(900, k) for k in range(901, 1000)] + [(7000, 7000), (None, 3)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    edges = [tuple(x and x * 0x3C5A79B1E8F3 - 2**58 for x in e) for e in edges]  # numbers that a double can't hold
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint"), hub=hub).collect()}
     want = labels([e for e in edges if None not in e])
     assert got.keys() == want.keys()
     pairs = collections.defaultdict(set)
@@ -211,10 +212,25 @@ def test_leaks(spark, block):
     got = {(r.doc_id, r.item_id) for r in spans.collect()}
     assert got == brute_leaks(docs, items) and len(got) > 10
     cleaned = leaks.without_leaks(dd, spans).collect()
+    gone = collections.defaultdict(set)
+    for r in spans.collect():
+        gone[r.doc_id] |= set(range(r.first_word, r.first_word + r.words))
+    text = dict(docs)
+    for r in cleaned:
+        if r.text is not None:
+            assert WORD.findall(r.text) == [w for k, w in enumerate(WORD.findall(text[r.doc_id])) if k not in gone[r.doc_id]]
     assert len(cleaned) == len(docs) and brute_leaks([(r.doc_id, r.text) for r in cleaned], items) == set()
     assert leaks.leaked_spans(dd, ii.limit(0)).collect() == [] == leaks.leaked_spans(dd.limit(0), ii).collect()
 
 
+def test_overlapping_leaks_leave_the_rest_whole(spark):
+    words = [f"w{k}" for k in range(70)]
+    items = [(1, " ".join(words[5:25])), (2, " ".join(words[15:35])), (3, " ".join(words[35:50])), (4, " ".join(words[55:67])), (5, " ".join(words[56:68]))]
+    docs = spark.createDataFrame([(0, ", ".join(words) + "!"), (1, " ".join(words[5:25])), (2, "nothing")], "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in leaks.without_leaks(docs, leaks.leaked_spans(docs, spark.createDataFrame(items, "item_id bigint, text string"))).collect()}
+    assert got == {0: ", ".join(words[:5]) + ", , " + ", ".join(words[50:55]) + ", , w68, w69!", 1: "", 2: "nothing"}
+
+
 # Repeated lines
 
 
@@ -381,6 +397,31 @@ def test_spam(spark):
     assert spam.spam_pages(df.limit(0)).collect() == []
 
 
+def test_hosts_move_pages_near_the_middle(spark):
+    """A page of which nearly half is piled up is spam on a host of spam and is none on a clean host."""
+    rng = random.Random(13)
+    noun = [f"noun{k}" for k in range(300)]
+    prose = lambda: f"The {rng.choice(noun)} of the {rng.choice(noun)} was shown to be a {rng.choice(noun)} in the end, and it is said that this will not change."
+    pile = lambda: "buy cheap coin | fast free coin | buy best coin | fast free coin | buy best coin | top coin | fast free coin | top coin | buy best coin"
+    text = lambda piles, said: "\n".join([prose() for _ in range(said)] + [pile() for _ in range(piles)])
+    docs = [(i, text(8, 0) if i % 10 else text(0, 8), "https://bad.example/x") for i in range(200)]
+    docs += [(1000 + i, text(0, 8), f"https://good{i % 3}.example/x") for i in range(600)]
+    docs += [(5000, text(4, 6), "https://bad.example/y"), (5001, text(4, 6), "https://good1.example/y"), (5002, text(5, 4), "https://good1.example/z")]
+    df = spark.createDataFrame([(*d, "s") for d in docs], "doc_id bigint, text string, url string, source string")
+    got = {r.doc_id: (r.score, r.smoothed) for r in spam.scored_pages(df).where("doc_id >= 5000").collect()}
+    assert got[5000][0] < 0.5 < got[5000][1] and got[5001][1] < got[5001][0] < 0.5
+    plain = {r.doc_id: r.smoothed for r in spam.scored_pages(df, host_weight=0.0).where("doc_id >= 5000").collect()}
+    assert plain[5000] < 0.5
+
+
+def test_labels_are_no_features():
+    text = "The price of the coin has not changed since the meeting in May.\nA  1.5\nB  2.5\nC  3.5\nD  4.5\n"
+    much, said = spam.evidence(text)
+    assert 0.2 < much < 0.4 < said < 0.8 and spam.evidence("") == (0, 0)
+    x, size = spam.segments(text)
+    assert x.shape == (5, len(spam.FEATURES)) and size.sum() == len(text.replace("\n", ""))
+
+
 def test_trees_learn_held_out():
     rng = np.random.default_rng(5)
     x = rng.random((3000, len(spam.FEATURES)))

@@ -1,7 +1,10 @@
 """Keyword-stuffed and link-list pages.
 
-Method: bagged decision trees over content and link features of each page are trained from weak labels on a bounded sample, score every
-page, and the scores are smoothed by the spam rate of the page's host.
+Method: bagged decision trees over content and link features are trained from weak labels on a bounded sample, score every page, and the scores
+are smoothed by the spam rate of the page's host. What is asked for is a share of a page, so the trees judge its segments (sentences or lines)
+and a page's score is the share of its characters in segments judged piled up. The weak labels are of whole pages and come from evidence that
+no feature tells: how much of the page is links, hashtags, word pairs said again and again or lines built alike. Pages that mostly run in
+sentences are the other class, with all their headings, tables and references; pages that are neither have no label.
 """
 
 from __future__ import annotations
@@ -17,15 +20,15 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.cut import cut, small
 
-#: Pages on which the trees are trained at most, taken in the order of the hash of their id. A documented bound on the classifier's sample only.
-SAMPLE = 20_000
-TREES, DEPTH, BINS, LEAF = 15, 4, 64, 5
-#: Pages whose piled-up share lies in this range get no weak label.
-UNSURE = (0.42, 0.58)
-#: Weight and largest effect (in log odds) of a host's spam rate.
-HOST_WEIGHT, HOST_MOST = 0.25, 1.0
+#: Labelled pages on which the trees are trained at most, taken in the order of the hash of their id. A documented bound on the classifier's sample only.
+SAMPLE = 10_000
+TREES, DEPTH, BINS, LEAF = 15, 6, 64, 20
+#: Share of a page from which evidence or sentences label it; words of a sentence and lines of one build, at least.
+MUCH, SENTENCE, ALIKE = 0.6, 9, 4
+#: Weight and largest effect (in log odds) of a host's spam rate, and the pages of average rate added to each host.
+HOST_WEIGHT, HOST_MOST, HOST_PRIOR = 0.5, 2.0, 10
 
-# Function words of English, German, Spanish and French; sentences are full of them, piles of keywords aren't.
+# Function words of English, German, Spanish and French.
 FUNCTION_WORDS = frozenset(
     "the a an of and or to by from was were is are be been has have had at on as it its that this than could would will said how why what who which "
     "not no but if until after before while then also into over under about more other we you our their they he she once both neither nor still since when because say says "
@@ -33,43 +36,49 @@ FUNCTION_WORDS = frozenset(
     "el la los las de del y en que un una por con para se su según al es fue más le les du et dans pour sur au aux est sont qui ce cette selon à in for with".split()
 )
 
-FEATURES = ["piled", "linked", "tagged", "function", "repeated", "lower_start", "marks", "segment_words", "numbers", "distinct"]
+FEATURES = ["function", "words", "lower_start", "ended", "capital", "letters", "numbers", "marks", "bare", "glued"]
 
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 _URL = re.compile(r"\]?\(?(?:https?://|www\.)\S+")
 _TAG = re.compile(r"(?:^|\s)#\w+")
-_MARK = re.compile(r"[|;/#,•·]| - ")
+_LETTERS, _DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
+_MARK = re.compile(r"[|;/#,•·\[\]()]| - ")
 
 
-def features(text: str) -> list[float]:
-    """The content and link features of a whole text, in the order of FEATURES. A text without words has zeros but for lower_start."""
-    words = _WORD.findall(text.lower())
-    total = max(1, len(text))
-    pairs = Counter(zip(words, words[1:], strict=False))
-    often = {p for p, n in pairs.items() if n >= 2}
-    piled = length = segments = lower = numbers = 0
+def segments(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(features, characters) of the sentences and lines of a whole text that have words; features in the order of FEATURES."""
+    rows, lengths = [], []
     function = FUNCTION_WORDS.__contains__
     for line in text.split("\n"):
         for s in _SENTENCE.split(line):
             s = s.strip()
-            w = _WORD.findall(s.lower())
+            w = _WORD.findall(s)
             if not w:
                 continue
-            segments += 1
-            length += len(s)
-            lower += s[0].islower()
-            digits = sum(x[0].isdigit() for x in w)
-            f = sum(map(function, w)) / len(w)
-            if digits * 5 >= len(w) * 2 and "http" not in s:  # a row of a table
-                numbers += len(s)
-            elif f < 0.08 or (f < 0.2 and s[0].islower() and sum(p in often for p in zip(w, w[1:], strict=False)) * 5 >= len(w) * 2):
-                piled += len(s)
-    n = max(1, len(words))
-    return [
-        piled / max(1, length), sum(map(len, _URL.findall(text))) / total, sum(map(len, _TAG.findall(text))) / total, sum(map(function, words)) / n,
-        sum(k for k in pairs.values() if k >= 3) / n, lower / max(1, segments), len(_MARK.findall(text)) / n, len(words) / max(1, segments), numbers / max(1, length), len(set(words)) / n**0.8,
-    ]
+            n, tokens = len(w), len(s.split())
+            low = [x.lower() for x in w]
+            rows.append((
+                sum(map(function, low)) / n, min(n, 60), s[0].islower(), s[-1] in ".!?\"”…", sum(x[0].isupper() for x in w) / n, sum(map(len, w)) / n,
+                sum(x[0].isdigit() for x in w) / n, len(_MARK.findall(s)) / n, s[0] in "*-•#[(" or s[0].isdigit(), n / tokens,
+            ))
+            lengths.append(len(s))
+    return np.array(rows, dtype=np.float32).reshape(-1, len(FEATURES)), np.array(lengths, dtype=np.int32)
+
+
+def evidence(text: str) -> tuple[float, float]:
+    """How much of a whole text is links, tags, word pairs said again and again or lines built alike, whichever is most; and how much is sentences."""
+    words = _WORD.findall(text.lower())
+    total, n = max(1, len(text)), max(1, len(words))
+    pairs = Counter(zip(words, words[1:], strict=False))
+    built = [(_DIGITS.sub("9", _LETTERS.sub("w", line)), len(line)) for line in text.split("\n") if not line.isspace()]
+    alike = Counter(x for x, _ in built)
+    shares = (
+        sum(map(len, _URL.findall(text))) / total, sum(map(len, _TAG.findall(text))) / total, sum(k for k in pairs.values() if k >= 3) / n,
+        sum(k for x, k in built if alike[x] >= ALIKE) / total,
+    )
+    said = (s for line in text.split("\n") for s in _SENTENCE.split(line.strip()))
+    return max(shares), sum(len(s) for s in said if s[:1].isupper() and s[-1:] in ".!?" and s.count(" ") >= SENTENCE - 1) / total
 
 
 class Tree:
@@ -138,40 +147,50 @@ class BaggedTrees:
         return np.mean([t.score(b) for t in self.trees], axis=0) if self.trees else np.zeros(len(x))
 
 
-def scored_pages(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def scored_pages(docs: DataFrame, sample: int = SAMPLE, host_weight: float = HOST_WEIGHT) -> DataFrame:
     """(doc_id, host, score, smoothed) of every page, both between 0 and 1; spam is what has ``smoothed`` above 0.5.
 
-    docs: doc_id, text, url, source; other columns are ignored. The host is that of the url, else the source, else unknown. NULL and empty
-    texts score 0. The trees are fitted on at most ``sample`` pages (those first by the hash of their id); features, scores and host rates
-    cover all pages and whole texts.
+    docs: doc_id, text, url, source; other columns are ignored. ``score`` is the share of the page's characters in segments that the trees
+    judge piled up. The host is that of the url, else the source, else unknown. NULL and empty texts score 0. The trees are fitted on at most
+    ``sample`` labelled pages (those first by the hash of their id); features, scores and host rates cover all pages and whole texts.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z]+://([^/:?#]+)", 1)), F.lit(""))
     named = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.when(host != "", host).otherwise(F.coalesce("source", F.lit(""))).alias("host"))
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = np.array([features(t) for t in b["text"]]) if len(b) else np.zeros((0, len(FEATURES)))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "host": b["host"], **{c: rows[:, k] for k, c in enumerate(FEATURES)}})
+            told, labels = [segments(t) for t in b["text"]], []
+            for t in b["text"]:
+                much, said = evidence(t)
+                labels.append(0.0 if said >= MUCH else 1.0 if much >= MUCH else None)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "host": b["host"], "label": pd.array(labels, dtype="Float64"), "features": [x.tobytes() for x, _ in told], "sizes": [n.tobytes() for _, n in told]})
 
-    seen = cut(named.mapInPandas(describe, "doc_id bigint, host string, " + ", ".join(f"{c} double" for c in FEATURES)))
-    sure = (F.col("piled") < UNSURE[0]) | (F.col("piled") > UNSURE[1])
+    seen = cut(named.mapInPandas(describe, "doc_id bigint, host string, label double, features binary, sizes binary"))
     # About the sample's size passes this filter, so that no partition sends its own `sample` first rows to the driver.
-    share = min(1.0, 1.2 * sample / max(1, seen.count()))
+    labelled = seen.where("label IS NOT NULL")
+    share = min(1.0, 1.2 * sample / max(1, labelled.count()))
     picked = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1
-    some = seen.where(sure & picked).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(*FEATURES).toPandas()
-    trees = BaggedTrees(some[FEATURES].to_numpy(dtype=float), (some["piled"].to_numpy() > 0.5).astype(float))
-    held = docs.sparkSession.sparkContext.broadcast(trees)
+    # Of a text as long as a book the first segments are enough to learn from; it is judged whole.
+    some = labelled.where(picked).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("label", F.substring("features", 1, 100 * 4 * len(FEATURES)).alias("features")).toPandas()
+    parts = [np.frombuffer(x, dtype=np.float32).reshape(-1, len(FEATURES)) for x in some["features"]]
+    x = np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)), dtype=np.float32)
+    held = docs.sparkSession.sparkContext.broadcast(BaggedTrees(x.astype(float), np.repeat(some["label"].to_numpy(dtype=float), [len(p) for p in parts])))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "host": b["host"], "score": held.value.score(b[FEATURES].to_numpy(dtype=float))})
-
-    scores = seen.mapInPandas(judge, "doc_id bigint, host string, score double")
-    # The host's rate is drawn towards the rate of all pages by ten pages' worth of it.
+            x = np.frombuffer(b"".join(b["features"]), dtype=np.float32).reshape(-1, len(FEATURES))
+            size = np.frombuffer(b"".join(b["sizes"]), dtype=np.int32)
+            page = np.repeat(np.arange(len(b)), b["sizes"].str.len().to_numpy(dtype=np.int64) // 4)
+            piled = held.value.score(x.astype(float)) > 0.5
+            whole = np.bincount(page, size, len(b))
+            yield pd.DataFrame({"doc_id": b["doc_id"], "host": b["host"], "score": np.bincount(page, size * piled, len(b)) / np.maximum(whole, 1)})
+
+    scores = cut(seen.mapInPandas(judge, "doc_id bigint, host string, score double"))
+    # The host's rate is drawn towards the rate of all pages by some pages' worth of it.
     rates = cut(scores.groupBy("host").agg(F.sum((F.col("score") > 0.5).cast("double")).alias("spam"), F.count("*").alias("pages")))
     overall = rates.agg(F.coalesce((F.sum("spam") + 0.5) / (F.sum("pages") + 1), F.lit(0.5))).first()[0]
-    rate = (F.col("spam") + 10 * overall) / (F.col("pages") + 10)
-    lift = F.greatest(F.lit(-HOST_MOST), F.least(F.lit(HOST_MOST), HOST_WEIGHT * (F.ln(rate / (1 - rate)) - float(np.log(overall / (1 - overall))))))
+    rate = (F.col("spam") + HOST_PRIOR * overall) / (F.col("pages") + HOST_PRIOR)
+    lift = F.greatest(F.lit(-HOST_MOST), F.least(F.lit(HOST_MOST), host_weight * (F.ln(rate / (1 - rate)) - float(np.log(overall / (1 - overall))))))
     odds = F.ln(F.greatest(F.col("score"), F.lit(1e-6)) / F.greatest(1 - F.col("score"), F.lit(1e-6))) + F.coalesce("lift", F.lit(0.0))
     return scores.join(small(rates.select("host", lift.alias("lift"))), "host", "left").select("doc_id", "host", "score", (1 / (1 + F.exp(-odds))).alias("smoothed"))
 
