@@ -59,6 +59,28 @@ def test_learned_positions(times, probes):
     assert got.tolist() == np.searchsorted(t, p, side="right").tolist()
 
 
+def test_what_a_template_needs_does_not_grow_with_the_site(spark, monkeypatch):
+    monkeypatch.setattr(wrappers, "SHARE", 0.5)
+    unlike = lambda i: "\n".join(f"Nothing{i}x{k} like{i}x{k} this{i}x{k} was{i}x{k} seen{i}x{k} before{i}x{k}." for k in range(4))
+    spell = str.maketrans("0123456789", "abcdefghij")
+    rows = [(i, "own", None, None, unlike(i).translate(spell) + ("\nThis notice is in one section only. It has two sentences." if i % 17 == 0 else "")) for i in range(1000)]
+    assert {tuple(r) for r in wrappers.boilerplate(records(spark, rows)).collect()} == {(i, 5) for i in range(0, 1000, 17)}
+
+
+def test_paths_and_bylines_need_other_pages(spark):
+    """A line with the page's own title or author is template only if other pages of the site have it, with their titles and authors, in the same frame."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(8))
+    said = lambda: ". ".join(" ".join(word() for _ in range(9)).capitalize() for _ in range(3)) + "."
+    rows = []
+    for i in range(8):
+        title, author = f"{word().capitalize()} {word()} {word()}", f"{word().capitalize()} {word().capitalize()}"
+        top = [f"Home > News > {title}", author] if i < 6 else []
+        rows.append((i, "site" if i < 7 else "other", title, author, "\n".join([*top, said(), said()])))
+    rows.append((9, "alone", "A title of its own kind", "Somebody Else", "Away > A title of its own kind\nhere: Somebody Else\n" + said()))
+    assert {tuple(r) for r in wrappers.boilerplate(records(spark, rows)).collect()} == {(i, k) for i in range(6) for k in (1, 2)}
+
+
 def test_index_error_is_bounded():
     t = np.unique(np.concatenate([np.arange(10**5), 10**6 + np.random.default_rng(0).integers(0, 10**9, 10**5)]))
     keys, slopes, firsts = nearest.fit_segments(t)
