@@ -142,6 +142,15 @@ SQL = {
         f AS (SELECT source, key FROM k WHERE key <> '' GROUP BY source, key HAVING count(DISTINCT record_id) >= 8)
         SELECT DISTINCT record_id, line_no FROM k JOIN f ON k.key = f.key AND k.source IS NOT DISTINCT FROM f.source
     """,
+    "p4_cleaned": """
+        WITH l AS (SELECT record_id, source, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS line_no
+                   FROM primary_source_events WHERE body IS NOT NULL),
+        k AS (SELECT record_id, source, line, line_no, regexp_replace(lower(line), '[^\\p{L}]', '', 'g') AS key FROM l),
+        f AS (SELECT source, key FROM k WHERE key <> '' GROUP BY source, key HAVING count(DISTINCT record_id) >= 8),
+        c AS (SELECT k.record_id, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (f.key IS NULL), '') AS body
+              FROM k LEFT JOIN f ON k.key = f.key AND k.source IS NOT DISTINCT FROM f.source GROUP BY k.record_id)
+        SELECT record_id, c.body FROM primary_source_events LEFT JOIN c USING (record_id)
+    """,
     "p6_found": """
         WITH RECURSIVE r AS (SELECT DISTINCT row_id, nullif(lower(trim(event_id)), '') AS e, lower(trim(regexp_replace(trim(author_handle), '^@', ''))) AS h FROM production_rows WHERE row_id IS NOT NULL),
         k AS (SELECT row_id, 'e:' || e AS e, CASE WHEN h NOT IN ('', 'n/a') THEN 'a:' || h END AS a FROM r),
