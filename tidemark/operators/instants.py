@@ -23,6 +23,8 @@ CANDIDATES = (
     "Asia/Tokyo", "Australia/Adelaide", "Australia/Sydney", "Pacific/Auckland", "Pacific/Honolulu",
 )
 
+#: Quarter hours beyond which lags are not told apart.
+FAR_QUARTERS = 200
 #: Hours a violation costs, and the most that a long wait for ingestion costs.
 VIOLATION_H, WAIT_H = 24.0, 24.0
 #: A declared zone is given up when another costs this many hours less a row, over at least so many rows.
@@ -49,17 +51,19 @@ def estimate_zones(walls: DataFrame, declared: DataFrame, candidates: tuple[str,
     UTC, then the earlier candidate by name. Sites without rows keep the declared zone; sites with neither get UTC.
     """
     lag = F.floor((to_micros(F.col("fetched")) - to_micros(F.col("wall"))) / F.lit(900_000_000)).cast("int")
+    # Beyond 50 hours a row costs the same in every zone, whatever its day, so it counts on the day it was ingested: days are days of ingestion.
     counted = (
         walls.where(F.col("wall").isNotNull() & F.col("fetched").isNotNull() & F.col("site").isNotNull())
-        .select("site", F.to_date("wall").alias("day"), F.greatest(F.lit(-200), F.least(F.lit(200), lag)).alias("lag"))
+        .select("site", F.to_date(F.when(F.abs(lag) < FAR_QUARTERS, F.col("wall")).otherwise(F.col("fetched"))).alias("day"), F.greatest(F.lit(-FAR_QUARTERS), F.least(F.lit(FAR_QUARTERS), lag)).alias("lag"))
         .groupBy("site", "day", "lag").agg(F.count("*").alias("n"))
     )
     known = declared.where(F.col("home_zone").isNotNull()).groupBy("site").agg(F.min("home_zone").alias("declared_zone"))
     counted = cut(counted)
-    # The offset history of every candidate: days times zones, of which there are some hundreds of names, whatever the number of rows.
-    zones = F.broadcast(known.select(F.col("declared_zone").alias("zone")).distinct().unionByName(walls.sparkSession.createDataFrame([(z,) for z in candidates], "zone string")).distinct())
-    history = counted.select("day").distinct().join(zones).select("day", "zone", hours_east(F.col("zone"), F.col("day")).alias("east"))
-    tried = counted.join(small(cut(history), 1_000_000), "day").join(small(known), "site", "left")
+    # The offset history of every candidate, by day. There are some hundreds of zone names, however many sites declare them.
+    zones = sorted({*candidates, *(r["declared_zone"] for r in known.select("declared_zone").distinct().collect())})
+    history = counted.select("day").distinct().select("day", F.explode(F.array(*[F.lit(z) for z in zones])).alias("zone"))
+    history = cut(history.select("day", "zone", hours_east(F.col("zone"), F.col("day")).alias("east")))
+    tried = counted.join(small(history), "day").join(small(known), "site", "left")
     costs = tried.groupBy("site", "declared_zone", "zone").agg((F.sum(offset_history_cost(F.col("lag"), F.col("east")) * F.col("n")) / F.sum("n")).alias("cost"), F.sum("n").alias("rows"))
     best = costs.groupBy("site", "declared_zone").agg(
         F.min(F.struct("cost", (F.col("zone") != "UTC").alias("far"), "zone")).alias("b"), F.max("rows").alias("rows"), F.min(F.when(F.col("zone") == F.col("declared_zone"), F.col("cost"))).alias("own"))
@@ -91,7 +95,7 @@ def resolve_instants(times: DataFrame, sites: DataFrame) -> DataFrame:
     """
     dim = sites.groupBy("site").agg(F.min("home_zone").alias("home_zone"), F.min("day_first").alias("day_first"))
     t = times.select("time_id", "site", "raw", F.unix_micros(F.col("fetched_at").cast("timestamp")).alias("fetched_us")).where(F.col("raw").isNotNull())
-    read = t.join(small(dim), "site", "left").mapInPandas(_read, _READ)
+    read = cut(t.join(small(dim), "site", "left").mapInPandas(_read, _READ))
     local = read.where((F.col("kind") == "wall") & F.col("offset").isNull())
     zones = estimate_zones(local.select("site", from_micros(F.col("value")).alias("wall"), from_micros(F.col("fetched_us")).alias("fetched")), dim).select("site", "zone")
     # A column of its own, so that the two conversions of a wall time are made once.
