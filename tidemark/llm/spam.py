@@ -2,7 +2,7 @@
 
 Method: bagged decision trees over content and link features are trained from weak labels on a bounded sample, score every page, and the scores
 are smoothed by the spam rate of the page's host. What is asked for is a share of a page, so the trees judge its segments (sentences or lines)
-and a page's score is the share of its characters in segments judged piled up. The weak labels are of whole pages and come from evidence that
+and a page's score is the share of its characters in piled-up segments that is to be expected. The weak labels are of whole pages and come from evidence that
 no feature tells: how much of the page is links, hashtags, word pairs said again and again or lines built alike. Pages that mostly run in
 sentences are the other class, with all their headings, tables and references; pages that are neither have no label.
 """
@@ -150,28 +150,27 @@ class BaggedTrees:
 def scored_pages(docs: DataFrame, sample: int = SAMPLE, host_weight: float = HOST_WEIGHT) -> DataFrame:
     """(doc_id, host, score, smoothed) of every page, both between 0 and 1; spam is what has ``smoothed`` above 0.5.
 
-    docs: doc_id, text, url, source; other columns are ignored. ``score`` is the share of the page's characters in segments that the trees
-    judge piled up. The host is that of the url, else the source, else unknown. NULL and empty texts score 0. The trees are fitted on at most
+    docs: doc_id, text, url, source; other columns are ignored. ``score`` is the share of the page's characters in piled-up segments that
+    the trees expect. The host is that of the url, else the source, else unknown. NULL and empty texts score 0. The trees are fitted on at most
     ``sample`` labelled pages (those first by the hash of their id); features, scores and host rates cover all pages and whole texts.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z]+://([^/:?#]+)", 1)), F.lit(""))
-    named = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.when(host != "", host).otherwise(F.coalesce("source", F.lit(""))).alias("host"))
+    # Only pages that may come into the sample need a label; about a tenth of them gets none.
+    share = min(1.0, 1.5 * sample / max(1, docs.count()))
+    picked = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1, F.lit(False))
+    named = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.when(host != "", host).otherwise(F.coalesce("source", F.lit(""))).alias("host"), picked.alias("picked"))
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             told, labels = [segments(t) for t in b["text"]], []
-            for t in b["text"]:
-                much, said = evidence(t)
+            for t, p in zip(b["text"], b["picked"], strict=True):
+                much, said = evidence(t) if p else (0.0, 0.0)
                 labels.append(0.0 if said >= MUCH else 1.0 if much >= MUCH else None)
             yield pd.DataFrame({"doc_id": b["doc_id"], "host": b["host"], "label": pd.array(labels, dtype="Float64"), "features": [x.tobytes() for x, _ in told], "sizes": [n.tobytes() for _, n in told]})
 
     seen = cut(named.mapInPandas(describe, "doc_id bigint, host string, label double, features binary, sizes binary"))
-    # About the sample's size passes this filter, so that no partition sends its own `sample` first rows to the driver.
-    labelled = seen.where("label IS NOT NULL")
-    share = min(1.0, 1.2 * sample / max(1, labelled.count()))
-    picked = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1
     # Of a text as long as a book the first segments are enough to learn from; it is judged whole.
-    some = labelled.where(picked).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("label", F.substring("features", 1, 100 * 4 * len(FEATURES)).alias("features")).toPandas()
+    some = seen.where("label IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("label", F.substring("features", 1, 100 * 4 * len(FEATURES)).alias("features")).toPandas()
     parts = [np.frombuffer(x, dtype=np.float32).reshape(-1, len(FEATURES)) for x in some["features"]]
     x = np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)), dtype=np.float32)
     held = docs.sparkSession.sparkContext.broadcast(BaggedTrees(x.astype(float), np.repeat(some["label"].to_numpy(dtype=float), [len(p) for p in parts])))
@@ -181,7 +180,7 @@ def scored_pages(docs: DataFrame, sample: int = SAMPLE, host_weight: float = HOS
             x = np.frombuffer(b"".join(b["features"]), dtype=np.float32).reshape(-1, len(FEATURES))
             size = np.frombuffer(b"".join(b["sizes"]), dtype=np.int32)
             page = np.repeat(np.arange(len(b)), b["sizes"].str.len().to_numpy(dtype=np.int64) // 4)
-            piled = held.value.score(x.astype(float)) > 0.5
+            piled = held.value.score(x.astype(float))
             whole = np.bincount(page, size, len(b))
             yield pd.DataFrame({"doc_id": b["doc_id"], "host": b["host"], "score": np.bincount(page, size * piled, len(b)) / np.maximum(whole, 1)})
 
