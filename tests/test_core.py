@@ -212,21 +212,21 @@ def test_streams(spark, tmp_path):
 
 
 def test_minutes_missing_after_the_first_hours(spark, tmp_path):
-    from tidemark.plans.candle_queries import c4_missing_minutes_whole
+    from tidemark.plans.candle_queries import c4_missing_minutes
 
     first, gone = 29_145_600, {5, 700, 1439, 1440, 3000}
     rows = [("A", (first + k) * 60_000, 1.0, 1.0, 1.0, 1.0, 1.0, (first + k) * 60_000 + 59_999, 1.0, 1, 0.5, 0.5) for k in range(4000) if k not in gone]
     columns = "symbol string, open_time bigint, open double, high double, low double, close double, volume double, close_time bigint, quote_volume double, trade_count bigint, taker_buy_base double, taker_buy_quote double"
     spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/archive_candles.parquet")
-    assert {r.minute - first for r in c4_missing_minutes_whole(spark, str(tmp_path)).collect()} == gone
+    assert {r.minute - first for r in c4_missing_minutes(spark, str(tmp_path)).collect()} == gone
 
 
 def test_hours_without_candles_have_a_span(spark, tmp_path):
-    from tidemark.plans.candle_queries import c7_coverage_every_hour
+    from tidemark.plans.candle_queries import c7_coverage
 
     first = 29_145_600
     rows = [("BTCUSDT", (first + k) * 60_000, 1.0, 1.0, 1.0, 1.0, 1.0, (first + k) * 60_000 + 59_999, 1.0, 1, 0.5, 0.5) for k in range(901) if not 200 < k < 600]
     columns = "symbol string, open_time bigint, open double, high double, low double, close double, volume double, close_time bigint, quote_volume double, trade_count bigint, taker_buy_base double, taker_buy_quote double"
     spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/archive_candles.parquet")
-    got = {(int(r.id.split(":")[1]) - first) // 60: r.status for r in c7_coverage_every_hour(spark, str(tmp_path)).collect()}
+    got = {(int(r.id.split(":")[1]) - first) // 60: r.status for r in c7_coverage(spark, str(tmp_path)).collect()}
     assert set(got) == set(range(16)) and {h for h, x in got.items() if x == "missing_context"} == {5, 6, 7, 8}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 from math import lgamma, log
 
 import numpy as np
@@ -81,6 +81,14 @@ def regression_metrics(rows: DataFrame, actual: str, predicted: str) -> DataFram
     return a.select("n", "mae", "rmse", (1 - F.try_divide(F.col("sse"), F.col("v") * F.col("n"))).alias("r2"), "pearson", "spearman")
 
 
+def normal_tail(z: Column) -> Column:
+    """Two-sided chance of a standard normal number beyond |z|, by a rational approximation of the error function good to 1.5e-7."""
+    x = F.abs(z) / math.sqrt(2)
+    t = 1 / (1 + 0.3275911 * x)
+    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
+    return poly * F.exp(-x * x)
+
+
 def mann_whitney(rows: DataFrame, value: str, first: Column) -> DataFrame:
     """(n1, n2, u, z): rank sum test of two groups, normal approximation without tie correction."""
     r = average_ranks(rows.select(F.col(value).alias("v"), first.alias("g")).where("v IS NOT NULL"), "v", "k")
@@ -89,6 +97,25 @@ def mann_whitney(rows: DataFrame, value: str, first: Column) -> DataFrame:
     return a.select("n1", "n2", u.alias("u"), F.try_divide(u - F.col("n1") * F.col("n2") / 2, F.sqrt(F.col("n1") * F.col("n2") * (F.col("n1") + F.col("n2") + 1) / 12)).alias("z"))
 
 
+def group_comparison(rows: DataFrame, value: str, first: Column) -> DataFrame:
+    """(n1, n2, mean1, mean2, difference, effect, u, p): two groups compared: difference of means, the same in pooled deviations, and the two-sided
+    rank sum test with correction for ties and continuity. One row; NULL values are left out.
+    """
+    r = average_ranks(rows.select(F.col(value).cast("double").alias("v"), first.alias("g")).where("v IS NOT NULL AND g IS NOT NULL"), "v", "k")
+    ties = r.groupBy("v").agg(F.count("*").cast("double").alias("c")).agg(F.coalesce(F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")), F.lit(0.0)).alias("ties"))
+    in_, out = F.col("g"), ~F.col("g")
+    a = r.agg(
+        F.count_if(in_).cast("double").alias("n1"), F.count_if(out).cast("double").alias("n2"), F.avg(F.when(in_, F.col("v"))).alias("mean1"), F.avg(F.when(out, F.col("v"))).alias("mean2"),
+        F.var_samp(F.when(in_, F.col("v"))).alias("v1"), F.var_samp(F.when(out, F.col("v"))).alias("v2"), F.sum(F.when(in_, F.col("k"))).alias("s"),
+    ).crossJoin(ties)  # fmt: skip  (one row and one row)
+    n1, n2 = F.col("n1"), F.col("n2")
+    n, u = n1 + n2, F.col("s") - n1 * (n1 + 1) / 2
+    pooled = F.sqrt(F.try_divide((n1 - 1) * F.col("v1") + (n2 - 1) * F.col("v2"), n - 2))
+    spread = F.sqrt(n1 * n2 / 12 * (n + 1 - F.try_divide(F.col("ties"), n * (n - 1))))
+    z = F.try_divide(F.greatest(F.abs(u - n1 * n2 / 2) - 0.5, F.lit(0.0)), spread)
+    return a.select("n1", "n2", "mean1", "mean2", (F.col("mean1") - F.col("mean2")).alias("difference"), F.try_divide(F.col("mean1") - F.col("mean2"), pooled).alias("effect"), u.alias("u"), normal_tail(z).alias("p"))
+
+
 def trimmed_mean(rows: DataFrame, groups: list[str], value: str, share: float = 0.05) -> DataFrame:
     """Mean without the floor(share * n) smallest and largest values of each group."""
     there = rows.where(F.col(value).isNotNull())
@@ -113,37 +140,56 @@ def binomial_greater(wins: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([tail(int(w), int(k)) for w, k in zip(wins, n, strict=True)])
 
 
+def hashed_uniform(*parts: Column) -> Column:
+    """A number from 0 up to 1 that follows from the parts alone: 32 bits of the MD5 of the parts joined by colons."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("double") / 4294967296.0
+
+
+def poisson_weight(u: Column) -> Column:
+    """How often a Poisson draw with mean 1 takes a row whose uniform number is ``u``: 0 to 7."""
+    return sum((F.when(u >= t, 1).otherwise(0) for t in POISSON[1:]), F.when(u >= POISSON[0], 1).otherwise(0)).cast("double")
+
+
+#: Chances that a Poisson number with mean 1 is at most 0, 1, ... 6.
+POISSON = [round(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)), 12) for k in range(7)]
+
+
+def _interval(reps: DataFrame, group: list[str], value: str) -> DataFrame:
+    return reps.groupBy(*group).agg(F.percentile(value, F.array(F.lit(0.025), F.lit(0.975))).alias("_q")).select(*group, F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"))
+
+
 def cluster_bootstrap(rows: DataFrame, group: list[str], cluster: str, value: str, repeats: int = 500, seed: int = 7) -> DataFrame:
     """Mean of a value by group with a 95 % interval from resampling whole clusters.
 
-    Clusters are summed up in Spark. Instead of drawing clusters n times, each gets a Poisson(1) weight in every repeat, drawn from a hash of
-    its id and the repeat; so repeats add up map-side and no group is gathered into one task.
+    Clusters are summed up first. Instead of drawing clusters n times, each gets a Poisson(1) weight in every repeat from the hash of the
+    seed, its id and the repeat; so repeats add up map-side, no group is gathered into one task, and the result can be told in SQL.
     """
-    sums = rows.where(F.col(value).isNotNull()).groupBy(*group, cluster).agg(F.sum(value).alias("_s"), F.count("*").alias("_c"))
-
-    names = [*group, "_rep", "_s", "_c"]
-    kinds = {f.name: f.dataType.simpleString() for f in sums.schema.fields}
+    sums = rows.where(F.col(value).isNotNull()).groupBy(*group, cluster).agg(F.sum(value).cast("double").alias("_s"), F.count("*").cast("double").alias("_c"))
+    drawn = sums.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("_w", poisson_weight(hashed_uniform(F.lit(seed), F.col(cluster), F.col("_rep"))))
+    reps = drawn.groupBy(*group, "_rep").agg(F.try_divide(F.sum(F.col("_s") * F.col("_w")), F.sum(F.col("_c") * F.col("_w"))).alias("_m"))
+    return sums.groupBy(*group).agg((F.sum("_s") / F.sum("_c")).alias("mean"), F.count("*").alias("clusters")).join(_interval(reps, group, "_m"), group)
 
-    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            h = pd.util.hash_array(b[cluster].astype(str).to_numpy(dtype=object)).astype(np.uint64)
-            parts = []
-            with np.errstate(over="ignore"):
-                for rep in range(repeats):
-                    x = (h ^ np.uint64((seed * 1_000_003 + rep) * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
-                    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-                    u = (x >> np.uint64(11)).astype(float) / 2**53
-                    w = np.searchsorted(_POISSON, u, side="right")
-                    parts.append(b.assign(_rep=rep, _s=b["_s"] * w, _c=b["_c"] * w)[names].groupby([*group, "_rep"], as_index=False, dropna=False).sum())
-            yield pd.concat(parts)
 
-    schema = ", ".join(f"{g} {kinds[g]}" for g in group) + ", _rep int, _s double, _c double"
-    reps = sums.withColumns({"_s": F.col("_s").cast("double"), "_c": F.col("_c").cast("double")}).mapInPandas(weigh, schema).groupBy(*group, "_rep").agg((F.sum("_s") / F.nullif(F.sum("_c"), F.lit(0.0))).alias("_m"))
-    ci = reps.groupBy(*group).agg(F.percentile("_m", F.array(F.lit(0.025), F.lit(0.975))).alias("_q")).select(*group, F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"))
-    return sums.groupBy(*group).agg((F.sum("_s") / F.sum("_c")).alias("mean"), F.count("*").alias("clusters")).join(ci, group)
+def bootstrap_mean(rows: DataFrame, group: list[str], ident: str, value: str, repeats: int = 500, seed: int = 7) -> DataFrame:
+    """Mean of a value by group with a 95 % interval from resampling rows."""
+    return cluster_bootstrap(rows, group, ident, value, repeats, seed).withColumnRenamed("clusters", "n")
 
 
-_POISSON = np.cumsum([float(np.exp(-1.0 - lgamma(k + 1))) for k in range(12)])
+def bootstrap_errors(rows: DataFrame, group: list[str], ident: str, actual: str, one: str, two: str, repeats: int = 500, seed: int = 7) -> DataFrame:
+    """(group..., metric, estimate, low, high, better): how much smaller the mean absolute and root mean squared error of prediction ``two`` are
+    than those of ``one``, with the interval over resampled rows and the share of repeats in which they are smaller.
+    """
+    e = rows.select(*group, F.col(ident).alias("_i"), *[(F.col(p) - F.col(actual)).alias(n) for p, n in ((one, "_a"), (two, "_b"))]).dropna(subset=["_a", "_b"])
+    every = e.withColumn("_rep", F.explode(F.sequence(F.lit(-1), F.lit(repeats - 1))))
+    w = F.when(F.col("_rep") < 0, F.lit(1.0)).otherwise(poisson_weight(hashed_uniform(F.lit(seed), F.col("_i"), F.col("_rep"))))
+    total = lambda x: F.sum(x * F.col("_w")) / F.nullif(F.sum("_w"), F.lit(0.0))
+    a, b = F.col("_a"), F.col("_b")
+    reps = every.withColumn("_w", w).groupBy(*group, "_rep").agg((total(F.abs(a)) - total(F.abs(b))).alias("mae"), (F.sqrt(total(a * a)) - F.sqrt(total(b * b))).alias("rmse"))
+    long = reps.unpivot([*group, "_rep"], ["mae", "rmse"], "metric", "_v")
+    drawn = long.where("_rep >= 0")
+    seen = long.where("_rep < 0").select(*group, "metric", F.col("_v").alias("estimate"))
+    better = drawn.groupBy(*group, "metric").agg(F.avg((F.col("_v") > 0).cast("double")).alias("better"))
+    return seen.join(_interval(drawn, [*group, "metric"], "_v"), [*group, "metric"]).join(better, [*group, "metric"])
 
 
 def permutation_difference(rows: DataFrame, block: str, value: str, first: Column, repeats: int = 500) -> DataFrame:
@@ -154,7 +200,7 @@ def permutation_difference(rows: DataFrame, block: str, value: str, first: Colum
     r = rows.select(F.col(block).alias("b"), F.col(value).cast("double").alias("v"), first.alias("g")).dropna()
     s = r.groupBy("b").agg(*[f(F.when(c, F.col("v"))).alias(n) for n, c, f in (("s1", F.col("g"), F.sum), ("c1", F.col("g"), F.count), ("s0", ~F.col("g"), F.sum), ("c0", ~F.col("g"), F.count))]).fillna(0.0)
     reps = s.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats))))
-    swap = (F.col("rep") > 0) & (F.pmod(F.xxhash64("b", "rep"), F.lit(2)) == 1)
+    swap = (F.col("rep") > 0) & (hashed_uniform(F.col("b"), F.col("rep")) >= 0.5)
     pick = lambda a, b: F.sum(F.when(swap, F.col(b)).otherwise(F.col(a)))
     d = reps.groupBy("rep").agg((F.try_divide(pick("s1", "s0"), pick("c1", "c0")) - F.try_divide(pick("s0", "s1"), pick("c0", "c1"))).alias("d"))
     seen = d.where("rep = 0").select(F.col("d").alias("difference"))

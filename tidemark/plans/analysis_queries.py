@@ -27,8 +27,10 @@ def _frame(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _one(spark: SparkSession, d: str) -> DataFrame:
-    """The ETH returns over 5 bars that exist: one result per event."""
-    return _frame(spark, d).where("symbol = 'ETH' AND horizon = 5 AND ret IS NOT NULL").select("event_id", "published_us", "source", "actor", "ret")
+    """The returns that exist, of all symbols and horizons, each as a result with an id of its own; ``event`` is its news event."""
+    place = F.when(F.col("symbol") == "BTC", 0).when(F.col("symbol") == "ETH", 4).otherwise(8) + F.when(F.col("horizon") == 1, 0).when(F.col("horizon") == 5, 1).when(F.col("horizon") == 15, 2).otherwise(3)
+    rows = _frame(spark, d).where("ret IS NOT NULL").withColumnRenamed("event_id", "event")
+    return rows.select((F.col("event") * 12 + place).alias("event_id"), "event", "symbol", "horizon", "published_us", "source", "actor", "ret")
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
@@ -134,7 +136,7 @@ def j14_series_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 def j15_grouped(spark: SparkSession, d: str) -> DataFrame:
     """Medians of the results over all, by source and by symbol, in one pass."""
-    f = _frame(spark, d).where("horizon = 5 AND ret IS NOT NULL")
+    f = _frame(spark, d).where("ret IS NOT NULL")
     g = f.groupingSets([[], [F.col("source")], [F.col("symbol")]], "source", "symbol").agg(F.count("*").alias("n"), F.round(F.median("ret"), 6).alias("median_ret"))
     return g
 
@@ -245,13 +247,13 @@ def l11_trimmed_mean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def l3_cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    """Mean result by symbol with an interval from resampled actors."""
-    return L.cluster_bootstrap(_frame(spark, d).where("horizon = 5"), ["symbol"], "actor", "ret", 200)
+    """Mean result by symbol and horizon with an interval from resampled actors."""
+    return L.cluster_bootstrap(_frame(spark, d), ["symbol", "horizon"], "actor", "ret", 200).select("symbol", "horizon", "clusters", *_r("mean", "low", "high"))
 
 
 def l4_permutation(spark: SparkSession, d: str) -> DataFrame:
     """Difference between two sources with whole actors swapped."""
-    return L.permutation_difference(_one(spark, d), "actor", "ret", F.col("source") == "signup", 200)
+    return L.permutation_difference(_one(spark, d), "actor", "ret", F.col("source") == "signup", 200).select(*_r("difference", "p"))
 
 
 def l10_binomial(spark: SparkSession, d: str) -> DataFrame:
@@ -396,7 +398,7 @@ QUERIES = {f.__name__: f for f in (
     n12_round_robin, n13_hash_sample, n14_pick,
 )}
 
-_FR = RETURNS + ", fr AS (SELECT hr.event_id, symbol, horizon, ret, n.source, n.actor, n.published_us FROM hr JOIN news n ON n.event_id = hr.event_id), o AS (SELECT * FROM fr WHERE symbol = 'ETH' AND horizon = 5 AND ret IS NOT NULL)"
+_FR = RETURNS + ", fr AS (SELECT hr.event_id, symbol, horizon, ret, n.source, n.actor, n.published_us FROM hr JOIN news n ON n.event_id = hr.event_id), o AS (SELECT event_id * 12 + CASE symbol WHEN 'BTC' THEN 0 WHEN 'ETH' THEN 4 ELSE 8 END + CASE horizon WHEN 1 THEN 0 WHEN 5 THEN 1 WHEN 15 THEN 2 ELSE 3 END AS event_id, event_id AS event, symbol, horizon, published_us, source, actor, ret FROM fr WHERE ret IS NOT NULL)"
 _NEWS = "news AS (SELECT event_id, epoch_us(ts) AS published_us, event_type AS source, user_id AS actor FROM events WHERE event_type IN ('signup', 'error'))"
 _EV = """ev AS (SELECT row_id AS event_id, title, slug, published_at, from_json(related_assets, '["VARCHAR"]') AS assets, category, source_class_v2 AS source_class, source, sentiment, importance FROM (SELECT DISTINCT * FROM production_rows))"""
 _CUT = "CASE WHEN k < floor(n::DOUBLE * 0.6::DOUBLE) THEN 'train' WHEN k < floor(n::DOUBLE * (0.6::DOUBLE + 0.2::DOUBLE)) THEN 'validation' ELSE 'test' END"
@@ -414,7 +416,20 @@ def _rule_union(rules: list[tuple[str, str]]) -> str:
     return " UNION ALL ".join(f"SELECT '{n}' AS rule_id, ret FROM x WHERE {t}" for n, t in rules)
 
 
+_U = "(('0x' || substr(md5({0}), 1, 8))::BIGINT / 4294967296)"
+_POISSON = "(" + " + ".join(f"CASE WHEN u >= {t!r}::DOUBLE THEN 1 ELSE 0 END" for t in L.POISSON) + ")"
+
 SQL = {
+    "l3_cluster_bootstrap": f"""WITH {_FR}, s AS (SELECT symbol, horizon, actor, sum(ret) AS s, count(*) AS c FROM fr WHERE ret IS NOT NULL GROUP BY 1, 2, 3),
+        r AS (SELECT *, {_U.format("'7:' || actor || ':' || rep")} AS u FROM s, (SELECT unnest(generate_series(0, 199)) AS rep)), m AS (SELECT symbol, horizon, rep, sum(s * w) / nullif(sum(c * w), 0) AS m FROM (SELECT *, {_POISSON} AS w FROM r) GROUP BY 1, 2, 3),
+        q AS (SELECT symbol, horizon, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM m GROUP BY 1, 2)
+        SELECT symbol, horizon, count(*) AS clusters, round(sum(s) / sum(c), 6) AS mean, round(any_value(lo), 6) AS low, round(any_value(hi), 6) AS high FROM s JOIN q USING (symbol, horizon) GROUP BY 1, 2""",
+    "l4_permutation": f"""WITH {_FR}, b AS (SELECT actor, coalesce(sum(ret) FILTER (source = 'signup'), 0) AS s1, count(*) FILTER (source = 'signup') AS c1, coalesce(sum(ret) FILTER (source <> 'signup'), 0) AS s0, count(*) FILTER (source <> 'signup') AS c0 FROM o GROUP BY 1),
+        r AS (SELECT *, rep > 0 AND {_U.format("actor || ':' || rep")} >= 0.5 AS x FROM b, (SELECT unnest(generate_series(0, 200)) AS rep)),
+        d AS (SELECT rep, sum(CASE WHEN x THEN s0 ELSE s1 END) / sum(CASE WHEN x THEN c0 ELSE c1 END) - sum(CASE WHEN x THEN s1 ELSE s0 END) / sum(CASE WHEN x THEN c1 ELSE c0 END) AS d FROM r GROUP BY 1)
+        SELECT round(o.d, 6) AS difference, round((count(*) FILTER (abs(d.d) >= abs(o.d)) + 1) / 201, 6) AS p FROM d, (SELECT d FROM d WHERE rep = 0) AS o WHERE rep > 0 GROUP BY o.d""",
+    "l10_binomial": f"""WITH {RETURNS}, a AS (SELECT symbol, horizon, count(ret) AS n, count(*) FILTER (ret > 0) AS wins FROM hr GROUP BY 1, 2), t AS (SELECT *, unnest(generate_series(wins, n)) AS i FROM a)
+        SELECT symbol, horizon, n, wins, round(least(1, sum(exp(lgamma(n + 1.0::DOUBLE) - lgamma(i + 1.0::DOUBLE) - lgamma(n - i + 1.0::DOUBLE) - n * ln(2.0::DOUBLE)))), 9) AS p FROM t GROUP BY ALL""",
     "i4_chronological_split": f"WITH {_NEWS} SELECT event_id, {_CUT} AS split FROM (SELECT *, row_number() OVER (ORDER BY published_us, event_id) - 1 AS k, count(*) OVER () AS n FROM news)",
     "i5_event_split": f"""WITH {_NEWS}, f AS (SELECT actor, min(published_us) AS t FROM news GROUP BY 1), s AS (SELECT actor, CASE WHEN k < floor(n::DOUBLE * 0.7::DOUBLE) THEN 'train' WHEN k < floor(n::DOUBLE * (0.7::DOUBLE + 0.15::DOUBLE)) THEN 'validation' ELSE 'test' END AS split
         FROM (SELECT *, row_number() OVER (ORDER BY t, actor) - 1 AS k, count(*) OVER () AS n FROM f)) SELECT event_id, split FROM news JOIN s USING (actor)""",
@@ -438,7 +453,7 @@ SQL = {
         SELECT source_type, count(*) AS known, count(*) FILTER (m < 0) AS negative, round(quantile_cont(m, 0.75) FILTER (m >= 0), 6) AS p75, round(quantile_cont(m, 0.9) FILTER (m >= 0), 6) AS p90, """ + ", ".join(f"round(count(*) FILTER (m > {x}) * 100 / nullif(count(*) FILTER (m >= 0), 0), 6) AS above_{x}" for x in (5, 15, 60)) + " FROM m GROUP BY 1",
     "j13_skew": f"WITH {RETURNS} SELECT symbol, round(skewness(ret), 5) AS skew FROM hr WHERE ret IS NOT NULL GROUP BY 1",
     "j14_series_coverage": "WITH m AS (SELECT symbol, CASE WHEN open_time >= 100000000000000 THEN open_time // 60000000 ELSE open_time // 60000 END AS m FROM archive_candles) SELECT symbol, count(*) AS rows, count(*) - count(DISTINCT m) AS duplicates, round((1 - count(DISTINCT m) / (max(m) - min(m) + 1)) * 100, 6) AS missing_pct FROM m GROUP BY 1",
-    "j15_grouped": f"WITH {_FR} SELECT source, symbol, count(*) AS n, round(median(ret), 6) AS median_ret FROM fr WHERE horizon = 5 AND ret IS NOT NULL GROUP BY GROUPING SETS ((), (source), (symbol))",
+    "j15_grouped": f"WITH {_FR} SELECT source, symbol, count(*) AS n, round(median(ret), 6) AS median_ret FROM fr WHERE ret IS NOT NULL GROUP BY GROUPING SETS ((), (source), (symbol))",
     "j16_rank": "WITH a AS (SELECT source, round(avg((epoch_us(discovered_at) - epoch_us(published_at)) / 60000000), 4) AS mean_lag FROM primary_source_events WHERE published_at IS NOT NULL GROUP BY 1) SELECT *, rank() OVER (ORDER BY mean_lag) AS rank FROM a",
     "j17_second_delay": "WITH k AS (SELECT lower(trim(event_id)) AS event, epoch_us(published_at) AS t, row_number() OVER (PARTITION BY lower(trim(event_id)) ORDER BY published_at) AS k FROM (SELECT DISTINCT * FROM production_rows) WHERE published_at IS NOT NULL) SELECT event, max(t) - min(t) AS delay FROM k WHERE k <= 2 GROUP BY 1 HAVING count(*) = 2",
     "k3_rule_metrics": f"""WITH {_FR}, x AS (SELECT *, (actor % 10)::DOUBLE AS x FROM o), t AS ({_rule_union(_RULES)}), a AS (SELECT rule_id, count(*) AS n, count(*) FILTER (ret > 0) AS wins, avg(ret) AS m, median(ret) AS md, avg(ret - 0.2::DOUBLE) AS mn, sum(ret - 0.2::DOUBLE) FILTER (ret - 0.2::DOUBLE > 0) / -sum(ret - 0.2::DOUBLE) FILTER (ret - 0.2::DOUBLE < 0) AS pf FROM t GROUP BY 1)

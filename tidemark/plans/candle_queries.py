@@ -80,13 +80,6 @@ def c3_gaps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def c4_missing_minutes(spark: SparkSession, d: str) -> DataFrame:
-    """Minutes missing from the first two hours of each symbol."""
-    g = _grid(spark, d)
-    spans = C.availability(g).select(F.col("symbol").alias("id"), "symbol", F.col("first_minute").alias("start"), (F.col("first_minute") + 119).alias("stop"))
-    return C.missing_minutes(g, spans)
-
-
-def c4_missing_minutes_whole(spark: SparkSession, d: str) -> DataFrame:
     """Minutes missing between the first and the last minute of each symbol."""
     g = _grid(spark, d)
     a = C.availability(g).select("symbol", "first_minute", "last_minute")
@@ -102,18 +95,6 @@ def c5_resume_points(spark: SparkSession, d: str) -> DataFrame:
 
 
 def c7_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """Coverage of spans of two hours around every full hour whose first minute a symbol has, of the symbol and of the benchmark."""
-    g = _grid(spark, d)
-    spans = g.where("minute % 60 = 0").select(F.concat("symbol", F.lit(":"), "minute").alias("id"), "symbol", (F.col("minute") - 60).alias("start"), (F.col("minute") + 60).alias("stop"))
-    return C.window_coverage(spans, g, "BTCUSDT")
-
-
-def c8_coverage_by_symbol(spark: SparkSession, d: str) -> DataFrame:
-    """Covered spans by symbol and status, with totals."""
-    return c7_coverage(spark, d).rollup("symbol", "status").agg(F.count("*").alias("n")).select(F.coalesce("symbol", F.lit("all")).alias("symbol"), F.coalesce("status", F.lit("all")).alias("status"), "n")
-
-
-def c7_coverage_every_hour(spark: SparkSession, d: str) -> DataFrame:
     """Coverage of spans of two hours around every full hour between a symbol's first and last minute, also where the candles are missing."""
     g = _grid(spark, d)
     hours = C.availability(g).select("symbol", F.explode(F.sequence(F.floor(F.col("first_minute") / 60), F.floor(F.col("last_minute") / 60))).alias("hour"), "first_minute", "last_minute")
@@ -122,9 +103,9 @@ def c7_coverage_every_hour(spark: SparkSession, d: str) -> DataFrame:
     return C.window_coverage(spans, g, "BTCUSDT")
 
 
-def c8_coverage_by_symbol_every_hour(spark: SparkSession, d: str) -> DataFrame:
+def c8_coverage_by_symbol(spark: SparkSession, d: str) -> DataFrame:
     """Those spans by symbol and status, with totals."""
-    return c7_coverage_every_hour(spark, d).rollup("symbol", "status").agg(F.count("*").alias("n")).select(F.coalesce("symbol", F.lit("all")).alias("symbol"), F.coalesce("status", F.lit("all")).alias("status"), "n")
+    return c7_coverage(spark, d).rollup("symbol", "status").agg(F.count("*").alias("n")).select(F.coalesce("symbol", F.lit("all")).alias("symbol"), F.coalesce("status", F.lit("all")).alias("status"), "n")
 
 
 def c9_availability(spark: SparkSession, d: str) -> DataFrame:
@@ -154,8 +135,8 @@ def c14_archive_months(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    b1_normalised_times, b3_candle_codes, b4_sound_candles, b6_copies, b7_conflicts, b8_insert_new, b9_row_hash, c3_gaps, c4_missing_minutes, c4_missing_minutes_whole, c5_resume_points, c7_coverage,
-    c7_coverage_every_hour, c8_coverage_by_symbol, c8_coverage_by_symbol_every_hour, c9_availability, c11_hourly_bars, c12_period_metrics, c13_step_correlation, c14_archive_months,
+    b1_normalised_times, b3_candle_codes, b4_sound_candles, b6_copies, b7_conflicts, b8_insert_new, b9_row_hash, c3_gaps, c4_missing_minutes, c5_resume_points, c7_coverage,
+    c8_coverage_by_symbol, c9_availability, c11_hourly_bars, c12_period_metrics, c13_step_correlation, c14_archive_months,
 )}
 
 _COVER = _G + """, av AS (SELECT symbol, min(minute) AS first_minute FROM g GROUP BY 1),
@@ -184,14 +165,11 @@ SQL = {
     "b8_insert_new": f"WITH {_G} SELECT symbol, count(*) AS n, round(sum(CASE WHEN minute % 2 = 0 THEN open * 2 ELSE open END), 4) AS total FROM g GROUP BY 1",
     "b9_row_hash": "SELECT sha256(concat_ws(',', symbol, open_time, close_time, trade_count)) AS h, count(*) AS n FROM archive_candles GROUP BY 1",
     "c3_gaps": f"WITH {_G}, l AS (SELECT symbol, minute, lag(minute) OVER (PARTITION BY symbol ORDER BY minute) AS b FROM g) SELECT symbol, b + 1 AS gap_start, minute - 1 AS gap_end, minute - b - 1 AS missing FROM l WHERE minute - b > 1",
-    "c4_missing_minutes": f"WITH {_G}, a AS (SELECT symbol, min(minute) AS f FROM g GROUP BY 1), w AS (SELECT symbol, unnest(generate_series(f, f + 119)) AS minute FROM a) SELECT symbol AS id, symbol, minute FROM w ANTI JOIN g USING (symbol, minute)",
-    "c4_missing_minutes_whole": f"WITH {_G}, a AS (SELECT symbol, min(minute) AS f, max(minute) AS l FROM g GROUP BY 1), w AS (SELECT symbol, unnest(generate_series(f, l)) AS minute FROM a) SELECT symbol AS id, symbol, minute FROM w ANTI JOIN g USING (symbol, minute)",
+    "c4_missing_minutes": f"WITH {_G}, a AS (SELECT symbol, min(minute) AS f, max(minute) AS l FROM g GROUP BY 1), w AS (SELECT symbol, unnest(generate_series(f, l)) AS minute FROM a) SELECT symbol AS id, symbol, minute FROM w ANTI JOIN g USING (symbol, minute)",
     "c5_resume_points": f"""WITH {_G}, h AS (SELECT * FROM g WHERE minute >= 29145600), e AS (SELECT symbol, min(minute) + 1 AS hole FROM h WHERE NOT EXISTS (SELECT 1 FROM h AS n WHERE n.symbol = h.symbol AND n.minute = h.minute + 1) GROUP BY 1),
         f AS (SELECT symbol, min(minute) AS f FROM h GROUP BY 1) SELECT symbol, CASE WHEN f > 29145600 THEN 29145600 ELSE hole END AS resume_minute FROM f JOIN e USING (symbol)""",
-    "c7_coverage": f"WITH {_COVER} SELECT * FROM cv",
-    "c8_coverage_by_symbol": f"WITH {_COVER} SELECT coalesce(symbol, 'all') AS symbol, coalesce(status, 'all') AS status, count(*) AS n FROM cv GROUP BY ROLLUP (symbol, status)",
-    "c7_coverage_every_hour": f"WITH {_COVER_HOURS} SELECT * FROM cv",
-    "c8_coverage_by_symbol_every_hour": f"WITH {_COVER_HOURS} SELECT coalesce(symbol, 'all') AS symbol, coalesce(status, 'all') AS status, count(*) AS n FROM cv GROUP BY ROLLUP (symbol, status)",
+    "c7_coverage": f"WITH {_COVER_HOURS} SELECT * FROM cv",
+    "c8_coverage_by_symbol": f"WITH {_COVER_HOURS} SELECT coalesce(symbol, 'all') AS symbol, coalesce(status, 'all') AS status, count(*) AS n FROM cv GROUP BY ROLLUP (symbol, status)",
     "c9_availability": f"WITH {_G} SELECT symbol, min(minute) AS first_minute, max(minute) AS last_minute, count(DISTINCT minute) AS minutes FROM g GROUP BY 1",
     "c11_hourly_bars": f"WITH {_D} SELECT symbol, bar, open, high, low, close, round(volume, 4) AS volume, n FROM d",
     "c12_period_metrics": f"""WITH {_D}, w AS (SELECT *, max(close) OVER r AS peak, min(close) OVER r AS trough, close / lag(close) OVER (PARTITION BY symbol ORDER BY bar) - 1 AS step FROM d WINDOW r AS (PARTITION BY symbol ORDER BY bar ROWS UNBOUNDED PRECEDING)),

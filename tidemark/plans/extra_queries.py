@@ -12,7 +12,7 @@ from tidemark.operators import reactions as R
 from tidemark.operators import signals as K
 from tidemark.plans.analysis_queries import _EV, _FR, _events, _one
 from tidemark.plans.candle_queries import _G, _grid, _parsed
-from tidemark.plans.models import ASSETS, BARS, RETURNS, bars, event_assets, returns
+from tidemark.plans.models import ASSETS, BARS, RETURNS, bars, event_assets, news, returns
 
 
 def _r(*cols: str, digits: int = 6) -> list:
@@ -20,15 +20,15 @@ def _r(*cols: str, digits: int = 6) -> list:
 
 
 def c10_span_status(spark: SparkSession, d: str) -> DataFrame:
-    """Whether a symbol's history reaches an hour around every half hour."""
+    """Whether a symbol's history reaches an hour around every minute."""
     g = _grid(spark, d)
-    return C.span_status(g.where("minute % 30 = 0").select(F.col("minute").alias("id"), "symbol", F.col("minute").alias("at")), g, 60, 60).groupBy("symbol", "status").agg(F.count("*").alias("n"))
+    return C.span_status(g.select(F.col("minute").alias("id"), "symbol", F.col("minute").alias("at")), g, 60, 60).groupBy("symbol", "status").agg(F.count("*").alias("n"))
 
 
 def n9_invalid_impact(spark: SparkSession, d: str) -> DataFrame:
-    """Unsound candles by their use for reactions from every fifth minute over three."""
+    """Unsound candles by their use for reactions from every minute over three."""
     p = _parsed(spark, d)
-    base = p.where("minute % 5 = 0").select("symbol", "minute").distinct()
+    base = p.where("minute IS NOT NULL").select("symbol", "minute").distinct()
     used = base.withColumn("role", F.lit("reference")).unionByName(base.select("symbol", (F.col("minute") + 3).alias("minute"), F.lit("endpoint").alias("role")))
     return C.invalid_impact(p, used)
 
@@ -68,8 +68,9 @@ def j4_missing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _with_rules(spark: SparkSession, d: str) -> tuple[DataFrame, dict]:
-    w = R.wide_returns(returns(spark, d).where("symbol = 'ETH'"), (1, 5, 15, 24)).drop("symbol")
-    x = _one(spark, d).drop("ret").join(w, "event_id").withColumn("x", (F.col("actor") % 10).cast("double"))
+    w = R.wide_returns(returns(spark, d), (1, 5, 15, 24)).join(news(spark, d), "event_id")
+    place = F.when(F.col("symbol") == "BTC", 0).when(F.col("symbol") == "ETH", 1).otherwise(2)
+    x = w.withColumns({"event_id": F.col("event_id") * 3 + place, "x": (F.col("actor") % 10).cast("double")})
     return x, {**K.threshold_rules({"x": [2.0, 5.0, 8.0]}), "x>=2 again": F.col("x") > 1.5, "none": F.col("x") > 100}
 
 
@@ -89,13 +90,13 @@ def k28_discovery(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (c10_span_status, n9_invalid_impact, e9_inclusive_scores, e11_regimes, e15_crowding, i2_prior_price, i8_nested_folds, j4_missing, k27_memberships, k28_discovery)}
 
 _RULES = [*[(f"x{op}{t}", f"x {op} {t}") for t in (2, 5, 8) for op in (">=", "<=")], ("x>=2 again", "x > 1.5"), ("none", "x > 100")]
-_X = _FR + ", w AS (SELECT event_id, max(ret) FILTER (horizon = 1) AS r1, max(ret) FILTER (horizon = 5) AS r5, max(ret) FILTER (horizon = 24) AS r24 FROM hr WHERE symbol = 'ETH' GROUP BY 1), x AS (SELECT o.event_id, o.published_us, (actor % 10)::DOUBLE AS x, r1, r5, r24 FROM o JOIN w USING (event_id)), tg AS (" + " UNION ALL ".join(f"SELECT '{n}' AS rule_id, * FROM x WHERE {t}" for n, t in _RULES) + ")"
+_X = _FR + ", w AS (SELECT event_id, symbol, max(ret) FILTER (horizon = 1) AS r1, max(ret) FILTER (horizon = 5) AS r5, max(ret) FILTER (horizon = 24) AS r24 FROM hr GROUP BY 1, 2), x AS (SELECT event_id * 3 + CASE symbol WHEN 'BTC' THEN 0 WHEN 'ETH' THEN 1 ELSE 2 END AS event_id, published_us, actor, source, (actor % 10)::DOUBLE AS x, r1, r5, r24 FROM w JOIN news USING (event_id)), tg AS (" + " UNION ALL ".join(f"SELECT '{n}' AS rule_id, * FROM x WHERE {t}" for n, t in _RULES) + ")"
 _WIN = f"{BARS}, {ASSETS}, w AS (SELECT event_id, ea.symbol, g.bar - base AS o, g.close, g.volume FROM ea JOIN bars g ON g.symbol = ea.symbol AND g.bar BETWEEN base - 60 AND base - 1)"
 
 SQL = {
-    "c10_span_status": f"""WITH {_G}, a AS (SELECT symbol, min(minute) AS lo, max(minute) AS hi FROM g GROUP BY 1), st AS (SELECT symbol, CASE WHEN minute - 60 >= lo AND minute + 60 <= hi THEN 'covered' WHEN minute - 60 < lo AND minute + 60 > hi THEN 'too_short' WHEN minute - 60 < lo THEN 'starts_late' ELSE 'ends_early' END AS status FROM g JOIN a USING (symbol) WHERE minute % 30 = 0) SELECT symbol, status, count(*) AS n FROM st GROUP BY 1, 2""",
+    "c10_span_status": f"""WITH {_G}, a AS (SELECT symbol, min(minute) AS lo, max(minute) AS hi FROM g GROUP BY 1), st AS (SELECT symbol, CASE WHEN minute - 60 >= lo AND minute + 60 <= hi THEN 'covered' WHEN minute - 60 < lo AND minute + 60 > hi THEN 'too_short' WHEN minute - 60 < lo THEN 'starts_late' ELSE 'ends_early' END AS status FROM g JOIN a USING (symbol)) SELECT symbol, status, count(*) AS n FROM st GROUP BY 1, 2""",
     "n9_invalid_impact": f"""WITH {_G}, ok AS (SELECT *, open_us // 60000000 AS m, CASE WHEN open_us BETWEEN 1483228800000000 AND 1893455999999999 AND close_us BETWEEN 1483228800000000 AND 1893455999999999 AND NOT mixed THEN 1 ELSE 0 END AS fine,
-        open > 0 AND close > 0 AND high >= open AND high >= close AND low <= open AND low <= close AND high >= low AND volume >= 0 AND open_us % 60000000 = 0 AS sound FROM p), bad AS (SELECT DISTINCT symbol, m FROM ok WHERE fine = 1 AND NOT sound), b AS (SELECT DISTINCT symbol, m FROM ok WHERE m % 5 = 0)
+        open > 0 AND close > 0 AND high >= open AND high >= close AND low <= open AND low <= close AND high >= low AND volume >= 0 AND open_us % 60000000 = 0 AS sound FROM p), bad AS (SELECT DISTINCT symbol, m FROM ok WHERE fine = 1 AND NOT sound), b AS (SELECT DISTINCT symbol, m FROM ok WHERE open_us BETWEEN 1483228800000000 AND 1893455999999999)
         SELECT CASE WHEN EXISTS (SELECT 1 FROM b WHERE b.symbol = bad.symbol AND b.m = bad.m) THEN 'reference' WHEN EXISTS (SELECT 1 FROM b WHERE b.symbol = bad.symbol AND b.m + 3 = bad.m) THEN 'endpoint' ELSE 'unused' END AS use, count(*) AS n FROM bad GROUP BY 1""",
     "e9_inclusive_scores": f"WITH {_WIN}, a AS (SELECT event_id, symbol, max(volume) FILTER (o = -1) AS v, avg(volume) AS m, stddev_samp(volume) AS s, stddev_pop(volume) AS p FROM w GROUP BY 1, 2) SELECT event_id, symbol, round((v - m) / nullif(s, 0), 6) AS sample, round((v - m) / nullif(p, 0), 6) AS population FROM a",
     "e11_regimes": f"WITH {_WIN}, a AS (SELECT event_id, symbol, max(close) FILTER (o = -1) / nullif(avg(close) FILTER (o >= -20), 0) - 1 AS dist FROM w WHERE o >= -40 GROUP BY 1, 2) SELECT symbol, CASE WHEN dist < -0.25 THEN 'down' WHEN dist > 0.25 THEN 'up' WHEN dist IS NOT NULL THEN 'flat' END AS trend, count(*) AS n FROM a GROUP BY 1, 2",

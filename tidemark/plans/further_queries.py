@@ -16,7 +16,7 @@ from tidemark.operators import serving as M
 from tidemark.operators import signals as K
 from tidemark.operators import stats as L
 from tidemark.plans.analysis_queries import _EV, _FR, _events, _frame, _one, _rules, _tagged
-from tidemark.plans.cut import read
+from tidemark.plans.cut import read, small
 from tidemark.plans.models import ASSETS, BARS, PCT, RETURNS, bars, epoch_us, event_assets, returns
 
 
@@ -68,7 +68,7 @@ def g17_greedy_groups(spark: SparkSession, d: str) -> DataFrame:
 def h8_registry(spark: SparkSession, d: str) -> DataFrame:
     """Articles by the class that the registry of sites gives their source, against the class they state."""
     a, s = read(spark, d, "primary_source_events"), read(spark, d, "source_sites").select(F.col("site").alias("source"), "source_class")
-    return a.join(F.broadcast(s), "source", "left").groupBy("source_type", "source_class").agg(F.count("*").alias("n"))  # 24 rows, fixed
+    return a.join(small(s), "source", "left").groupBy("source_type", "source_class").agg(F.count("*").alias("n"))
 
 
 def h12_title_assets(spark: SparkSession, d: str) -> DataFrame:
@@ -124,7 +124,7 @@ def j5_report(spark: SparkSession, d: str) -> DataFrame:
 
 def j19_source_report(spark: SparkSession, d: str) -> DataFrame:
     """Rates and sufficiency by source and symbol."""
-    f = _frame(spark, d).where("horizon = 5")
+    f = _frame(spark, d)
     a = f.groupBy("source", "symbol").agg(F.count("*").alias("rows"), F.count("ret").alias("n"), F.round(F.avg("ret"), 6).alias("mean_ret"), F.round(F.avg((F.col("ret") > 0).cast("double")), 6).alias("rise_rate"))
     return a.withColumn("sufficiency", K.sample_gate(F.col("n")))
 
@@ -136,15 +136,15 @@ def k4_rejects(spark: SparkSession, d: str) -> DataFrame:
 
 def k19_funnel(spark: SparkSession, d: str) -> DataFrame:
     """Cases left after each stage."""
-    f = _frame(spark, d).where("symbol = 'ETH' AND horizon = 5")
+    f = _frame(spark, d)
     ok, even = F.col("ret").isNotNull(), F.col("actor") % 2 == 0
     return f.agg(F.count("*").alias("events"), F.count_if(ok).alias("with_result"), F.count_if(ok & even).alias("selected"), F.count_if(ok & even & (F.abs("ret") > 10)).alias("moved"))
 
 
 def k21_sizes(spark: SparkSession, d: str) -> DataFrame:
     """Results weighted by size in inverse proportion to volatility."""
-    p = R.per_base(event_assets(spark, d), lambda e: R.path_volatility(R.price_path(e, bars(spark, d), 24), 24)).where("symbol = 'ETH'").select("event_id", "volatility")
-    x = _one(spark, d).join(p, "event_id").withColumn("size", K.position_size(F.col("volatility"), 500.0))
+    p = R.per_base(event_assets(spark, d), lambda e: R.path_volatility(R.price_path(e, bars(spark, d), 24), 24)).select(F.col("event_id").alias("event"), "symbol", "volatility")
+    x = _one(spark, d).join(p, ["event", "symbol"]).withColumn("size", K.position_size(F.col("volatility"), 500.0))
     return x.agg(F.count("*").alias("n"), F.round(F.avg("size"), 6).alias("mean_size"), F.round(F.avg(F.col("size") * F.col("ret")), 5).alias("mean_sized"))
 
 
@@ -168,7 +168,7 @@ def k31_magnitude(spark: SparkSession, d: str) -> DataFrame:
 
 def l8_spearman(spark: SparkSession, d: str) -> DataFrame:
     """Rank correlation of results at two horizons."""
-    w = R.wide_returns(returns(spark, d).where("symbol = 'SOL'"), (1, 5)).dropna()
+    w = R.wide_returns(returns(spark, d), (1, 5)).dropna()
     r = L.average_ranks(L.average_ranks(w, "ret_1", "a"), "ret_5", "b")
     return r.agg(F.count("*").alias("n"), F.round(F.corr("a", "b"), 6).alias("spearman"))
 
@@ -241,16 +241,16 @@ SQL = {
     "i21_json_element": """SELECT upper(list_filter(from_json(assets_json, '["VARCHAR"]'), lambda x: upper(x) <> 'BTC')[1]) AS asset, count(*) AS n FROM primary_source_events GROUP BY 1""",
     "j2_correlated": "SELECT unnest(['tripled', 'negated']) AS feature",
     "j5_report": """SELECT count(*) AS n, count(DISTINCT url) AS urls, count(*) FILTER (length(body) < 1000) AS short, count(*) FILTER (author IS NULL) AS no_author, count(*) FILTER (published_at IS NULL) AS no_time, count(*) FILTER (published_at > discovered_at) AS future, count(*) FILTER (NOT regexp_matches(url, '^https?://[^/]+/')) AS bad_url, round(avg(time_confidence), 6) AS confidence FROM primary_source_events""",
-    "j19_source_report": f"""WITH {_FR}, a AS (SELECT source, symbol, count(*) AS rows, count(ret) AS n, round(avg(ret), 6) AS mean_ret, round(avg((ret > 0)::INT), 6) AS rise_rate FROM fr WHERE horizon = 5 GROUP BY 1, 2) SELECT *, CASE WHEN n < 30 THEN 'descriptive' WHEN n < 100 THEN 'exploratory' WHEN n < 300 THEN 'candidate' ELSE 'strong' END AS sufficiency FROM a""",
+    "j19_source_report": f"""WITH {_FR}, a AS (SELECT source, symbol, count(*) AS rows, count(ret) AS n, round(avg(ret), 6) AS mean_ret, round(avg((ret > 0)::INT), 6) AS rise_rate FROM fr GROUP BY 1, 2) SELECT *, CASE WHEN n < 30 THEN 'descriptive' WHEN n < 100 THEN 'exploratory' WHEN n < 300 THEN 'candidate' ELSE 'strong' END AS sufficiency FROM a""",
     "k4_rejects": f"WITH {_FR}, x AS (SELECT *, (actor % 10)::DOUBLE AS x FROM o), t AS (" + " UNION ALL ".join(f"SELECT '{n}' AS rule_id, ret FROM x WHERE {t}" for n, t in _RULE) + """), a AS (SELECT rule_id, count(*) AS n, count(*) FILTER (ret > 0) / count(*) AS wr, avg(ret - 0.2::DOUBLE) AS mn, sum(ret - 0.2::DOUBLE) FILTER (ret > 0.2::DOUBLE) / -sum(ret - 0.2::DOUBLE) FILTER (ret < 0.2::DOUBLE) AS pf FROM t GROUP BY 1)
         SELECT rule_id, n, CASE WHEN n < 100 THEN 'low_sample' WHEN wr < 0.55 THEN 'win_rate' WHEN mn <= 0 THEN 'no_expectancy' WHEN coalesce(pf, 1e300) <= 1 THEN 'profit_factor' END AS rejected FROM a""",
-    "k19_funnel": f"WITH {_FR} SELECT count(*) AS events, count(ret) AS with_result, count(ret) FILTER (actor % 2 = 0) AS selected, count(*) FILTER (actor % 2 = 0 AND abs(ret) > 10) AS moved FROM fr WHERE symbol = 'ETH' AND horizon = 5",
-    "k21_sizes": f"""WITH {_FR}, pth AS (SELECT event_id, g.bar - base AS q, g.open FROM ea JOIN bars b ON b.symbol = 'ETH' AND b.bar = base JOIN bars g ON g.symbol = 'ETH' AND g.bar BETWEEN base AND base + 24 WHERE ea.symbol = 'ETH' AND b.open > 0), l AS (SELECT event_id, CASE WHEN q - lag(q) OVER k = 1 AND lag(open) OVER k > 0 AND open > 0 THEN ln(open / lag(open) OVER k) END AS r FROM pth WINDOW k AS (PARTITION BY event_id ORDER BY q)),
-        v AS (SELECT event_id, sqrt(sum(r * r)) * 100 AS v FROM l GROUP BY 1), s AS (SELECT ret, CASE WHEN v > 0 THEN least(1.0, greatest(0.25, 500.0 / v)) ELSE 0.0 END AS z FROM o JOIN v USING (event_id)) SELECT count(*) AS n, round(avg(z), 6) AS mean_size, round(avg(z * ret), 5) AS mean_sized FROM s""",
+    "k19_funnel": f"WITH {_FR} SELECT count(*) AS events, count(ret) AS with_result, count(ret) FILTER (actor % 2 = 0) AS selected, count(*) FILTER (actor % 2 = 0 AND abs(ret) > 10) AS moved FROM fr",
+    "k21_sizes": f"""WITH {_FR}, pth AS (SELECT event_id, ea.symbol, g.bar - base AS q, g.open FROM ea JOIN bars b ON b.symbol = ea.symbol AND b.bar = base JOIN bars g ON g.symbol = ea.symbol AND g.bar BETWEEN base AND base + 24 WHERE b.open > 0), l AS (SELECT event_id, symbol, CASE WHEN q - lag(q) OVER k = 1 AND lag(open) OVER k > 0 AND open > 0 THEN ln(open / lag(open) OVER k) END AS r FROM pth WINDOW k AS (PARTITION BY event_id, symbol ORDER BY q)),
+        v AS (SELECT event_id AS event, symbol, sqrt(sum(r * r)) * 100 AS v FROM l GROUP BY 1, 2), s AS (SELECT ret, CASE WHEN v > 0 THEN least(1.0, greatest(0.25, 500.0 / v)) ELSE 0.0 END AS z FROM o JOIN v USING (event, symbol)) SELECT count(*) AS n, round(avg(z), 6) AS mean_size, round(avg(z * ret), 5) AS mean_sized FROM s""",
     "k23_baselines": f"WITH {_FR}, x AS (SELECT {_DIR} AS d, lag({_DIR}) OVER (ORDER BY published_us, event_id) AS p FROM o), m AS (SELECT d AS m FROM x GROUP BY d ORDER BY count(*) DESC, d DESC LIMIT 1) SELECT count(*) AS n, round(avg((d = 'UP')::INT), 6) AS always_up, round(avg((d = m)::INT), 6) AS majority, round(avg((d = p)::INT), 6) AS previous FROM x, m",
     "k26_grouped": f"""WITH {_FR}, x AS (SELECT ret, source, (isodow(make_timestamp(published_us)) - 1)::VARCHAR AS weekday, hour(make_timestamp(published_us))::VARCHAR AS hour FROM o), u AS (SELECT ret, 'source' AS dimension, source AS "value" FROM x UNION ALL SELECT ret, 'weekday', weekday FROM x UNION ALL SELECT ret, 'hour', hour FROM x) SELECT dimension, "value", count(*) AS n, round(avg(ret), 6) AS mean_ret FROM u GROUP BY 1, 2""",
     "k31_magnitude": f"WITH {_FR} SELECT source, count(*) AS n, round(avg((abs(ret) - 5 > 0)::INT), 6) AS rate, round(median(abs(ret) - 5) FILTER (abs(ret) - 5 > 0), 6) AS median_excess FROM o GROUP BY 1",
-    "l8_spearman": f"WITH {RETURNS}, w AS (SELECT event_id, max(ret) FILTER (horizon = 1) AS x, max(ret) FILTER (horizon = 5) AS y FROM hr WHERE symbol = 'SOL' GROUP BY 1), k AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS a, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS b FROM w WHERE x IS NOT NULL AND y IS NOT NULL) SELECT count(*) AS n, round(corr(a, b), 6) AS spearman FROM k",
+    "l8_spearman": f"WITH {RETURNS}, w AS (SELECT event_id, max(ret) FILTER (horizon = 1) AS x, max(ret) FILTER (horizon = 5) AS y FROM hr GROUP BY event_id, symbol), k AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS a, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS b FROM w WHERE x IS NOT NULL AND y IS NOT NULL) SELECT count(*) AS n, round(corr(a, b), 6) AS spearman FROM k",
     "m8_broad_filter": f"WITH {_EV}, h AS (SELECT year(published_at) AS year FROM ev WHERE list_contains(assets, 'SOL') AND lower(sentiment) = 'bullish' AND published_at >= '2022-01-01'), y AS (SELECT year, count(*) AS n FROM h GROUP BY 1), s AS (SELECT unnest(generate_series(min(year), max(year))) AS year FROM y) SELECT year, coalesce(n, 0) AS n FROM s LEFT JOIN y USING (year)",
     "m16_topic": f"WITH {_EV}, e AS (SELECT event_id, title, unnest(assets) AS asset FROM ev WHERE {_ETHW('title', ['fork'])}) SELECT asset, count(*) AS n, count(DISTINCT trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g'))) AS stories, max(event_id) AS last_id FROM e GROUP BY 1",
     "n8_changelog": """SELECT 'c_acctbal' AS "column", count(*) AS n FROM customer WHERE c_custkey % 4 = 0 UNION ALL SELECT 'c_mktsegment', count(*) FROM customer WHERE c_mktsegment <> lower(c_mktsegment)""",
