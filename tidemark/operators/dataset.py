@@ -11,8 +11,8 @@ from pyspark.sql.window import Window
 from tidemark.operators.ordered import global_rank
 
 # Beginnings and parts of column names that may not be features.
-FORBIDDEN_PREFIXES = ("target_", "future_", "post_")
-FORBIDDEN_PARTS = ("return_after", "outcome", "label")
+FORBIDDEN_PREFIXES = ("return_", "abnormal_return_", "max_favorable", "max_adverse", "max_absolute", "realized_vol_", "volume_shock_", "target_", "future_")
+FORBIDDEN_PARTS = ("future", "post_event", "reaction", "target", "mfe", "mae")
 
 
 def chronological_split(rows: DataFrame, t: str, ident: str, shares: list[tuple[str, float]]) -> DataFrame:
@@ -114,3 +114,23 @@ def missing_report(rows: DataFrame, by: str, columns: list[str]) -> DataFrame:
     """(by, column, missing, n) of the named columns, in one aggregation."""
     a = rows.groupBy(by).agg(F.count("*").alias("n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
     return a.unpivot([by, "n"], columns, "column", "missing")
+
+
+def with_missing_token(rows: DataFrame, columns: list[str], token: str = "__missing__") -> DataFrame:
+    """``rows`` with a token of its own for missing categories, so that encoders see them."""
+    return rows.withColumns({c: F.coalesce(F.col(c), F.lit(token)) for c in columns})
+
+
+def variants(rows: DataFrame, prefixes: dict[str, list[str]]) -> dict[str, DataFrame]:
+    """The projections of a dataset that hold the columns with any of the prefixes of a variant, in the order of the dataset."""
+    return {name: rows.select(*[c for c in rows.columns if c.startswith(tuple(p))]) for name, p in prefixes.items()}
+
+
+def top_lift(rows: DataFrame, score: str, ident: str, value: str, share: float) -> DataFrame:
+    """(n, top_mean, lift): mean of the values of the best share of the rows by score (ties by the id), and its ratio to the mean of all."""
+    there = rows.where(F.col(score).isNotNull() & F.col(value).isNotNull())
+    day = -F.unix_date(F.col(score).cast("date")) if dict(rows.dtypes)[score] in ("date", "timestamp", "timestamp_ntz") else -F.floor(F.col(score))
+    ranked = global_rank(there, day, [F.desc(score), F.asc(ident)], "_r")
+    total = there.agg(F.ceil(F.count("*") * F.lit(share)).alias("_k"), F.avg(value).alias("_m"))
+    top = ranked.crossJoin(F.broadcast(total)).where("_r <= _k")  # total is one row
+    return top.agg(F.count("*").alias("n"), F.avg(value).alias("top_mean"), (F.avg(value) / F.first("_m")).alias("lift"))
