@@ -132,8 +132,8 @@ def tied_rows(rows: DataFrame) -> DataFrame:
     r = cut(rows.select("row_id", plain_key(F.col("event_id")).alias("event"), plain_handle(F.col("author_handle")).alias("author")).where("row_id IS NOT NULL").distinct())
     event, author = F.concat(F.lit("e:"), F.col("event")), F.concat(F.lit("a:"), F.col("author"))
     # A key that stands alone in its rows still needs a node, hence the loops.
-    pairs = r.select(F.coalesce(event, author).alias("x"), F.coalesce(author, event).alias("y")).where("x IS NOT NULL").distinct()
-    name = _numbered(pairs.select(F.explode(F.array("x", "y")).alias("k")))
+    pairs = r.select(F.coalesce(event, author).alias("x"), F.coalesce(author, event).alias("y")).where("x IS NOT NULL")
+    name = _numbered(pairs.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("k")))
     edges = pairs.withColumn("k", F.col("x")).withColumn("a", name).withColumn("k", F.col("y")).select("a", name.alias("b"))
     found = components(edges)
     keyed = r.withColumn("k", F.coalesce(event, author)).withColumn("node", F.when(F.col("k").isNotNull(), name)).drop("k")
