@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.operators.ordered import previous
+from tidemark.operators.ordered import global_rank, previous, quantiles
 from tidemark.operators.reactions import window_bars
 
 #: Microseconds of a minute.
@@ -95,11 +95,19 @@ def as_of(left: DataFrame, right: DataFrame, key: list[str], t: str, values: lis
     return found.select(*names, *[F.when(ok, F.col(f"_hit.{v}")).alias(v) for v in values])
 
 
-def rolling_score(df: DataFrame, key: list[str], order: str, value: str, rows: int, least: int) -> DataFrame:
-    """Add ``score``: how many sample deviations a value lies from the mean of the last ``rows`` rows, itself included; NULL below ``least`` rows."""
-    w = Window.partitionBy(*key).orderBy(order).rowsBetween(-(rows - 1), 0)
+def rolling_score(df: DataFrame, key: list[str], order: str, value: str, rows: int, least: int, bucket: int = 4096) -> DataFrame:
+    """Add ``score``: how many sample deviations a value lies from the mean of the last ``rows`` rows, itself included; NULL below ``least`` rows.
+
+    ``order`` is a number, distinct within a key. A key's rows are numbered by buckets of the order and cut into blocks of so many rows; the last
+    rows of a block are carried into the next, so a hot key is many tasks.
+    """
+    size = max(rows, bucket)
+    numbered = global_rank(df, F.floor(F.col(order) / bucket), [F.asc(order)], "_r", by=key).withColumn("_blk", F.floor((F.col("_r") - 1) / size))
+    last = F.col("_r") > (F.col("_blk") + 1) * size - (rows - 1)
+    both = numbered.withColumn("_at", F.explode(F.when(last, F.array(F.col("_blk"), F.col("_blk") + 1)).otherwise(F.array("_blk"))))
+    w = Window.partitionBy(*key, "_at").orderBy("_r").rowsBetween(-(rows - 1), 0)
     n, m, s = F.count(value).over(w), F.avg(value).over(w), F.stddev_samp(value).over(w)
-    return df.withColumn("score", F.when(n >= least, F.try_divide(F.col(value) - m, s)))
+    return both.withColumn("score", F.when(n >= least, F.try_divide(F.col(value) - m, s))).where("_at = _blk").drop("_r", "_blk", "_at")
 
 
 def next_event(events: DataFrame, key: str, t: str, horizon: int) -> DataFrame:
@@ -119,7 +127,7 @@ def next_event(events: DataFrame, key: str, t: str, horizon: int) -> DataFrame:
 
 def tercile_labels(df: DataFrame, value: str, train: Column) -> DataFrame:
     """Add ``tercile`` (low, middle, high) by the .33 and .67 quantiles of the training rows."""
-    q = df.where(train).agg(F.percentile(value, F.array(F.lit(0.33), F.lit(0.67))).alias("q"))
+    q = quantiles(df.where(train), [], value, [0.33, 0.67])
     v = F.col(value)
     return df.join(F.broadcast(q)).withColumn("tercile", F.when(v <= F.col("q")[0], "low").when(v >= F.col("q")[1], "high").when(v.isNotNull(), "middle")).drop("q")
 

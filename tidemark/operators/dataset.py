@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.operators.ordered import global_rank
+from tidemark.operators.ordered import global_rank, quantiles
 
 # Beginnings and parts of column names that may not be features.
-FORBIDDEN_PREFIXES = ("return_", "abnormal_return_", "max_favorable", "max_adverse", "max_absolute", "realized_vol_", "volume_shock_", "target_", "future_")
-FORBIDDEN_PARTS = ("future", "post_event", "reaction", "target", "mfe", "mae")
+FORBIDDEN_PREFIXES = ("return_", "abnormal_return_", "max_favorable", "max_adverse", "max_absolute", "realized_vol_", "volume_shock_", "target_", "future_", "post_")
+FORBIDDEN_PARTS = ("future", "post_event", "reaction", "target", "mfe", "mae", "return_after", "outcome", "label")
 
 
 def chronological_split(rows: DataFrame, t: str, ident: str, shares: list[tuple[str, float]]) -> DataFrame:
@@ -48,7 +48,9 @@ def folds(rows: DataFrame, t: str, ident: str, k: int) -> DataFrame:
 
 def train_quantile(rows: DataFrame, value: str, train: Column, q: float, name: str) -> DataFrame:
     """Add a quantile of the training rows to all rows."""
-    return rows.join(F.broadcast(rows.where(train).agg(F.percentile(value, F.lit(q)).alias(name))))
+    found = quantiles(rows.where(train), [], value, [q]).select(F.col("q")[0].alias(name))
+    # One row, or none without training rows.
+    return rows.join(F.broadcast(found), how="left")
 
 
 def one_hot(rows: DataFrame, column: str, values: list[str]) -> DataFrame:

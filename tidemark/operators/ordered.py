@@ -1,6 +1,6 @@
 """Order without a single task: ranks, running sums, running extremes and neighbours by buckets, over all rows or within keys.
 
-Each operator takes a ``bucket`` that follows the order (for times, the day). Buckets are summed up first; only their totals, of which there
+Most operators take a ``bucket`` that follows the order (for times, the day). Buckets are summed up first; only their totals, of which there
 are as many as buckets, pass through one window for each key, and rows are ordered within their key and bucket. So neither the whole table nor
 a hot key is ordered in one task. Name a finer bucket if one holds too many rows. Keys may be NULL.
 """
@@ -52,3 +52,36 @@ def previous(df: DataFrame, bucket: Column, order: list[str], by: list[str], nam
     far = (F.lead if forward else F.lag)("_e").over(Window.partitionBy(*by).orderBy("_b"))
     near = (F.lead if forward else F.lag)("_o").over(Window.partitionBy(*by, "_b").orderBy("_o"))
     return _join(d, ends.withColumn("_far", far).drop("_e"), by).withColumn(name, F.coalesce(near, "_far")).drop("_b", "_o", "_far")
+
+
+def beside(df: DataFrame, facts: DataFrame, by: list[str]) -> DataFrame:
+    """The facts of its key at every row; NULL keys meet NULL keys, and without a key there is one row of facts."""
+    if not by:
+        return df.crossJoin(F.broadcast(facts))  # one row
+    return _join(df.withColumn("_b", F.lit(0)), facts.withColumn("_b", F.lit(0)), by)
+
+
+def quantiles(rows: DataFrame, by: list[str], value: str, shares: list[float], name: str = "q", buckets: int = 256) -> DataFrame:
+    """(by..., name): the exact quantiles of a value in each group, as an array of doubles, interpolated between neighbours; NULL values are left out.
+
+    Equal values are counted first. Approximate quantiles then cut each group into buckets of about as many rows; only the totals of the
+    buckets are ordered together, and only the buckets that hold a wanted position are ordered within. So no task holds the values of a group.
+    """
+    there = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    counts = there.groupBy(*by, "_v").agg(F.count("*").alias("_c"))
+    cuts = F.percentile_approx("_v", F.array(*[F.lit(k / buckets) for k in range(1, buckets)]), F.lit(20 * buckets))
+    groups = there.groupBy(*by).agg(cuts.alias("_cuts"), F.count("*").alias("_n"))
+    placed = beside(counts, groups, by).select(*by, "_v", "_c", "_n", F.size(F.filter("_cuts", lambda x: x < F.col("_v"))).alias("_b"))
+    totals = placed.groupBy(*by, "_b").agg(F.sum("_c").alias("_t"), F.max("_n").alias("_m"))
+    totals = totals.withColumn("_ahead", F.coalesce(F.sum("_t").over(_before(by)), F.lit(0)))
+    at = [F.lit(float(p)) * (F.col("_m") - 1) for p in shares]
+    wanted = reduce(lambda a, c: a | c, [(F.ceil(x) >= F.col("_ahead")) & (F.floor(x) < F.col("_ahead") + F.col("_t")) for x in at])
+    near = _join(placed, totals.where(wanted).drop("_t"), by) if by else placed.join(totals.where(wanted).drop("_t"), "_b")
+    # _join takes the bucket away; the position before the bucket stands for it.
+    up_to = F.col("_ahead") + F.sum("_c").over(Window.partitionBy(*by, "_ahead").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    near = near.withColumn("_up", up_to).withColumn("_low", F.col("_up") - F.col("_c"))
+    pick = lambda x: F.max(F.when((x >= F.col("_low")) & (x < F.col("_up")), F.col("_v")))
+    ends = [pick(f(x)).alias(f"_{e}{k}") for k, x in enumerate(at) for e, f in (("f", F.floor), ("c", F.ceil))]
+    found = near.groupBy(*by).agg(F.max("_n").alias("_m"), *ends)
+    part = [x - F.floor(x) for x in at]
+    return found.select(*by, F.array(*[F.col(f"_f{k}") * (1 - part[k]) + F.col(f"_c{k}") * part[k] for k in range(len(shares))]).alias(name))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.ordered import beside, quantiles
+
 
 def long_form(rows: DataFrame, columns: list[str], keep: list[str] | None = None) -> DataFrame:
     """(keep..., feature, value): the named columns as DOUBLE rows."""
@@ -16,13 +18,13 @@ def feature_quality(rows: DataFrame, columns: list[str], most_missing: float = 4
     """One row per feature: counts, moments, quantiles, outliers beyond the 1st and 99th percentile, and the reason to remove it, if any.
 
     NaN counts as missing. All features go through one aggregation; outliers need a second pass against the broadcast percentiles.
+    Percentiles come from ranks by buckets, so no task holds all values of a feature.
     """
     x = long_form(rows, columns).withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
-    q = F.percentile("value", F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99)))
     a = x.groupBy("feature").agg(
         F.count("*").alias("rows"), F.count("value").alias("n"), F.count_distinct("value").alias("unique"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("least"), F.max("value").alias("most"), q.alias("q"),
-    )
+        F.min("value").alias("least"), F.max("value").alias("most"),
+    ).join(quantiles(x, ["feature"], "value", [0.01, 0.5, 0.99]), "feature", "left")
     top = x.where("value IS NOT NULL").groupBy("feature", "value").agg(F.count("*").alias("k")).groupBy("feature").agg(F.max("k").alias("top"))
     j = x.join(F.broadcast(a.select("feature", "q")), "feature").groupBy("feature").agg(F.count_if((F.col("value") < F.col("q")[0]) | (F.col("value") > F.col("q")[2])).alias("outliers"))
     missing = (F.col("rows") - F.col("n")) * 100 / F.col("rows")
@@ -45,9 +47,8 @@ def correlated_features(rows: DataFrame, columns: list[str], above: float = 0.99
 
 def distribution(rows: DataFrame, groups: list[str], value: str) -> DataFrame:
     """Count, mean, median, deviation and outer percentiles of a value by groups."""
-    q = F.percentile(value, F.array(*[F.lit(p) for p in (0.05, 0.25, 0.5, 0.75, 0.95)]))
-    a = rows.where(F.col(value).isNotNull()).groupBy(*groups).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), q.alias("q"))
-    return a.select(*groups, "n", "mean", "std", *[F.col("q")[k].alias(f"p{p}") for k, p in enumerate(("05", "25", "50", "75", "95"))])
+    a = rows.where(F.col(value).isNotNull()).groupBy(*groups).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
+    return beside(a, quantiles(rows, groups, value, [0.05, 0.25, 0.5, 0.75, 0.95]), groups).select(*groups, "n", "mean", "std", *[F.col("q")[k].alias(f"p{p}") for k, p in enumerate(("05", "25", "50", "75", "95"))])
 
 
 def split_shift(rows: DataFrame, split: str, flag: Column, limit: float = 0.10) -> DataFrame:
@@ -61,10 +62,13 @@ def lag_audit(rows: DataFrame, group: str, minutes: Column) -> DataFrame:
     """Lags in minutes by group: known, negative, and of the others the 75th and 90th percentile and the share above 5, 15 and 60."""
     r = rows.select(group, minutes.alias("m")).where("m IS NOT NULL")
     ok = F.when(F.col("m") >= 0, F.col("m"))
-    return r.groupBy(group).agg(
-        F.count("*").alias("known"), F.count_if(F.col("m") < 0).alias("negative"), F.percentile(ok, F.lit(0.75)).alias("p75"), F.percentile(ok, F.lit(0.9)).alias("p90"),
+    q = quantiles(r.where("m >= 0"), [group], "m", [0.75, 0.9])
+    a = r.groupBy(group).agg(
+        F.count("*").alias("known"), F.count_if(F.col("m") < 0).alias("negative"),
         *[(F.count_if(F.col("m") > x) * 100 / F.nullif(F.count(ok), F.lit(0))).alias(f"above_{x}") for x in (5, 15, 60)],
     )
+    j = a.join(q.withColumnRenamed(group, "_g"), F.col(group).eqNullSafe(F.col("_g")), "left")
+    return j.select(group, "known", "negative", F.col("q")[0].alias("p75"), F.col("q")[1].alias("p90"), *[f"above_{x}" for x in (5, 15, 60)])
 
 
 def corrected_skew(value: str) -> Column:

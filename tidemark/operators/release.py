@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.ordered import beside, quantiles
+
 
 def contract_violations(rows: DataFrame, key: list[str], required: list[str], ranges: dict[str, tuple[float | None, float | None]], allowed: dict[str, list[str]] | None = None) -> DataFrame:
     """(check, violations): repeated keys, missing values, values out of range or not allowed; all row checks in one aggregation."""
@@ -65,12 +67,15 @@ def magnitude(value: Column) -> Column:
 
 
 def comparison_summary(cells: DataFrame, dimensions: list[str]) -> DataFrame:
-    """Number, flips, mean, 95th and 99th percentile of the absolute difference: over all and by each dimension, in one grouping-sets pass."""
-    a = F.abs("difference")
-    sets = [[], *[[d] for d in dimensions]]
-    g = cells.groupingSets([[F.col(c) for c in s] for s in sets], *dimensions)
-    out = g.agg(F.count("*").alias("n"), F.count_if("flipped").alias("flips"), F.avg(a).alias("mean_abs"), F.percentile(a, F.lit(0.95)).alias("p95"), F.percentile(a, F.lit(0.99)).alias("p99"))
-    return out
+    """Number, flips, mean, 95th and 99th percentile of the absolute difference: over all and by each dimension. Rows are exploded to the sets that
+    they belong to, so that percentiles come from ranks by buckets."""
+    kinds = dict(cells.dtypes)
+    none = lambda d: F.lit(None).cast(kinds[d]).alias(d)
+    sets = [F.struct(F.lit(k).alias("_set"), *[F.col(d).alias(d) if d == only else none(d) for d in dimensions]) for k, only in enumerate([None, *dimensions])]
+    x = cells.select(F.explode(F.array(*sets)).alias("s"), F.abs("difference").alias("a"), "flipped").select("s.*", "a", "flipped")
+    by = ["_set", *dimensions]
+    g = x.groupBy(*by).agg(F.count("*").alias("n"), F.count_if("flipped").alias("flips"), F.avg("a").alias("mean_abs"))
+    return beside(g, quantiles(x, by, "a", [0.95, 0.99]), by).select(*dimensions, "n", "flips", "mean_abs", F.col("q")[0].alias("p95"), F.col("q")[1].alias("p99"))
 
 
 def extremes(rows: DataFrame, groups: list[str], value: str, ident: str, k: int) -> DataFrame:

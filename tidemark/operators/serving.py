@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.identity import text_key
+from tidemark.operators.ordered import quantiles
 from tidemark.operators.stats import trimmed_mean, wilson
 
 
@@ -79,16 +80,20 @@ def overview(long: DataFrame, groups: list[str], value: str) -> DataFrame:
     """By groups: number, mean, median, deviation, standard error, trimmed mean, and the positive share in percent with its interval."""
     v = F.col(value)
     a = long.where(v.isNotNull()).groupBy(*groups).agg(
-        F.count("*").alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.stddev_samp(value).alias("std"), F.count_if(v > 0).alias("positive"), F.count_if(v < 0).alias("negative"))
+        F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.count_if(v > 0).alias("positive"), F.count_if(v < 0).alias("negative"))
     low, high = wilson(F.col("positive"), F.col("n"))
     a = a.withColumns({"error": F.col("std") / F.sqrt("n"), "positive_pct": F.col("positive") * 100 / F.col("n"), "low_pct": F.greatest(F.lit(0.0), low * 100), "high_pct": F.least(F.lit(100.0), high * 100)})
-    return a.join(trimmed_mean(long, groups, value).drop("n"), groups)
+    middle = quantiles(long, groups, value, [0.5]).select(*groups, F.col("q")[0].alias("median"))
+    return a.join(trimmed_mean(long, groups, value).drop("n"), groups).join(middle, groups)
 
 
 def compare(rows: DataFrame, side: str, a: str, b: str, value: str) -> DataFrame:
     """Mean and median of two sides in one row, and the difference of the means."""
     on = lambda x: F.when(F.col(side) == x, F.col(value))
-    r = rows.agg(F.count(on(a)).alias("n_a"), F.avg(on(a)).alias("mean_a"), F.median(on(a)).alias("median_a"), F.count(on(b)).alias("n_b"), F.avg(on(b)).alias("mean_b"), F.median(on(b)).alias("median_b"))
+    r = rows.agg(F.count(on(a)).alias("n_a"), F.avg(on(a)).alias("mean_a"), F.count(on(b)).alias("n_b"), F.avg(on(b)).alias("mean_b"))
+    middle = quantiles(rows.where(F.col(side).isin(a, b)), [side], value, [0.5])
+    middle = middle.agg(*[F.max(F.when(F.col(side) == x, F.col("q")[0])).alias(f"median_{n}") for n, x in (("a", a), ("b", b))])
+    r = r.crossJoin(F.broadcast(middle))  # one row and one row
     return r.withColumn("difference", F.col("mean_a") - F.col("mean_b"))
 
 

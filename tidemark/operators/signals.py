@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.operators.ordered import global_rank, running
+from tidemark.operators.ordered import global_rank, quantiles, running
 from tidemark.operators.stats import wilson
 
 _OPS = {
@@ -49,10 +49,11 @@ def rule_metrics(rows: DataFrame, rules: dict[str, Column], value: str, cost: fl
     tagged = rows.withColumn("rule_id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in rules.items()])))).where(F.col(value).isNotNull())
     net = F.col(value) - cost
     a = tagged.groupBy("rule_id").agg(
-        F.count("*").alias("n"), F.count_if(F.col(value) > 0).alias("wins"), F.avg(value).alias("mean_return"), F.median(value).alias("median_return"), F.avg(net).alias("mean_net"),
+        F.count("*").alias("n"), F.count_if(F.col(value) > 0).alias("wins"), F.avg(value).alias("mean_return"), F.avg(net).alias("mean_net"),
         F.try_divide(F.sum(F.when(net > 0, net)), -F.sum(F.when(net < 0, net))).alias("profit_factor"),
     )
     low, high = wilson(F.col("wins"), F.col("n"))
+    a = a.join(quantiles(tagged, ["rule_id"], value, [0.5]).select("rule_id", F.col("q")[0].alias("median_return")), "rule_id")
     return a.withColumns({"win_rate": F.col("wins") / F.col("n"), "wilson_low": low, "wilson_high": high})
 
 
@@ -89,7 +90,7 @@ def performance(rows: DataFrame, t: str, ident: str, value: str) -> DataFrame:
     e = equity(rows, t, ident, value)
     v = F.col(value)
     a = e.agg(
-        F.count("*").alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.avg((v > 0).cast("double")).alias("win_rate"),
+        F.count("*").alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"), F.avg((v > 0).cast("double")).alias("win_rate"),
         F.try_divide(F.sum(F.when(v > 0, v)), -F.sum(F.when(v < 0, v))).alias("profit_factor"), F.min("drawdown").alias("max_drawdown"), F.stddev_samp(value).alias("deviation"),
         F.sqrt(F.avg(F.pow(F.least(v, F.lit(0.0)), F.lit(2.0)))).alias("downside"), F.min(value).alias("worst"), F.max(value).alias("best"),
         F.try_divide(F.avg(F.when(v > 0, v)), -F.avg(F.when(v < 0, v))).alias("payoff"),
@@ -98,7 +99,8 @@ def performance(rows: DataFrame, t: str, ident: str, value: str) -> DataFrame:
     k = F.broadcast(a.select(F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(0.05))).alias("_k")))
     tail = ranked.join(k).where("_r <= _k").agg(F.avg(value).alias("expected_shortfall"))
     sharpe = F.try_divide(F.col("mean"), F.col("deviation")) * F.sqrt("n")
-    return a.join(F.broadcast(tail)).withColumns({"sharpe_like": sharpe, "recovery": F.when(F.col("max_drawdown") < 0, F.col("total") / -F.col("max_drawdown"))})
+    middle = quantiles(rows, [], value, [0.5]).agg(F.max(F.col("q")[0]).alias("median"))
+    return a.join(F.broadcast(tail)).join(F.broadcast(middle)).withColumns({"sharpe_like": sharpe, "recovery": F.when(F.col("max_drawdown") < 0, F.col("total") / -F.col("max_drawdown"))})
 
 
 def longest_streaks(rows: DataFrame, t: str, ident: str, won: Column) -> DataFrame:

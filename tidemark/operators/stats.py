@@ -10,9 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
-from pyspark.sql.window import Window
 
-from tidemark.operators.ordered import global_rank, running
+from tidemark.operators.ordered import beside, global_rank, running
 
 Z = 1.959963984540054
 
@@ -29,14 +28,14 @@ def wilson(wins: Column, n: Column, z: float = Z) -> tuple[Column, Column]:
 def benjamini_hochberg(rows: DataFrame, p: str, ident: str, family: list[str] | None = None) -> DataFrame:
     """Add ``q``: p values adjusted for the false discovery rate within each family; NULL stays out. Ties by the id.
 
-    A family is one window; hypotheses are few beside the rows they were tested on.
+    Hypotheses are ordered by buckets of p, by size from 1/1024 on and by magnitude below, so neither a family nor the table is one task.
     """
-    fam = [F.col(c) for c in family] if family else [F.lit(1)]
+    fam = family or []
     there = rows.where(F.col(p).isNotNull())
-    m, k = F.count("*").over(Window.partitionBy(*fam)), F.row_number().over(Window.partitionBy(*fam).orderBy(p, ident))
-    raw = there.withColumn("_q", F.col(p) * m / k).withColumn("_k", k)
-    down = Window.partitionBy(*fam).orderBy(F.desc("_k")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return raw.withColumn("q", F.least(F.lit(1.0), F.min("_q").over(down))).drop("_q", "_k")
+    bucket = F.when(F.col(p) >= 2.0**-10, F.floor(F.col(p) * 1024)).otherwise(F.floor(F.log2(F.greatest(F.col(p), F.lit(1e-300))) * 8))
+    ranked = beside(global_rank(there, bucket, [F.asc(p), F.asc(ident)], "_k", by=fam), there.groupBy(*fam).agg(F.count("*").alias("_m")), fam)
+    down = running(ranked.withColumn("_q", -F.col(p) * F.col("_m") / F.col("_k")), -bucket, [F.desc("_k")], "_q", "_best", largest=True, by=fam)
+    return down.withColumn("q", F.least(F.lit(1.0), -F.col("_best"))).drop("_q", "_k", "_m", "_best")
 
 
 def classification_metrics(rows: DataFrame, actual: str, predicted: str, labels: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import global_rank
+from tidemark.operators.ordered import global_rank, quantiles
 from tidemark.operators.stats import hashed_uniform
 from tidemark.plans.cut import small
 
@@ -255,6 +255,6 @@ def momentum_signals(own: Column, bench: Column, beta: Column, distance: Column,
 
 def winsorised(rows: DataFrame, value: str, low: float, high: float) -> DataFrame:
     """Add ``<value>_w``, the value drawn in to its quantiles ``low`` and ``high``, a missing one replaced by the median, and ``<value>_missing``."""
-    q = rows.agg(F.percentile(value, F.array(F.lit(low), F.lit(high), F.lit(0.5))).alias("_q"))
+    q = quantiles(rows, [], value, [low, high, 0.5], "_q")
     v = F.greatest(F.least(F.coalesce(F.col(value), F.col("_q")[2]), F.col("_q")[1]), F.col("_q")[0])
     return rows.crossJoin(F.broadcast(q)).withColumns({f"{value}_w": v, f"{value}_missing": F.col(value).isNull().cast("int")}).drop("_q")  # one row

@@ -11,6 +11,7 @@ from tidemark.operators import release as N
 from tidemark.operators import serving as M
 from tidemark.operators import signals as K
 from tidemark.operators import stats as L
+from tidemark.operators.ordered import beside, quantiles
 from tidemark.plans.cut import read
 from tidemark.plans.models import RETURNS, epoch_us, news, returns
 
@@ -137,8 +138,11 @@ def j14_series_coverage(spark: SparkSession, d: str) -> DataFrame:
 def j15_grouped(spark: SparkSession, d: str) -> DataFrame:
     """Medians of the results over all, by source and by symbol, in one pass."""
     f = _frame(spark, d).where("ret IS NOT NULL")
-    g = f.groupingSets([[], [F.col("source")], [F.col("symbol")]], "source", "symbol").agg(F.count("*").alias("n"), F.round(F.median("ret"), 6).alias("median_ret"))
-    return g
+    none = F.lit(None).cast("string")
+    sets = [F.struct(F.lit(k).alias("_set"), s.alias("source"), y.alias("symbol")) for k, (s, y) in enumerate(((none, none), (F.col("source"), none), (none, F.col("symbol"))))]
+    x = f.select(F.explode(F.array(*sets)).alias("s"), "ret").select("s.*", "ret")
+    by = ["_set", "source", "symbol"]
+    return beside(x.groupBy(*by).agg(F.count("*").alias("n")), quantiles(x, by, "ret", [0.5]), by).select("source", "symbol", "n", F.round(F.col("q")[0], 6).alias("median_ret"))
 
 
 def j16_rank(spark: SparkSession, d: str) -> DataFrame:
