@@ -1,4 +1,5 @@
 import datetime as dt
+import zoneinfo
 
 import pytest
 
@@ -83,3 +84,15 @@ def test_zone_is_estimated_from_ingestion(spark):
         rows.append((k, "t", (t + dt.timedelta(hours=9)).strftime("%Y-%m-%d %H:%M:%S"), "a", 1.0, None, t + dt.timedelta(minutes=5 + k % 110), "x", 0))
     out = resolve_instants(spark.createDataFrame(rows, TIMES), spark.createDataFrame([], SITES)).collect()
     assert {r[0]: r[1] for r in out} == {k: int((start + dt.timedelta(hours=29 * k, minutes=k % 60)).timestamp()) * 1_000_000 for k in range(300)}
+
+
+def test_a_site_that_moves_has_two_zones(spark):
+    rows, want, start = [], {}, dt.datetime(2021, 1, 1, tzinfo=U)
+    for k in range(1500):  # wall times in Tokyo, from a new period on in New York, read within two hours
+        t = start + dt.timedelta(hours=6 * k, minutes=k % 60)
+        zone = zoneinfo.ZoneInfo("Asia/Tokyo" if t < dt.datetime(2021, 10, 28, tzinfo=U) else "America/New_York")
+        rows.append((k, "t", t.astimezone(zone).strftime("%Y-%m-%d %H:%M:%S"), "a", 1.0, None, t + dt.timedelta(minutes=1 + k % 110), "x", 0))
+        want[k] = int(t.timestamp()) * 1_000_000
+    got = {r[0]: r[1] for r in resolve_instants(spark.createDataFrame(rows, TIMES), spark.createDataFrame([], SITES)).collect()}
+    far = [k for k in want if got.get(k) != want[k]]
+    assert len(far) <= 0.01 * len(want)  # only about the border, where days of wall time and of UTC differ

@@ -2,7 +2,8 @@
 
 Method: a local time without a zone is aligned with the time the row was ingested. Every candidate zone gives each day an
 offset, so a zone is an offset history; the history with the fewest and smallest violations (times after ingestion, or long before it)
-is the site's. A declared zone is the prior and is only overturned by clear evidence.
+is the site's, over all its time and, where a period clearly differs, within the period. A declared zone is the prior and is only overturned
+by clear evidence.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ CANDIDATES = (
     "Asia/Tokyo", "Australia/Adelaide", "Australia/Sydney", "Pacific/Auckland", "Pacific/Honolulu",
 )
 
+#: Days of a period for which a site without a declared zone may have a zone of its own, and the hours a row by which it must be cheaper.
+PERIOD_DAYS, PERIOD_MARGIN_H = 91, 2.0
 #: Quarter hours beyond which lags are not told apart.
 FAR_QUARTERS = 200
 #: Hours a violation costs, and the most that a long wait for ingestion costs.
@@ -31,6 +34,11 @@ VIOLATION_H, WAIT_H = 24.0, 24.0
 MARGIN_H, MARGIN_ROWS = 1.0, 50
 
 
+def period_of(day: Column) -> Column:
+    """Number of the period that holds a day."""
+    return F.floor(F.unix_date(day) / PERIOD_DAYS).cast("int")
+
+
 def hours_east(zone: Column, day: Column) -> Column:
     """Hours that a zone is ahead of UTC at noon of a day."""
     noon = day.cast("timestamp_ntz") + F.expr("INTERVAL 12 HOURS")
@@ -43,12 +51,25 @@ def offset_history_cost(lag_quarters: Column, east: Column) -> Column:
     return F.when(lag < 0, F.lit(VIOLATION_H)).otherwise(F.least(lag, F.lit(WAIT_H)))
 
 
+def _cheapest(costs: DataFrame, keys: list[str], prior: str, margin: float = MARGIN_H) -> DataFrame:
+    """(keys, prior, found, cost, rows): the zone with the least cost of each key; the prior stands unless another costs ``margin`` less a row over
+    at least ``MARGIN_ROWS`` rows. Ties: UTC, then the earlier name.
+    """
+    per = costs.groupBy(*keys, prior, "zone").agg((F.sum("cost") / F.sum("n")).alias("cost"), F.sum("n").alias("rows"))
+    best = per.groupBy(*keys, prior).agg(
+        F.min(F.struct("cost", (F.col("zone") != "UTC").alias("far"), "zone")).alias("b"), F.max("rows").alias("rows"), F.min(F.when(F.col("zone") == F.col(prior), F.col("cost"))).alias("own"))
+    keep = F.col("own").isNotNull() & ((F.col("own") - F.col("b.cost") <= margin) | (F.col("rows") < MARGIN_ROWS))
+    return best.select(*keys, prior, F.when(keep, F.col(prior)).otherwise(F.col("b.zone")).alias("found"), F.when(keep, F.col("own")).otherwise(F.col("b.cost")).alias("cost"), "rows")
+
+
 def estimate_zones(walls: DataFrame, declared: DataFrame, candidates: tuple[str, ...] = CANDIDATES) -> DataFrame:
-    """One row per site: (site, zone, declared_zone, cost, rows).
+    """The offset history of each site: (site, period, zone, declared_zone, cost, rows); period NULL holds wherever no other row does.
 
     walls: (site, wall TIMESTAMP_NTZ, fetched TIMESTAMP_NTZ in UTC), declared: (site, home_zone). Rows are first counted by site, day and
-    quarter hours of lag, so what is tried against the candidates grows with sites and days, not with rows. Ties: the declared zone, then
-    UTC, then the earlier candidate by name. Sites without rows keep the declared zone; sites with neither get UTC.
+    quarter hours of lag, so what is tried against the candidates grows with sites and days, not with rows. The zone of a site over all its time
+    has the declared zone as its prior. A declared zone is that of all times; of a site without one, a period of ``PERIOD_DAYS`` days has the zone
+    over all time as its prior and a row of its own only where another zone is clearly cheaper, as when the site has moved. Ties: the prior, then UTC, then the earlier candidate by name. Sites
+    without rows keep the declared zone; sites with neither get UTC.
     """
     lag = F.floor((to_micros(F.col("fetched")) - to_micros(F.col("wall"))) / F.lit(900_000_000)).cast("int")
     # Beyond 50 hours a row costs the same in every zone, whatever its day, so it counts on the day it was ingested: days are days of ingestion.
@@ -64,12 +85,13 @@ def estimate_zones(walls: DataFrame, declared: DataFrame, candidates: tuple[str,
     history = counted.select("day").distinct().select("day", F.explode(F.array(*[F.lit(z) for z in zones])).alias("zone"))
     history = cut(history.select("day", "zone", hours_east(F.col("zone"), F.col("day")).alias("east")))
     tried = counted.join(small(history), "day").join(small(known), "site", "left")
-    costs = tried.groupBy("site", "declared_zone", "zone").agg((F.sum(offset_history_cost(F.col("lag"), F.col("east")) * F.col("n")) / F.sum("n")).alias("cost"), F.sum("n").alias("rows"))
-    best = costs.groupBy("site", "declared_zone").agg(
-        F.min(F.struct("cost", (F.col("zone") != "UTC").alias("far"), "zone")).alias("b"), F.max("rows").alias("rows"), F.min(F.when(F.col("zone") == F.col("declared_zone"), F.col("cost"))).alias("own"))
-    keep = F.col("own").isNotNull() & ((F.col("own") - F.col("b.cost") <= MARGIN_H) | (F.col("rows") < MARGIN_ROWS))
-    found = best.select("site", F.when(keep, F.col("declared_zone")).otherwise(F.col("b.zone")).alias("found"), F.when(keep, F.col("own")).otherwise(F.col("b.cost")).alias("cost"), "rows")
-    return known.join(found, "site", "full").select("site", F.coalesce("found", "declared_zone").alias("zone"), "declared_zone", "cost", "rows")
+    cost = F.sum(offset_history_cost(F.col("lag"), F.col("east")) * F.col("n"))
+    costs = cut(tried.groupBy("site", "declared_zone", period_of(F.col("day")).alias("period"), "zone").agg(cost.alias("cost"), F.sum("n").alias("n")))
+    always = known.join(_cheapest(costs, ["site"], "declared_zone").drop("declared_zone"), "site", "full")
+    always = cut(always.select("site", F.lit(None).cast("int").alias("period"), F.coalesce("found", "declared_zone").alias("zone"), "declared_zone", "cost", "rows"))
+    open_ = costs.where("declared_zone IS NULL").join(small(always.select("site", F.col("zone").alias("usual"))), "site")
+    within = _cheapest(open_, ["site", "period", "declared_zone"], "usual", PERIOD_MARGIN_H).where("found <> usual")
+    return always.unionByName(within.select("site", "period", F.col("found").alias("zone"), "declared_zone", "cost", "rows"))
 
 
 _READ = "time_id bigint, site string, fetched_us bigint, kind string, value bigint, offset int"
@@ -97,10 +119,13 @@ def resolve_instants(times: DataFrame, sites: DataFrame) -> DataFrame:
     t = times.select("time_id", "site", "raw", F.unix_micros(F.col("fetched_at").cast("timestamp")).alias("fetched_us")).where(F.col("raw").isNotNull())
     read = cut(t.join(small(dim), "site", "left").mapInPandas(_read, _READ))
     local = read.where((F.col("kind") == "wall") & F.col("offset").isNull())
-    zones = estimate_zones(local.select("site", from_micros(F.col("value")).alias("wall"), from_micros(F.col("fetched_us")).alias("fetched")), dim).select("site", "zone")
+    zones = cut(estimate_zones(local.select("site", from_micros(F.col("value")).alias("wall"), from_micros(F.col("fetched_us")).alias("fetched")), dim).select("site", "period", "zone"))
+    usual = small(zones.where("period IS NULL").select("site", "zone"))
+    moved = small(zones.where("period IS NOT NULL").select("site", F.col("period").alias("_period"), F.col("zone").alias("_zone")))
     # A column of its own, so that the two conversions of a wall time are made once.
-    placed = read.join(small(cut(zones)), "site", "left").withColumn("utc", F.when(
-        (F.col("kind") == "wall") & F.col("offset").isNull(), wall_to_utc(from_micros(F.col("value")), F.coalesce("zone", F.lit("UTC")))))
+    told = read.withColumn("_period", F.when(F.col("kind") == "wall", period_of(F.to_date(from_micros(F.col("value"))))))
+    placed = told.join(usual, "site", "left").join(moved, ["site", "_period"], "left").withColumn("utc", F.when(
+        (F.col("kind") == "wall") & F.col("offset").isNull(), wall_to_utc(from_micros(F.col("value")), F.coalesce("_zone", "zone", F.lit("UTC")))))
     wall = F.coalesce(to_micros(F.col("utc")), F.col("value") - F.col("offset").cast("bigint") * 60_000_000)
     micros = F.when(F.col("kind") == "unix", F.col("value")).when(F.col("kind") == "ago", F.col("fetched_us") - F.col("value") * 1_000_000).otherwise(wall)
     return (
