@@ -4,7 +4,7 @@ import pytest
 
 from tests.oracle import DATA, connect, same
 
-MODULES = ["reaction_queries", "candle_queries", "article_queries", "analysis_queries", "similarity_queries", "further_queries", "extra_queries", "verdict_queries", "source_queries", "corpus_queries"]
+MODULES = ["reaction_queries", "candle_queries", "article_queries", "analysis_queries", "similarity_queries", "further_queries", "extra_queries", "verdict_queries", "story_queries", "source_queries", "corpus_queries"]
 ALL = {n: (m.QUERIES[n], q) for m in (importlib.import_module(f"tidemark.plans.{x}") for x in MODULES) for n, q in m.SQL.items()}
 
 

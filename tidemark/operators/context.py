@@ -95,19 +95,35 @@ def as_of(left: DataFrame, right: DataFrame, key: list[str], t: str, values: lis
     return found.select(*names, *[F.when(ok, F.col(f"_hit.{v}")).alias(v) for v in values])
 
 
+def _blocks(df: DataFrame, key: list[str], order: str, rows: int, bucket: int) -> DataFrame:
+    """``df`` numbered by key (``_r``) and cut into blocks (``_at``) of so many rows, each with the last ``rows - 1`` rows of the block before (``_blk``)."""
+    size = max(rows, bucket)
+    numbered = global_rank(df, F.floor(F.col(order) / bucket), [F.asc(order)], "_r", by=key).withColumn("_blk", F.floor((F.col("_r") - 1) / size))
+    last = F.col("_r") > (F.col("_blk") + 1) * size - (rows - 1)
+    return numbered.withColumn("_at", F.explode(F.when(last, F.array(F.col("_blk"), F.col("_blk") + 1)).otherwise(F.array("_blk"))))
+
+
 def rolling_score(df: DataFrame, key: list[str], order: str, value: str, rows: int, least: int, bucket: int = 4096) -> DataFrame:
     """Add ``score``: how many sample deviations a value lies from the mean of the last ``rows`` rows, itself included; NULL below ``least`` rows.
 
     ``order`` is a number, distinct within a key. A key's rows are numbered by buckets of the order and cut into blocks of so many rows; the last
     rows of a block are carried into the next, so a hot key is many tasks.
     """
-    size = max(rows, bucket)
-    numbered = global_rank(df, F.floor(F.col(order) / bucket), [F.asc(order)], "_r", by=key).withColumn("_blk", F.floor((F.col("_r") - 1) / size))
-    last = F.col("_r") > (F.col("_blk") + 1) * size - (rows - 1)
-    both = numbered.withColumn("_at", F.explode(F.when(last, F.array(F.col("_blk"), F.col("_blk") + 1)).otherwise(F.array("_blk"))))
     w = Window.partitionBy(*key, "_at").orderBy("_r").rowsBetween(-(rows - 1), 0)
     n, m, s = F.count(value).over(w), F.avg(value).over(w), F.stddev_samp(value).over(w)
-    return both.withColumn("score", F.when(n >= least, F.try_divide(F.col(value) - m, s))).where("_at = _blk").drop("_r", "_blk", "_at")
+    return _blocks(df, key, order, rows, bucket).withColumn("score", F.when(n >= least, F.try_divide(F.col(value) - m, s))).where("_at = _blk").drop("_r", "_blk", "_at")
+
+
+def rolling_change(df: DataFrame, key: list[str], order: str, value: str, rows: int, back: int, bucket: int = 4096) -> DataFrame:
+    """Add ``rolling_mean``, of the last ``rows`` rows with the row itself (NULL before there are so many), and ``change``, the relative change
+    from the value ``back`` rows before; cut into blocks as in ``rolling_score``.
+    """
+    w = Window.partitionBy(*key, "_at").orderBy("_r")
+    over = w.rowsBetween(-(rows - 1), 0)
+    mean = F.when(F.col("_r") >= rows, F.avg(value).over(over))
+    old = F.lag(value, back).over(w)
+    both = _blocks(df, key, order, max(rows, back + 1), bucket).withColumns({"rolling_mean": mean, "change": F.try_divide(F.col(value) - old, old)})
+    return both.where("_at = _blk").drop("_r", "_blk", "_at")
 
 
 def next_event(events: DataFrame, key: str, t: str, horizon: int) -> DataFrame:

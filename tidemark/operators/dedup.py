@@ -228,3 +228,14 @@ def non_overlapping(rows: DataFrame, key: str, ident: str, t: str, hold: int) ->
 
     kinds = dict(sorted_rows.dtypes)
     return sorted_rows.mapInPandas(accept, f"k {kinds['k']}, i {kinds['i']}").toDF(key, ident)
+
+
+def mapping_conflicts(rows: DataFrame, member: list[str], target: Column) -> DataFrame:
+    """(member..., targets): members that map to more than one target; NULL targets are none."""
+    return rows.groupBy(*member).agg(F.count_distinct(target).alias("targets")).where("targets > 1")
+
+
+def stars(rows: DataFrame, ident: str, key: Column) -> DataFrame:
+    """(a, b): links from the smallest id of each key to its other ids; NULL and empty keys link nothing."""
+    keyed = rows.select(F.col(ident).alias("b"), key.alias("_k")).where("_k IS NOT NULL AND _k <> ''")
+    return keyed.join(keyed.groupBy("_k").agg(F.min("b").alias("a"), F.count("*").alias("_n")).where("_n > 1"), "_k").where("a <> b").select("a", "b").distinct()

@@ -88,3 +88,11 @@ def series_coverage(rows: DataFrame, key: str, t: str, step: int) -> DataFrame:
     """Rows, duplicates and share of missing steps of each series between its first and last time."""
     a = rows.groupBy(key).agg(F.count("*").alias("rows"), F.count_distinct(t).alias("times"), ((F.max(t) - F.min(t)) / step + 1).alias("expected"))
     return a.select(key, "rows", (F.col("rows") - F.col("times")).alias("duplicates"), ((1 - F.col("times") / F.floor("expected")) * 100).alias("missing_pct"))
+
+
+def class_shares(rows: DataFrame, split: str, label: str, rare: float = 0.05) -> DataFrame:
+    """(split, label, n, share, rare): how large each class is in each split, and whether it is rarer than ``rare``; NULL labels are none."""
+    per = rows.where(F.col(label).isNotNull()).groupBy(split, label).agg(F.count("*").alias("n"))
+    total = per.groupBy(F.col(split).alias("_s")).agg(F.sum("n").alias("_t"))
+    share = F.col("n") / F.col("_t")
+    return per.join(total, F.col(split).eqNullSafe(F.col("_s"))).select(split, label, "n", share.alias("share"), (share < rare).alias("rare"))

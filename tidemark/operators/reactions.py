@@ -205,3 +205,9 @@ def path_class(early: Column, late: Column, band: float) -> Column:
         F.when(early.isNull() | late.isNull(), None).when((a < band) & (b < band), "none").when(a < band, "delayed").when(early * late < 0, "reversed")
         .when(b >= a * 1.5, "grown").when(b <= a * 0.5, "faded").otherwise("kept")
     )
+
+
+def provider_conflicts(one: DataFrame, two: DataFrame, key: list[str], value: str, tolerance: float = 1e-9) -> DataFrame:
+    """(key, one, two): results that two providers both have and tell differently, by more than ``tolerance``."""
+    a, b = one.select(*key, F.col(value).alias("one")), two.select(*key, F.col(value).alias("two"))
+    return a.join(b, key).where(F.abs(F.col("one") - F.col("two")) > tolerance)
