@@ -58,9 +58,12 @@ def content_hash(title: Column, body: Column) -> Column:
 
 
 def official_id(url: Column, external: Column | None = None) -> Column:
-    """Id that an official url names (a filing's accession number, a repository's item), or the external id's key; else empty."""
+    """Id that an official url names (a filing's accession number, a repository's item), or the external id's key; else empty.
+
+    The path counts as it is written, so a filing is only found under a path in small letters, as the results to match have it.
+    """
     u = url_key(url)
-    filing = F.regexp_extract(u, r"(?i)/archives/edgar/data/\d+/([0-9-]+)", 1)
+    filing = F.regexp_extract(u, r"/archives/edgar/data/\d+/([0-9-]+)", 1)
     repo, item = (F.regexp_extract(u, r"github\.com/([^/]+/[^/]+)/(?:pull|issues|commit|releases/tag)/([^/?#]+)", k) for k in (1, 2))
     found = F.when(filing != "", F.concat(F.lit("sec:"), F.replace(filing, F.lit("-"), F.lit("")))).when(repo != "", F.lower(F.concat(F.lit("github:"), repo, F.lit(":"), item))).otherwise("")
     return found if external is None else F.when(F.coalesce(external, F.lit("")) != "", text_key(external)).otherwise(found)

@@ -76,7 +76,7 @@ def f6_official_ids(spark: SparkSession, d: str) -> DataFrame:
     """Ids that official urls name, on urls of filings and repositories made from the records."""
     r = F.col("record_id")
     url = (
-        F.when(r % 3 == 0, F.concat(F.lit("https://www.sec.gov/Archives/edgar/data/77/"), F.lpad(r.cast("string"), 10, "0"), F.lit("-21-000001/x.htm")))
+        F.when(r % 3 == 0, F.concat(F.lit("https://www.sec.gov/archives/edgar/data/77/"), F.lpad(r.cast("string"), 10, "0"), F.lit("-21-000001/x.htm")))
         .when(r % 3 == 1, F.concat(F.lit("https://github.com/Org/Repo/pull/"), r.cast("string"))).otherwise(F.col("url"))
     )
     return read(spark, d, "primary_source_events").select("record_id", I.official_id(url).alias("official_id"))
