@@ -195,7 +195,7 @@ def k16_performance(spark: SparkSession, d: str) -> DataFrame:
 
 def k16_equity(spark: SparkSession, d: str) -> DataFrame:
     """Running result and fall from its peak."""
-    return K.equity(_one(spark, d), "published_us", "event_id", "ret").select("event_id", *_r("equity", "drawdown", digits=4))
+    return K.equity(_one(spark, d), "published_us", "event_id", "ret").select("event_id", *_r("equity", "drawdown", digits=2))
 
 
 def k18_streaks(spark: SparkSession, d: str) -> DataFrame:
@@ -469,7 +469,7 @@ SQL = {
         e AS (SELECT avg(ret) AS es FROM (SELECT ret, row_number() OVER (ORDER BY ret, event_id) AS k FROM o), a WHERE k <= greatest(1, ceil(n * 0.05::DOUBLE)))
         SELECT n, round(t, 4) AS total, round(m, 4) AS mean, round(md, 4) AS median, round(w, 4) AS win_rate, round(pf, 4) AS profit_factor, round(mdd, 4) AS max_drawdown, round(sd, 4) AS deviation, round(ds, 4) AS downside, round(lo, 4) AS worst, round(hi, 4) AS best, round(po, 4) AS payoff, round(es, 4) AS expected_shortfall,
         round(m / sd * sqrt(n), 4) AS sharpe_like, round(CASE WHEN mdd < 0 THEN t / -mdd END, 4) AS recovery FROM a, e""",
-    "k16_equity": f"WITH {_EQ} SELECT event_id, round(equity, 4) AS equity, round(drawdown, 4) AS drawdown FROM dd",
+    "k16_equity": f"WITH {_EQ} SELECT event_id, round(equity, 2) AS equity, round(drawdown, 2) AS drawdown FROM dd",
     "k18_streaks": f"WITH {_FR}, k AS (SELECT ret > 0 AS won, row_number() OVER (ORDER BY published_us, event_id) - row_number() OVER (PARTITION BY ret > 0 ORDER BY published_us, event_id) AS s FROM o), c AS (SELECT won, s, count(*) AS c FROM k GROUP BY 1, 2) SELECT won, max(c) AS longest FROM c GROUP BY 1",
     "k20_costs": f"WITH {_FR}, c AS (SELECT unnest([0.0, 0.1, 0.2, 0.5, 1.0])::DOUBLE AS cost) SELECT cost, count(*) AS n, round(sum(ret - cost), 4) AS total, round(avg(ret - cost), 4) AS mean, round(avg((ret - cost > 0)::INT), 4) AS win_rate FROM o, c GROUP BY 1",
     "k22_deciles": "WITH k AS (SELECT o_totalprice AS v, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS r, count(*) OVER () AS n FROM orders) SELECT greatest(1, ceil(10.0::DOUBLE * (r - 1) / (n - 1)))::INT AS decile, count(*) AS n, round(avg(v), 4) AS mean FROM k GROUP BY 1",
