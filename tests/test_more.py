@@ -105,5 +105,24 @@ def test_late_prices_do_not_change_what_was_known(spark):
 def test_ledger(spark):
     stored = spark.createDataFrame([("u0", "h0")], "u string, h string")
     batch = spark.createDataFrame([(1, "u0", "x"), (2, "u1", "h0"), (3, "u2", "y"), (4, "u2", "z"), (5, None, "y"), (6, "", "")], "i bigint, u string, h string")
-    got = {r.i: r.status for r in G.ledger(batch, stored, ["u", "h"], [F.asc("i")]).collect()}
+    got = {r.i: r.status for r in G.ledger(batch, stored, ["u", "h"], ["i"]).collect()}
     assert got == {1: "stored:u", 2: "stored:h", 3: "new", 4: "batch:u", 5: "batch:h", 6: "new"}
+
+
+def test_ledger_is_that_of_one_row_after_another(spark):
+    rng = random.Random(7)
+    stored = [(f"u{rng.randrange(40)}", f"h{rng.randrange(40)}") for _ in range(10)]
+    pick = lambda c, n: rng.choice([f"{c}{rng.randrange(n)}", f"{c}{rng.randrange(n)}", None, "", f"{c}hot" if rng.random() < 0.3 else f"{c}{rng.randrange(n)}"])
+    batch = [(i, pick("u", 120), pick("h", 120)) for i in range(200)]
+    want, seen = {}, [set(), set()]
+    for i, *v in batch:
+        status = next((f"stored:{n}" for n, x, s in zip("uh", v, zip(*stored, strict=True), strict=True) if x and x in s), None)
+        status = status or next((f"batch:{n}" for n, x, s in zip("uh", v, seen, strict=True) if x and x in s), "new")
+        if status == "new":
+            for x, s in zip(v, seen, strict=True):
+                s.add(x)
+        want[i] = status
+    b, s = spark.createDataFrame(batch, "i bigint, u string, h string"), spark.createDataFrame(stored, "u string, h string")
+    assert {r.i: r.status for r in G.ledger(b, s, ["u", "h"], ["i"]).collect()} == want
+    twice = {(r.i, r.status) for r in G.ledger(b.limit(1).union(b.limit(1)), s.limit(0), ["u", "h"], ["i"]).collect()}
+    assert G.ledger(b.limit(0), s, ["u", "h"], ["i"]).collect() == [] and len(twice) <= 2

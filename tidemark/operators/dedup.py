@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -137,26 +137,37 @@ def alike_titles(rows: DataFrame, ident: str, tokens: str, least: float) -> Data
     return v.select("a", "b", (F.col("c") / (F.size("wa") + F.size("wb") - F.col("c"))).alias("j")).where(F.col("j") >= least)
 
 
-def ledger(batch: DataFrame, stored: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """Add ``status``: 'stored:<key>' for the first key that is stored, else 'batch:<key>' for the first key whose value an earlier row of the
-    batch has, else 'new'. NULL and empty values match nothing.
+def ledger(batch: DataFrame, stored: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Add ``status``: 'stored:<key>' for the first key that is stored, else 'batch:<key>' for the first key whose value an earlier new row of the
+    batch has, else 'new'. NULL and empty values match nothing; rows that are turned away turn nothing away themselves.
 
-    Each key is one join with the distinct stored values and one window over its own values, so nothing is held per batch. A row counts as
-    earlier whether or not it was itself turned away.
+    ``order`` names columns, ascending; ties are settled by the rows' content. Which rows are new is found in rounds over all rows at once: a
+    row that is the earliest undecided one with each of its values is new, the others with any of its values are turned away. Rounds grow with
+    the longest chain of rows that hang on one another by different keys, usually a few.
     """
-    status = F.lit("new")
-    out = batch
-    for k in keys:
-        have = stored.select(F.col(k)).where(F.col(k).isNotNull() & (F.col(k) != "")).distinct().withColumn(f"_s_{k}", F.lit(True))
-        out = out.join(have, k, "left")
-        # Rows without the key are spread by their content, so that they don't meet in one task.
-        spread = F.when(F.col(k).isNull() | (F.col(k) == ""), F.xxhash64(*batch.columns))
-        out = out.withColumn(f"_r_{k}", F.row_number().over(Window.partitionBy(k, spread).orderBy(*order)))
-    for k in reversed(keys):
-        status = F.when((F.col(f"_r_{k}") > 1) & F.col(k).isNotNull() & (F.col(k) != ""), f"batch:{k}").otherwise(status)
+    settled = partial(cut, estimates=False)
+    out = batch.withColumn("_id", F.monotonically_increasing_id())
+    status = F.lit(None).cast("string")
     for k in reversed(keys):
         status = F.when(F.col(f"_s_{k}"), f"stored:{k}").otherwise(status)
-    return out.withColumn("status", status).select(*batch.columns, "status")
+    for k in keys:
+        out = out.join(stored.select(F.col(k)).where(F.col(k).isNotNull() & (F.col(k) != "")).distinct().withColumn(f"_s_{k}", F.lit(True)), k, "left")
+    rows = cut(out.select(*batch.columns, "_id", F.struct(*order, F.xxhash64(*batch.columns).alias("_h"), F.col("_id").alias("_i")).alias("_o"), status.alias("_status")))
+    values = F.filter(F.array(*[F.struct(F.lit(j).alias("k"), F.col(k).cast("string").alias("v")) for j, k in enumerate(keys)]), lambda x: x["v"].isNotNull() & (x["v"] != ""))
+    every = settled(rows.where("_status IS NULL").select("_id", "_o", F.explode(values).alias("x")).select("_id", "_o", "x.k", "x.v"))
+    open_, new = every, None
+    while open_.limit(1).count():
+        first = open_.groupBy("k", "v").agg(F.min("_o").alias("_m"))
+        taken = open_.join(first, ["k", "v"]).groupBy("_id").agg(F.bool_and(F.col("_o") == F.col("_m")).alias("ok")).where("ok").select("_id")
+        held = settled(open_.join(taken, "_id", "left_semi").select("k", "v", F.col("_o").alias("_by")))
+        # A value is held by one new row, so this names every row that is decided now, new ones included.
+        decided = open_.join(held.select("k", "v"), ["k", "v"], "left_semi").select("_id").distinct()
+        open_, new = settled(open_.join(decided, "_id", "left_anti")), held if new is None else new.unionByName(held)
+    if new is None:
+        return rows.select(*batch.columns, F.coalesce("_status", F.lit("new")).alias("status"))
+    away = every.join(new, ["k", "v"]).where(F.col("_by") < F.col("_o")).groupBy("_id").agg(F.min("k").alias("_k"))
+    named = F.element_at(F.array(*[F.lit(f"batch:{k}") for k in keys]), F.col("_k") + 1)
+    return rows.join(away, "_id", "left").select(*batch.columns, F.coalesce("_status", F.when(F.col("_k").isNotNull(), named), F.lit("new")).alias("status"))
 
 
 def greedy_groups(rows: DataFrame, key: str, ident: str, t: str, tokens: str, within: int, least: float) -> DataFrame:

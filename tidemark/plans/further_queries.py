@@ -56,7 +56,7 @@ def d21_path_class(spark: SparkSession, d: str) -> DataFrame:
 def g7_ledger(spark: SparkSession, d: str) -> DataFrame:
     """Status of the later half of the articles against the earlier half and themselves."""
     a = read(spark, d, "primary_source_events").select("record_id", "url", "canonical_url", "content_hash")
-    return G.ledger(a.where("record_id % 2 = 1"), a.where("record_id % 2 = 0"), ["url", "canonical_url", "content_hash"], [F.asc("record_id")]).groupBy("status").agg(F.count("*").alias("n"))
+    return G.ledger(a.where("record_id % 2 = 1"), a.where("record_id % 2 = 0"), ["url", "canonical_url", "content_hash"], ["record_id"]).groupBy("status").agg(F.count("*").alias("n"))
 
 
 def g17_greedy_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -228,8 +228,12 @@ SQL = {
         LEFT JOIN bars e ON e.symbol = ea.symbol AND e.bar = base + latency + horizon) SELECT symbol, latency, horizon, count(ret) AS n, round(avg(ret), 6) AS mean_ret FROM r GROUP BY 1, 2, 3""",
     "d21_path_class": f"""WITH {RETURNS}, w AS (SELECT event_id, symbol, max(ret) FILTER (horizon = 1) AS a, max(ret) FILTER (horizon = 24) AS b FROM hr GROUP BY 1, 2) SELECT symbol, CASE WHEN a IS NULL OR b IS NULL THEN NULL WHEN abs(a) < 20 AND abs(b) < 20 THEN 'none' WHEN abs(a) < 20 THEN 'delayed' WHEN a * b < 0 THEN 'reversed'
         WHEN abs(b) >= abs(a) * 1.5 THEN 'grown' WHEN abs(b) <= abs(a) * 0.5 THEN 'faded' ELSE 'kept' END AS path, count(*) AS n FROM w GROUP BY 1, 2""",
-    "g7_ledger": """WITH s AS (SELECT * FROM primary_source_events WHERE record_id % 2 = 0), b AS (SELECT url, canonical_url, content_hash, row_number() OVER (PARTITION BY url ORDER BY record_id) AS r1, row_number() OVER (PARTITION BY canonical_url ORDER BY record_id) AS r2, row_number() OVER (PARTITION BY content_hash ORDER BY record_id) AS r3 FROM primary_source_events WHERE record_id % 2 = 1)
-        SELECT CASE WHEN url IN (SELECT url FROM s) THEN 'stored:url' WHEN canonical_url IN (SELECT canonical_url FROM s WHERE canonical_url IS NOT NULL) THEN 'stored:canonical_url' WHEN content_hash IN (SELECT content_hash FROM s) THEN 'stored:content_hash' WHEN r1 > 1 THEN 'batch:url' WHEN r2 > 1 AND canonical_url IS NOT NULL THEN 'batch:canonical_url' WHEN r3 > 1 THEN 'batch:content_hash' ELSE 'new' END AS status, count(*) AS n FROM b GROUP BY 1""",
+    "g7_ledger": """WITH RECURSIVE s AS (SELECT * FROM primary_source_events WHERE record_id % 2 = 0), x AS (SELECT row_number() OVER (ORDER BY record_id) AS i, url AS u, canonical_url AS c, content_hash AS h,
+        CASE WHEN url IN (SELECT url FROM s) THEN 'stored:url' WHEN canonical_url IN (SELECT canonical_url FROM s WHERE canonical_url IS NOT NULL) THEN 'stored:canonical_url' WHEN content_hash IN (SELECT content_hash FROM s) THEN 'stored:content_hash' END AS st FROM primary_source_events WHERE record_id % 2 = 1),
+        r(i, us, cs, hs, status) AS (SELECT 0::BIGINT, []::VARCHAR[], []::VARCHAR[], []::VARCHAR[], NULL::VARCHAR
+        UNION ALL SELECT i, CASE WHEN z = 'new' AND u <> '' THEN list_append(us, u) ELSE us END, CASE WHEN z = 'new' AND c <> '' THEN list_append(cs, c) ELSE cs END, CASE WHEN z = 'new' AND h <> '' THEN list_append(hs, h) ELSE hs END, z
+        FROM (SELECT x.i, u, c, h, us, cs, hs, coalesce(st, CASE WHEN list_contains(us, u) THEN 'batch:url' WHEN list_contains(cs, c) THEN 'batch:canonical_url' WHEN list_contains(hs, h) THEN 'batch:content_hash' END, 'new') AS z FROM r JOIN x ON x.i = r.i + 1))
+        SELECT status, count(*) AS n FROM r WHERE i > 0 GROUP BY 1""",
     "h8_registry": "SELECT source_type, source_class, count(*) AS n FROM primary_source_events a LEFT JOIN (SELECT site, source_class FROM source_sites) s ON a.source = s.site GROUP BY 1, 2",
     "h12_title_assets": f"SELECT {_ETHW('title', ['bitcoin', 'btc'])} AS named, {_LIST.format('BTC')} AS listed, count(*) AS n FROM primary_source_events GROUP BY 1, 2",
     "h23_topic_scores": f"""WITH x AS (SELECT source_type, {_ETHW('title', ['ether', 'eth'])} AS m, {_LIST.format('ETH')} AS h FROM primary_source_events), a AS (SELECT source_type, count(*) FILTER (h AND m) AS tp, count(*) FILTER (NOT h AND m) AS fp, count(*) FILTER (h AND NOT m) AS fn FROM x GROUP BY 1)
