@@ -126,3 +126,19 @@ def test_ledger_is_that_of_one_row_after_another(spark):
     assert {r.i: r.status for r in G.ledger(b, s, ["u", "h"], ["i"]).collect()} == want
     twice = {(r.i, r.status) for r in G.ledger(b.limit(1).union(b.limit(1)), s.limit(0), ["u", "h"], ["i"]).collect()}
     assert G.ledger(b.limit(0), s, ["u", "h"], ["i"]).collect() == [] and len(twice) <= 2
+
+
+@pytest.mark.parametrize(("hold", "holds"), [(7, 1), (7, 3), (7, 1000), (1, 5), (400, 2)])
+def test_non_overlapping_is_the_same_however_it_is_cut(spark, hold, holds):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "a", "b", None]), i, rng.choice([rng.randrange(-200, 900), 10, None])) for i in range(300)]
+    want = set()
+    for key in "ab":
+        free = None
+        for t, i in sorted((t, i) for k, i, t in rows if k == key and t is not None):
+            if free is None or t >= free:
+                want.add((key, i))
+                free = t + hold
+    df = spark.createDataFrame(rows, "k string, i bigint, t bigint")
+    assert {tuple(r) for r in G.non_overlapping(df, "k", "i", "t", hold, holds).collect()} == want
+    assert G.non_overlapping(df.limit(0), "k", "i", "t", hold, holds).collect() == []

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import partial, reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -216,29 +217,86 @@ def varying(rows: DataFrame, group: str, columns: list[str]) -> DataFrame:
     return wide.unpivot([group], columns, "column", "values").where("values > 1")
 
 
-def non_overlapping(rows: DataFrame, key: str, ident: str, t: str, hold: int) -> DataFrame:
+def _exits(t: np.ndarray, hold: int) -> np.ndarray:
+    """For each of some sorted times, when the next one may come after the last that is accepted if this one is."""
+    after = np.searchsorted(t, t + hold)
+    out = t + hold
+    for i in range(len(t) - 1, -1, -1):
+        if after[i] < len(t):
+            out[i] = out[after[i]]
+    return out
+
+
+def non_overlapping(rows: DataFrame, key: str, ident: str, t: str, hold: int, holds: int = 1000) -> DataFrame:
     """(key, id) accepted greedily in time: the next row of a key counts from ``hold`` after the last accepted one.
 
-    The rule depends on order, so a key's rows go through one task, which streams them and holds only the time of the last accepted row; a hot
-    key is long but never held. Ties by the id.
+    Times are whole numbers; ties by the id; NULLs are left out. A key's time is cut into blocks of ``holds`` holds. A block is entered at one of
+    its rows within the first hold or the first row after it, and for each of these it is worked out where the block is left; only those,
+    about a thousandth of the rows, are followed key by key from block to block. Then each block accepts its rows by itself.
     """
-    sorted_rows = rows.select(F.col(key).alias("k"), F.col(ident).alias("i"), F.col(t).alias("t")).dropna().repartition("k").sortWithinPartitions("k", "t", "i")
-
-    def accept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key_, free = None, None
+    hold = max(hold, 1)
+    block = F.floor(F.col("t") / (hold * holds)).cast("bigint")
+    r = rows.select(F.col(key).alias("k"), F.col(ident).alias("i"), F.col(t).alias("t")).dropna().withColumn("blk", block)
+    r = cut(r.repartition("k", "blk").sortWithinPartitions("k", "blk", "t", "i"))
+    kinds = dict(r.dtypes)
+
+    def doors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for k, blk, b in _runs(batches, ["k", "blk"]):
+            times = np.unique(b["t"].to_numpy())
+            first = np.searchsorted(times, blk * hold * holds + hold) + 1  # rows within the first hold, and the first after it
+            yield pd.DataFrame({"k": k, "blk": blk, "t": times[:first], "leave": _exits(times, hold)[:first]})
+
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, at, free, entered = None, None, None, False
         for b in batches:
-            keep = []
-            for k, x in zip(b["k"], b["t"], strict=True):
-                if k != key_:
-                    key_, free = k, None
-                ok = free is None or x >= free
-                if ok:
-                    free = x + hold
-                keep.append(ok)
-            yield b.loc[keep, ["k", "i"]]
+            out = []
+            for k, blk, x, leave in zip(b["k"], b["blk"], b["t"], b["leave"], strict=True):
+                if k != now:
+                    now, at, free, entered = k, None, None, False
+                if blk != at:
+                    at, entered = blk, False
+                if not entered and (free is None or x >= free):
+                    out.append((k, blk, x))
+                    free, entered = leave, True
+            yield pd.DataFrame(out, columns=["k", "blk", "t"])
+
+    entry = r.mapInPandas(doors, f"k {kinds['k']}, blk bigint, t bigint, leave bigint")
+    entry = entry.repartition("k").sortWithinPartitions("k", "blk", "t").mapInPandas(follow, f"k {kinds['k']}, blk bigint, t bigint")
+    # The row at which a block is entered comes with its rows, marked, so a block that is never entered accepts none.
+    both = r.withColumn("door", F.lit(1)).unionByName(entry.select("k", F.lit(None).cast(kinds["i"]).alias("i"), F.col("t").cast(kinds["t"]), "blk", F.lit(0).alias("door")))
 
-    kinds = dict(sorted_rows.dtypes)
-    return sorted_rows.mapInPandas(accept, f"k {kinds['k']}, i {kinds['i']}").toDF(key, ident)
+    def accept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, _, b in _runs(batches, ["k", "blk"]):
+            door = b["door"].to_numpy() == 0
+            if not door.any():
+                continue
+            free, b = b["t"].to_numpy()[door][0], b[~door]
+            times, keep, at = b["t"].to_numpy(), [], 0
+            while (at := int(np.searchsorted(times, free))) < len(times):
+                keep.append(at)
+                free = times[at] + hold
+            yield b.iloc[keep][["k", "i"]]
+
+    done = both.repartition("k", "blk").sortWithinPartitions("k", "blk", "door", "t", "i").mapInPandas(accept, f"k {kinds['k']}, i {kinds['i']}")
+    return done.toDF(key, ident)
+
+
+def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple]:
+    """(key values..., rows) of each run of equal keys; rows come sorted by the keys, and a run may go over several batches."""
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        if not len(b):
+            continue
+        new = np.append(True, np.logical_or.reduce([b[c].to_numpy()[1:] != b[c].to_numpy()[:-1] for c in keys]))
+        bounds = np.append(np.flatnonzero(new), len(b))
+        for s, e in zip(bounds[:-1], bounds[1:], strict=True):
+            part = b.iloc[s:e]
+            if held and any(held[0][c].iloc[0] != part[c].iloc[0] for c in keys):
+                yield *(held[0][c].iloc[0] for c in keys), pd.concat(held)
+                held = []
+            held.append(part)
+    if held:
+        yield *(held[0][c].iloc[0] for c in keys), pd.concat(held)
 
 
 def mapping_conflicts(rows: DataFrame, member: list[str], target: Column) -> DataFrame:
