@@ -14,19 +14,19 @@ from tidemark.operators import stats as L
 from tidemark.operators import verdicts as V
 
 
-@pytest.mark.parametrize("buckets", [2, 256])
-def test_quantiles(spark, buckets):
+@pytest.mark.parametrize(("buckets", "direct"), [(2, 0), (256, 0), (256, 10**6)])
+def test_quantiles(spark, buckets, direct):
     rng = random.Random(1)
     rows = [(rng.choice(["a", "b", None]), rng.choice([1.0, 1.0, 2.0, None, rng.random() * 100]), "q") for _ in range(400)] + [("lone", 7.0, "q"), ("none", None, "q")]
     df = spark.createDataFrame(rows, "g string, v double, q string")
-    got = {r.g: r.q for r in O.quantiles(df, ["g"], "v", [0.0, 0.05, 0.5, 0.9, 1.0], buckets=buckets).collect()}
+    got = {r.g: r.q for r in O.quantiles(df, ["g"], "v", [0.0, 0.05, 0.5, 0.9, 1.0], buckets=buckets, direct=direct).collect()}
     assert got.keys() == {"a", "b", None, "lone"}
     for g, q in got.items():
         want = np.quantile([v for k, v, _ in rows if k == g and v is not None], [0.0, 0.05, 0.5, 0.9, 1.0])
         assert np.allclose(q, want)
-    whole = O.quantiles(df, [], "v", [0.5]).collect()
+    whole = O.quantiles(df, [], "v", [0.5], direct=direct).collect()
     assert np.isclose(whole[0].q[0], np.median([v for _, v, _ in rows if v is not None]))
-    assert O.quantiles(df.limit(0), ["g"], "v", [0.5]).collect() == []
+    assert O.quantiles(df.limit(0), ["g"], "v", [0.5], direct=direct).collect() == O.quantiles(df.limit(0), [], "v", [0.5], direct=direct).collect() == []
 
 
 def test_rolling_score_is_the_same_however_it_is_cut(spark):
