@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tidemark.plans.cut import cut, small
 
 #: Labelled pages on which the trees are trained at most, taken in the order of the hash of their id. A documented bound on the classifier's sample only.
-SAMPLE = 10_000
+SAMPLE = 20_000
 TREES, DEPTH, BINS, LEAF = 15, 6, 64, 20
 #: Share of a page from which evidence or sentences label it; words of a sentence and lines of one build, at least.
 MUCH, SENTENCE, ALIKE = 0.6, 9, 4
