@@ -67,6 +67,15 @@ def test_what_a_template_needs_does_not_grow_with_the_site(spark, monkeypatch):
     assert {tuple(r) for r in wrappers.boilerplate(records(spark, rows)).collect()} == {(i, 5) for i in range(0, 1000, 17)}
 
 
+def test_a_rare_line_is_aligned_among_its_own_pages(spark):
+    """A line in ten of three thousand pages is hardly met by partners taken at random; its pages are compared with each other. Copies of one text are no evidence."""
+    unlike = lambda i: "\n".join(f"Nothing{i}x{k} like{i}x{k} this{i}x{k} was{i}x{k} seen{i}x{k} before{i}x{k}." for k in range(4))
+    spell = str.maketrans("0123456789", "abcdefghij")
+    rows = [(i, "own", None, None, unlike(i).translate(spell) + ("\nA notice that only very few pages of this site have. It is long." if i % 300 == 7 else "")) for i in range(3000)]
+    rows += [(5000 + k, "own", None, None, unlike(5000).translate(spell)) for k in range(12)]
+    assert {tuple(r) for r in wrappers.boilerplate(records(spark, rows)).collect()} == {(i, 5) for i in range(7, 3000, 300)}
+
+
 def test_paths_and_bylines_need_other_pages(spark):
     """A line with the page's own title or author is template only if other pages of the site have it, with their titles and authors, in the same frame."""
     rng = random.Random(21)
