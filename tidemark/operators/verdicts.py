@@ -258,3 +258,57 @@ def winsorised(rows: DataFrame, value: str, low: float, high: float) -> DataFram
     q = quantiles(rows, [], value, [low, high, 0.5], "_q")
     v = F.greatest(F.least(F.coalesce(F.col(value), F.col("_q")[2]), F.col("_q")[1]), F.col("_q")[0])
     return rows.crossJoin(F.broadcast(q)).withColumns({f"{value}_w": v, f"{value}_missing": F.col(value).isNull().cast("int")}).drop("_q")  # one row
+
+
+def seven_reasons(least: int = 30) -> Column:
+    """The first of seven reasons to turn a rule away, from its complexity, n, win_rate, mean_net, profit_factor (NULL without losses), source_count
+    and month_count; NULL if it is kept. Fixed values: limits and names.
+    """
+    return (
+        F.when(F.col("complexity") > 4, "complexity_gt_4").when(F.col("n") < least, "low_sample").when(F.col("win_rate") < 0.55, "win_rate_below_55pct").when(F.col("mean_net") <= 0, "nonpositive_net_expectancy")
+        .when(F.coalesce("profit_factor", F.lit(float("inf"))) <= 1, "profit_factor_le_1").when(F.col("source_count") < 2, "single_source").when(F.col("month_count") < 2, "single_month")
+    )
+
+
+def futures_flags(funding: Column, ratio: Column, price_step: Column, interest_step: Column) -> dict[str, Column]:
+    """Flags 0 or 1 of extreme funding, crowded sides, and squeezes; what is unknown sets no flag. The limits."""
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    high, low = funding > 0.0005, funding < -0.0005
+    up, more = F.coalesce(price_step > 0, F.lit(False)), F.coalesce(interest_step > 0, F.lit(False))
+    long, short = high & (ratio > 1.2), low & (ratio < 0.8)
+    return {
+        "funding_high": flag(high), "funding_low": flag(low), "crowded_long": flag(long), "crowded_short": flag(short), "short_squeeze": flag(short & up & more), "long_squeeze": flag(long & ~up & more),
+    }
+
+
+def risk_sizes(rows: DataFrame, risk: str, train: Column) -> dict[str, Column]:
+    """Position sizes by a predicted risk, with the bounds fitted on training rows (10th, 50th and 90th percentile, three numbers): fixed, inverse,
+    inverse with the risk capped, and without or with half of the riskiest decile. A NULL risk has the fixed size only, else 0.
+    """
+    found = quantiles(rows.where(train), [], risk, [0.1, 0.5, 0.9]).first()
+    floor, middle, cap = found["q"] if found else (0.0, 0.0, 0.0)
+    r, v = F.greatest(F.col(risk), F.lit(max(floor, 1e-6))), F.col(risk)
+    zero = lambda c: F.when(v.isNotNull(), c).otherwise(0.0)
+    return {
+        "fixed": F.lit(1.0), "inverse": zero(F.least(F.lit(1.0), F.greatest(F.lit(0.25), middle / r))), "capped": zero(F.least(F.lit(1.0), F.greatest(F.lit(0.5), middle / F.least(r, F.lit(cap))))),
+        "skip": zero(F.when(v < cap, 1.0).otherwise(0.0)), "reduce": zero(F.when(v < cap, 1.0).otherwise(0.5)),
+    }
+
+
+def guess_baselines(rows: DataFrame, groups: list[str], actual: str, trend: str, signal: str, ident: str) -> DataFrame:
+    """(groups, n, always_up, always_down, trend, opposite, random): how often simple guesses have the sign of a result that isn't 0: the sign of a
+    trend, the opposite of a signal, and a coin that follows from the id. NULL guesses are wrong."""
+    a = F.signum(actual)
+    hit = lambda c: F.avg(F.coalesce(c == a, F.lit(False)).cast("double"))
+    coin = F.when(hashed_uniform(F.lit("coin"), F.col(ident)) < 0.5, -1.0).otherwise(1.0)
+    return rows.where(F.col(actual).isNotNull() & (F.col(actual) != 0)).groupBy(*groups).agg(
+        F.count("*").alias("n"), hit(F.lit(1.0)).alias("always_up"), hit(F.lit(-1.0)).alias("always_down"), hit(F.signum(trend)).alias("trend"), hit(-F.signum(signal)).alias("opposite"), hit(coin).alias("random"))
+
+
+def bounded_excursions(path: DataFrame, bars: int) -> DataFrame:
+    """(event_id, symbol, bounds, mfe, mae): best and worst excursion within ``bars`` bars by whether the ends belong to the window: '[)', '[]' and
+    '(]', the base being the left one. A window without bars gives no row."""
+    o = F.col("offset")
+    inside = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in (("[)", (o >= 0) & (o < bars)), ("[]", (o >= 0) & (o <= bars)), ("(]", (o > 0) & (o <= bars)))]))
+    p = path.where(F.col("high_ret").isNotNull() & F.col("low_ret").isNotNull())
+    return p.withColumn("bounds", F.explode(inside)).groupBy("event_id", "symbol", "bounds").agg(F.max("high_ret").alias("mfe"), F.min("low_ret").alias("mae"))

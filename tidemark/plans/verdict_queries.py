@@ -326,10 +326,50 @@ def f3_url_free_keys(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "primary_source_events").groupBy(F.length(key).alias("length")).agg(F.count("*").alias("n"), F.count_distinct(key).alias("keys"))
 
 
+def d10_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Mean excursions within a day by which ends of the window belong to it."""
+    x = R.per_base(event_assets(spark, d), lambda e: V.bounded_excursions(R.price_path(e, bars(spark, d), 24), 24))
+    return x.groupBy("symbol", "bounds").agg(F.count("*").alias("n"), F.round(F.avg("mfe"), 4).alias("mfe"), F.round(F.avg("mae"), 4).alias("mae"))
+
+
+def e15_futures_flags(spark: SparkSession, d: str) -> DataFrame:
+    """Flags of crowding and squeezes, on figures made from the bars."""
+    f = V.futures_flags((F.col("close") - F.col("open")) / 10_000, F.try_divide(F.col("high"), F.col("open")), F.col("close") - F.col("open"), F.col("volume") - 10)
+    return bars(spark, d).groupBy("symbol").agg(*[F.sum(c).alias(n) for n, c in f.items()])
+
+
+def k4_seven_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Why rules are turned away, of seven reasons."""
+    x = _one(spark, d).withColumn("x", (F.col("actor") % 10).cast("double"))
+    rules = {"a": (F.col("x") >= 2, 1), "b": (F.col("x") >= 5, 1), "c": (F.col("x") > 100, 1), "d": (F.col("ret") > 0, 1), "e": ((F.col("ret") > 0) & (F.col("source") == "signup"), 2), "f": (F.col("ret") > 0, 5)}
+    tagged = x.withColumn("rule", F.explode(F.array_compact(F.array(*[F.when(c, F.struct(F.lit(n).alias("rule_id"), F.lit(k).alias("complexity"))) for n, (c, k) in rules.items()]))))
+    net = F.col("ret") - 0.2
+    m = tagged.groupBy("rule.rule_id", "rule.complexity").agg(
+        F.count("*").alias("n"), F.avg((F.col("ret") > 0).cast("double")).alias("win_rate"), F.avg(net).alias("mean_net"), F.try_divide(F.sum(F.when(net > 0, net)), -F.sum(F.when(net < 0, net))).alias("profit_factor"),
+        F.count_distinct("source").alias("source_count"), F.count_distinct(F.floor(F.col("published_us") / (7 * 86_400_000_000))).alias("month_count"))
+    return m.select("rule_id", "n", V.seven_reasons().alias("reason"))
+
+
+def k21_risk_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Mean results at five bars by the way positions are sized by the move of the first."""
+    w = R.wide_returns(returns(spark, d), (1, 5)).where("ret_5 IS NOT NULL").withColumn("risk", F.abs("ret_1"))
+    s = V.risk_sizes(w, "risk", F.col("event_id") % 2 == 0)
+    long = F.array(*[F.struct(F.lit(n).alias("sizing"), c.alias("size")) for n, c in s.items()])
+    x = w.select("ret_5", F.explode(long).alias("s"))
+    return x.groupBy("s.sizing").agg(F.count("*").alias("n"), F.round(F.avg("s.size"), 6).alias("mean_size"), F.round(F.avg(F.col("s.size") * F.col("ret_5")), 5).alias("mean_sized"))
+
+
+def k23_guesses(spark: SparkSession, d: str) -> DataFrame:
+    """How often simple guesses have the sign of the results at five bars."""
+    w = R.wide_returns(returns(spark, d), (1, 5, 15)).withColumn("id", F.concat("event_id", "symbol"))
+    return V.guess_baselines(w, ["symbol"], "ret_5", "ret_1", "ret_15", "id").select("symbol", "n", *_r("always_up", "always_down", "trend", "opposite", "random"))
+
+
 QUERIES = {f.__name__: f for f in (
     b5_selected_candles, c8_coverage_by_year, d6_final_quality, d20_peak_lost, d21_six_classes, d24_votes, f3_url_free_keys, g2_group_keys, h6_admitted, h9_official, h11_classified, h19_entities, h26_repairs, h27_horizons,
     i3_event_records, i12_missing_token, i15_refused, i16_variants, j6_audit, j6_values, j12_anchor_bias, j18_repaired, j18_failures, k8_subgroups, k9_threshold_grid, k10_sample_gates, k11_signals, k15_simulation,
     k22_top_lift, k25_reliability, k29_candidates, k30_costs, k30_holding, k32_locked_test, l2_bootstrap_mean, l9_group_comparison, l12_error_difference, l13_horizon_metrics, l14_winsorised, l14_linear, m4_topic_scan, m9_search_count,
+    d10_bounds, e15_futures_flags, k4_seven_reasons, k21_risk_sizes, k23_guesses,
 )}
 
 _PE = "primary_source_events"
@@ -436,4 +476,18 @@ SQL = {
     "m4_topic_scan": f"WITH {_EV} SELECT event_id, title FROM ev WHERE {_WORD.format('title', 'treasury|custody')} ORDER BY published_at DESC NULLS LAST, event_id LIMIT 25",
     "m9_search_count": f"""WITH {_EV}, t AS (SELECT event_id, published_at, {_TERMS.format('title')} AS t, {_TERMS.format("concat_ws(' ', source, category)")} AS o FROM ev), h AS (SELECT event_id, published_at, round((CASE WHEN list_contains(t, 'upgrade') THEN 1.0 WHEN list_contains(o, 'upgrade') THEN 0.4 ELSE 0 END + CASE WHEN list_contains(t, 'fork') THEN 1.0 WHEN list_contains(o, 'fork') THEN 0.4 ELSE 0 END)::DOUBLE, 6) AS rank
         FROM t WHERE list_contains(list_concat(t, o), 'upgrade') OR list_contains(list_concat(t, o), 'fork')) SELECT event_id, rank, (SELECT count(*) FROM h) AS total FROM h ORDER BY rank DESC, published_at DESC NULLS LAST, event_id LIMIT 20""",
+    "d10_bounds": f"""WITH {_DAY}, b AS (SELECT event_id, symbol, bounds, max(h) AS mfe, min(l) AS mae FROM pth, (VALUES ('[)'), ('[]'), ('(]')) AS v(bounds) WHERE h IS NOT NULL AND l IS NOT NULL AND CASE bounds WHEN '[)' THEN q < 24 WHEN '(]' THEN q > 0 ELSE true END GROUP BY 1, 2, 3)
+        SELECT symbol, bounds, count(*) AS n, round(avg(mfe), 4) AS mfe, round(avg(mae), 4) AS mae FROM b GROUP BY 1, 2""",
+    "e15_futures_flags": f"""WITH {BARS}, x AS (SELECT symbol, (close - open) / 10000 AS f, high / nullif(open, 0) AS r, coalesce(close - open > 0, false) AS up, coalesce(volume - 10 > 0, false) AS more FROM bars)
+        SELECT symbol, count(*) FILTER (f > 0.0005::DOUBLE) AS funding_high, count(*) FILTER (f < -0.0005::DOUBLE) AS funding_low, count(*) FILTER (f > 0.0005::DOUBLE AND r > 1.2::DOUBLE) AS crowded_long, count(*) FILTER (f < -0.0005::DOUBLE AND r < 0.8::DOUBLE) AS crowded_short,
+        count(*) FILTER (f < -0.0005::DOUBLE AND r < 0.8::DOUBLE AND up AND more) AS short_squeeze, count(*) FILTER (f > 0.0005::DOUBLE AND r > 1.2::DOUBLE AND NOT up AND more) AS long_squeeze FROM x GROUP BY 1""",
+    "k4_seven_reasons": f"""WITH {_FR}, x AS (SELECT *, (actor % 10)::DOUBLE AS x FROM o), t AS (SELECT 'a' AS rule_id, 1 AS k, ret, source, published_us FROM x WHERE x >= 2 UNION ALL SELECT 'b', 1, ret, source, published_us FROM x WHERE x >= 5 UNION ALL SELECT 'd', 1, ret, source, published_us FROM x WHERE ret > 0
+        UNION ALL SELECT 'e', 2, ret, source, published_us FROM x WHERE ret > 0 AND source = 'signup' UNION ALL SELECT 'f', 5, ret, source, published_us FROM x WHERE ret > 0),
+        m AS (SELECT rule_id, k, count(*) AS n, avg((ret > 0)::INT) AS w, avg(ret - 0.2::DOUBLE) AS e, sum(ret - 0.2::DOUBLE) FILTER (ret - 0.2::DOUBLE > 0) / -sum(ret - 0.2::DOUBLE) FILTER (ret - 0.2::DOUBLE < 0) AS pf, count(DISTINCT source) AS s, count(DISTINCT published_us // 604800000000) AS c FROM t GROUP BY 1, 2)
+        SELECT rule_id, n, CASE WHEN k > 4 THEN 'complexity_gt_4' WHEN n < 30 THEN 'low_sample' WHEN w < 0.55 THEN 'win_rate_below_55pct' WHEN e <= 0 THEN 'nonpositive_net_expectancy' WHEN pf <= 1 THEN 'profit_factor_le_1' WHEN s < 2 THEN 'single_source' WHEN c < 2 THEN 'single_month' END AS reason FROM m""",
+    "k21_risk_sizes": f"""WITH {_WIDE}, x AS (SELECT event_id, r5, abs(r1) AS v FROM w WHERE r5 IS NOT NULL), b AS (SELECT quantile_cont(v, 0.1) AS f, quantile_cont(v, 0.5) AS m, quantile_cont(v, 0.9) AS c FROM x WHERE event_id % 2 = 0), y AS (SELECT r5, v, m, c, greatest(v, f, 1e-6::DOUBLE) AS r FROM x, b),
+        z AS (SELECT r5, 'fixed' AS sizing, 1.0::DOUBLE AS z FROM y UNION ALL SELECT r5, 'inverse', CASE WHEN v IS NULL THEN 0 ELSE least(1.0, greatest(0.25, m / r)) END FROM y UNION ALL SELECT r5, 'capped', CASE WHEN v IS NULL THEN 0 ELSE least(1.0, greatest(0.5, m / least(r, c))) END FROM y
+        UNION ALL SELECT r5, 'skip', CASE WHEN v < c THEN 1.0 ELSE 0.0 END FROM y UNION ALL SELECT r5, 'reduce', CASE WHEN v IS NULL THEN 0 WHEN v < c THEN 1.0 ELSE 0.5 END FROM y) SELECT sizing, count(*) AS n, round(avg(z), 6) AS mean_size, round(avg(z * r5), 5) AS mean_sized FROM z GROUP BY 1""",
+    "k23_guesses": f"""WITH {_WIDE}, x AS (SELECT symbol, sign(r5) AS a, sign(r1) AS t, -sign(r15) AS o, CASE WHEN {_U.format("'coin:' || event_id || symbol")} < 0.5 THEN -1 ELSE 1 END AS c FROM w WHERE r5 IS NOT NULL AND r5 <> 0)
+        SELECT symbol, count(*) AS n, round(avg((a = 1)::INT), 6) AS always_up, round(avg((a = -1)::INT), 6) AS always_down, round(avg(coalesce(a = t, false)::INT), 6) AS trend, round(avg(coalesce(a = o, false)::INT), 6) AS opposite, round(avg((a = c)::INT), 6) AS random FROM x GROUP BY 1""",
 }
