@@ -36,11 +36,13 @@ def parse_candles(raw: DataFrame) -> DataFrame:
     return raw.withColumns({"open_us": o, "close_us": c, "minute": F.floor(o / 60_000_000).cast("bigint"), "error": error})
 
 
-def candle_codes(symbol: str | None = None) -> Column:
-    """All faults of a parsed candle, joined with '|' in a fixed order; empty if there are none."""
+def candle_codes(symbol: str | None = None, interval: str | None = None) -> Column:
+    """All faults of a parsed candle, joined with '|' in a fixed order; empty if there are none. Symbol and interval are checked where they are named."""
     checks: list[tuple[str, Column]] = []
     if symbol is not None:
         checks.append(("symbol_mismatch", F.col("symbol") != symbol))
+    if interval is not None:
+        checks.append(("interval_mismatch", F.col("interval") != interval))
     o, h, lo, c = (F.col(x) for x in ("open", "high", "low", "close"))
     checks += [(f"{x}_not_positive", F.col(x) <= 0) for x in ("open", "high", "low", "close")]
     checks += [("high_below_open", h < o), ("high_below_close", h < c), ("low_above_open", lo > o), ("low_above_close", lo > c), ("high_below_low", h < lo)]

@@ -162,6 +162,23 @@ def prior_price(events: DataFrame, grid: DataFrame, bars: int) -> DataFrame:
     return events.join(prior, ["symbol", "base"], "left")
 
 
+def range_before(events: DataFrame, grid: DataFrame, bars: int) -> DataFrame:
+    """(event_id, symbol, range_share, log_return): span of the extremes of the ``bars`` bars before the base over the base's open, and the log of the
+    base's open over the open ``bars`` bars before; NULL without the base bar or a positive open."""
+    w = window_bars(events.select("event_id", "symbol", "base"), grid, -bars, 0)
+    o = F.col("offset")
+    a = w.groupBy("event_id", "symbol").agg(
+        F.max(F.when(o < 0, F.col("high"))).alias("hi"), F.min(F.when(o < 0, F.col("low"))).alias("lo"), F.max(F.when(o == 0, F.col("open"))).alias("now"), F.max(F.when(o == -bars, F.col("open"))).alias("old"))
+    positive = (F.col("now") > 0) & (F.col("old") > 0)
+    return a.select("event_id", "symbol", F.when(F.col("now") > 0, (F.col("hi") - F.col("lo")) / F.col("now")).alias("range_share"), F.when(positive, F.ln(F.when(positive, F.col("now") / F.col("old")))).alias("log_return"))
+
+
+def volatility_regime(rows: DataFrame, value: str, train: Column) -> DataFrame:
+    """Add ``regime``: high or low by the median of the training rows; NULL where the value is."""
+    m = quantiles(rows.where(train), [], value, [0.5]).select(F.col("q")[0].alias("_m"))
+    return rows.join(F.broadcast(m), how="left").withColumn("regime", F.when(F.col(value) > F.col("_m"), "high").when(F.col(value).isNotNull(), "low")).drop("_m")  # one row
+
+
 def regime(value: Column, band: float, names: tuple[str, str, str] = ("down", "flat", "up")) -> Column:
     """Name of a value below, within or above a band around zero; the border belongs to the middle."""
     return F.when(value < -band, names[0]).when(value > band, names[2]).when(value.isNotNull(), names[1])

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
+from pyspark.sql.window import Window
 
 from tidemark.operators.ordered import beside, global_rank, running
 
@@ -204,3 +205,20 @@ def permutation_difference(rows: DataFrame, block: str, value: str, first: Colum
     d = reps.groupBy("rep").agg((F.try_divide(pick("s1", "s0"), pick("c1", "c0")) - F.try_divide(pick("s0", "s1"), pick("c0", "c1"))).alias("d"))
     seen = d.where("rep = 0").select(F.col("d").alias("difference"))
     return d.where("rep > 0").join(F.broadcast(seen)).groupBy("difference").agg(((F.count_if(F.abs("d") >= F.abs("difference")) + 1) / F.lit(repeats + 1.0)).alias("p"))
+
+
+def cluster_label_test(rows: DataFrame, cluster: str, value: str, label: Column, repeats: int = 200) -> DataFrame:
+    """(difference, p): difference of the means of labelled and other rows, and its two-sided chance when as many whole clusters are labelled at random.
+
+    A cluster is labelled if one of its rows is. In every repeat clusters are ordered by the hash of their id and the repeat, and the first ones
+    get the labels; clusters are summed up first, and a repeat is ordered in one task of one row a cluster.
+    """
+    s = rows.where(F.col(value).isNotNull()).groupBy(F.col(cluster).alias("b")).agg(F.sum(value).cast("double").alias("s"), F.count("*").cast("double").alias("c"), F.max(F.coalesce(label, F.lit(False)).cast("int")).alias("g"))
+    reps = s.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats))))
+    turn = F.row_number().over(Window.partitionBy("rep").orderBy(hashed_uniform(F.col("b"), F.col("rep")), "b"))
+    few = F.sum("g").over(Window.partitionBy("rep"))
+    drawn = reps.withColumn("x", F.when(F.col("rep") == 0, F.col("g") == 1).otherwise(turn <= few))
+    side = lambda c: F.try_divide(F.sum(F.when(c, F.col("s"))), F.sum(F.when(c, F.col("c"))))
+    d = drawn.groupBy("rep").agg((side(F.col("x")) - side(~F.col("x"))).alias("d"))
+    seen = d.where("rep = 0").select(F.col("d").alias("difference"))
+    return d.where("rep > 0").join(F.broadcast(seen)).groupBy("difference").agg(((F.count_if(F.abs("d") >= F.abs("difference")) + 1) / F.lit(repeats + 1.0)).alias("p"))  # one row

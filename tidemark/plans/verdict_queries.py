@@ -9,6 +9,7 @@ from tidemark.functions import evidence as E
 from tidemark.functions import identity as I
 from tidemark.functions import textrules as T
 from tidemark.operators import candles as C
+from tidemark.operators import context as X
 from tidemark.operators import dataset as D
 from tidemark.operators import reactions as R
 from tidemark.operators import serving as M
@@ -365,11 +366,35 @@ def k23_guesses(spark: SparkSession, d: str) -> DataFrame:
     return V.guess_baselines(w, ["symbol"], "ret_5", "ret_1", "ret_15", "id").select("symbol", "n", *_r("always_up", "always_down", "trend", "opposite", "random"))
 
 
+def b3_named_codes(spark: SparkSession, d: str) -> DataFrame:
+    """Candles of another symbol or interval than the one named, counted."""
+    p = _parsed(spark, d).withColumn("interval", F.when(F.col("trade_count") % 7 == 0, "5m").otherwise("1m"))
+    codes = C.candle_codes("BTCUSDT", "1m")
+    return p.groupBy(codes.contains("symbol_mismatch").alias("symbol"), codes.contains("interval_mismatch").alias("interval")).agg(F.count("*").alias("n"))
+
+
+def e10_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Span of the day before an event over its open, and the log return of that day."""
+    x = R.per_base(event_assets(spark, d), lambda e: X.range_before(e, bars(spark, d), 24))
+    return x.select("event_id", "symbol", *_r("range_share", "log_return"))
+
+
+def e11_volatility(spark: SparkSession, d: str) -> DataFrame:
+    """Results at five bars by the size of the move at one, above or below the median of the earlier ones."""
+    w = R.wide_returns(returns(spark, d), (1, 5)).withColumn("v", F.abs("ret_1"))
+    return X.volatility_regime(w, "v", F.col("event_id") % 2 == 0).groupBy("symbol", "regime").agg(F.count("*").alias("n"), F.round(F.avg("ret_5"), 5).alias("mean"))
+
+
+def l4_cluster_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Difference of the results of a third of the actors, with the labels of whole actors drawn at random."""
+    return L.cluster_label_test(_one(spark, d), "actor", "ret", F.col("actor") % 3 == 0, 100).select(*_r("difference", "p", digits=5))
+
+
 QUERIES = {f.__name__: f for f in (
     b5_selected_candles, c8_coverage_by_year, d6_final_quality, d20_peak_lost, d21_six_classes, d24_votes, f3_url_free_keys, g2_group_keys, h6_admitted, h9_official, h11_classified, h19_entities, h26_repairs, h27_horizons,
     i3_event_records, i12_missing_token, i15_refused, i16_variants, j6_audit, j6_values, j12_anchor_bias, j18_repaired, j18_failures, k8_subgroups, k9_threshold_grid, k10_sample_gates, k11_signals, k15_simulation,
     k22_top_lift, k25_reliability, k29_candidates, k30_costs, k30_holding, k32_locked_test, l2_bootstrap_mean, l9_group_comparison, l12_error_difference, l13_horizon_metrics, l14_winsorised, l14_linear, m4_topic_scan, m9_search_count,
-    d10_bounds, e15_futures_flags, k4_seven_reasons, k21_risk_sizes, k23_guesses,
+    d10_bounds, e15_futures_flags, k4_seven_reasons, k21_risk_sizes, k23_guesses, b3_named_codes, e10_ranges, e11_volatility, l4_cluster_labels,
 )}
 
 _PE = "primary_source_events"
@@ -490,4 +515,12 @@ SQL = {
         UNION ALL SELECT r5, 'skip', CASE WHEN v < c THEN 1.0 ELSE 0.0 END FROM y UNION ALL SELECT r5, 'reduce', CASE WHEN v IS NULL THEN 0 WHEN v < c THEN 1.0 ELSE 0.5 END FROM y) SELECT sizing, count(*) AS n, round(avg(z), 6) AS mean_size, round(avg(z * r5), 5) AS mean_sized FROM z GROUP BY 1""",
     "k23_guesses": f"""WITH {_WIDE}, x AS (SELECT symbol, sign(r5) AS a, sign(r1) AS t, -sign(r15) AS o, CASE WHEN {_U.format("'coin:' || event_id || symbol")} < 0.5 THEN -1 ELSE 1 END AS c FROM w WHERE r5 IS NOT NULL AND r5 <> 0)
         SELECT symbol, count(*) AS n, round(avg((a = 1)::INT), 6) AS always_up, round(avg((a = -1)::INT), 6) AS always_down, round(avg(coalesce(a = t, false)::INT), 6) AS trend, round(avg(coalesce(a = o, false)::INT), 6) AS opposite, round(avg((a = c)::INT), 6) AS random FROM x GROUP BY 1""",
+    "b3_named_codes": "SELECT coalesce(symbol <> 'BTCUSDT', false) AS symbol, coalesce(trade_count % 7 = 0, false) AS interval, count(*) AS n FROM archive_candles GROUP BY 1, 2",
+    "e10_ranges": f"""WITH {BARS}, {ASSETS}, w AS (SELECT event_id, ea.symbol, g.bar - base AS q, g.* EXCLUDE (symbol, bar) FROM ea JOIN bars g ON g.symbol = ea.symbol AND g.bar BETWEEN base - 24 AND base),
+        a AS (SELECT event_id, symbol, max(high) FILTER (q < 0) AS hi, min(low) FILTER (q < 0) AS lo, max(open) FILTER (q = 0) AS n, max(open) FILTER (q = -24) AS o FROM w GROUP BY 1, 2)
+        SELECT event_id, symbol, round(CASE WHEN n > 0 THEN (hi - lo) / n END, 6) AS range_share, round(CASE WHEN n > 0 AND o > 0 THEN ln(n / o) END, 6) AS log_return FROM a""",
+    "e11_volatility": f"WITH {_WIDE}, m AS (SELECT median(abs(r1)) AS m FROM w WHERE event_id % 2 = 0) SELECT symbol, CASE WHEN abs(r1) > m THEN 'high' WHEN r1 IS NOT NULL THEN 'low' END AS regime, count(*) AS n, round(avg(r5), 5) AS mean FROM w, m GROUP BY 1, 2",
+    "l4_cluster_labels": f"""WITH {_FR}, s AS (SELECT actor AS b, sum(ret) AS s, count(*) AS c, max((actor % 3 = 0)::INT) AS g FROM o GROUP BY 1), r AS (SELECT s.*, rep, {_U.format("b || ':' || rep")} AS u FROM s, (SELECT unnest(generate_series(0, 100)) AS rep)),
+        x AS (SELECT *, CASE WHEN rep = 0 THEN g = 1 ELSE row_number() OVER (PARTITION BY rep ORDER BY u, b) <= sum(g) OVER (PARTITION BY rep) END AS x FROM r), d AS (SELECT rep, sum(s) FILTER (x) / sum(c) FILTER (x) - sum(s) FILTER (NOT x) / sum(c) FILTER (NOT x) AS d FROM x GROUP BY 1)
+        SELECT round(o.d, 5) AS difference, round((count(*) FILTER (abs(d.d) >= abs(o.d)) + 1) / 101, 5) AS p FROM d, (SELECT d FROM d WHERE rep = 0) AS o WHERE rep > 0 GROUP BY o.d""",
 }
