@@ -286,7 +286,7 @@ def test_repeated_lines(spark, limit):
         rows.append((i, rng.choice(["a", "a", "b", None]), "t", None, "\n".join(body)))
     rows += [rows[0], (500, "a", "t", None, None), (501, "a", "t", None, ""), (502, "a", "t", None, "y" * 300_000 + "\nTerms of use")]
     df = records(spark, rows)
-    found = repeats.repeated_lines(df, broadcast_chunks=limit)
+    found = repeats.repeated_lines(df, broadcast_chunks=limit, broadcast_lines=limit)
     assert set(map(tuple, found.collect())) == brute_lines(rows)
     kept = {r.record_id: r.body for r in repeats.without_lines(df.dropDuplicates(["record_id"]), found).collect()}
     assert kept[500] is None and kept[501] == "" and "Terms" not in kept[502] and len(kept) == 123

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.plans.cut import cut, small
+from tidemark.plans.cut import cut
 
 #: Records of a source in which a line must stand.
 MIN_RECORDS = 8
@@ -25,6 +25,8 @@ MIN_RECORDS = 8
 WINDOW, BITS = 16, 6
 #: Frequent chunks that are broadcast at most (8 bytes each); beyond, they are joined by shuffle.
 BROADCAST_CHUNKS = 4_000_000
+#: Frequent lines that are broadcast at most; beyond, they are joined by shuffle, in so many parts each, as one line may stand in every record.
+BROADCAST_LINES, LINE_PARTS = 500_000, 32
 
 _rng = np.random.default_rng(20240611)
 _GEAR = _rng.integers(0, 2**32, 256, dtype=np.uint32)
@@ -128,13 +130,13 @@ def chunk_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"key": key.view(np.int64), "n": n})
 
 
-def repeated_lines(records: DataFrame, min_records: int = MIN_RECORDS, broadcast_chunks: int = BROADCAST_CHUNKS) -> DataFrame:
+def repeated_lines(records: DataFrame, min_records: int = MIN_RECORDS, broadcast_chunks: int = BROADCAST_CHUNKS, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """(record_id, line_no) of every occurrence of a line found in at least ``min_records`` different records of its source.
 
     records: record_id, source, body; other columns are ignored. Lines lie between line feeds, are numbered from 1, and are equal if equal
     after lower-casing and dropping all but letters; lines without letters don't count. Records without source are one source together.
     NULL and empty bodies have no lines; repeated rows of a record count once. A hot source or line is only ever counted with map-side
-    aggregation.
+    aggregation, and its occurrences are found by broadcast or in parts.
     """
     narrow = records.select("record_id", "source", "body").where("body IS NOT NULL AND record_id IS NOT NULL")
     frequent = cut(narrow.mapInPandas(chunk_counts, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= min_records).select("key"))
@@ -167,7 +169,12 @@ def repeated_lines(records: DataFrame, min_records: int = MIN_RECORDS, broadcast
         candidates = rows.groupBy("record_id", "line_no", "line").agg(F.count("*").alias("n"), F.count("hit").alias("m")).where("n = m").select("record_id", "line_no", "line")
     candidates = cut(candidates)
     exact = cut(candidates.select("line", "record_id").distinct().groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= min_records).select("line"))
-    return candidates.join(small(exact, 500_000), "line", "left_semi").select("record_id", "line_no").distinct()
+    if exact.count() <= broadcast_lines:
+        found = candidates.join(F.broadcast(exact), "line", "left_semi")
+    else:
+        parts = exact.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(LINE_PARTS - 1))))
+        found = candidates.withColumn("part", F.pmod(F.xxhash64("record_id"), F.lit(LINE_PARTS)).cast("int")).join(parts, ["line", "part"], "left_semi")
+    return found.select("record_id", "line_no").distinct()
 
 
 def without_lines(records: DataFrame, found: DataFrame) -> DataFrame:
