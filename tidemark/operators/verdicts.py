@@ -34,6 +34,7 @@ def final_quality(returns: DataFrame, months: DataFrame, invalid: DataFrame, bar
     bar of unusable bars. A missing result is blamed on its base bar if that has no price, else on its end bar. The reason is the first that
     holds: before the archives begin (base only), after they end, an unusable bar, a month without archive, a missing bar. ``reasons`` is JSON by
     horizon in the order of text, NULL if nothing is missing. A symbol without archives has nothing but missing archives.
+    Fixed values: the names of reasons and qualities.
     """
     bounds = months.groupBy("symbol").agg(F.min("month").alias("first"), F.max("month").alias("last"))
     faulty = F.col("base_open").isNull() | (F.col("base_open") <= 0)
@@ -54,7 +55,7 @@ def final_quality(returns: DataFrame, months: DataFrame, invalid: DataFrame, bar
 
 def six_path_classes(mfe: Column, mae: Column, mfe_at: Column, end: Column, hour: float = 60.0) -> Column:
     """What became of a signed path, by six ordered rules on its best and worst excursion in percent, the time of the best and the return at the
-    end; ``hour`` is an hour in the units of ``mfe_at``. NULL excursions have no class.
+    end; ``hour`` is an hour in the units of ``mfe_at``. NULL excursions have no class. Fixed values: limits and names.
     """
     lost = F.when(mfe > 0, (mfe - end) / mfe)
     kept = F.coalesce(F.when(mfe > 0, end / mfe), F.lit(0.0))
@@ -71,7 +72,7 @@ def event_records(events: DataFrame, grid: DataFrame, symbols: list[str], histor
     grid: symbol, bar. Reasons, the first that holds over all of ``symbols``: published_after_candle_coverage, published_before_candle_coverage,
     insufficient_history (no bar ``history`` bars before), insufficient_pre_news_candles_or_gap (a bar from ``before`` bars before to the cutoff
     is missing), insufficient_future_candles_or_gap (one from the next bar to ``after`` bars later). Presence is counted by blocks of bars, so
-    it is an equi-join with a filter.
+    it is an equi-join with a filter. Fixed values: the names of reasons.
     """
     g = grid.where(F.col("symbol").isin(symbols)).select("symbol", "bar").distinct()
     ends = g.groupBy("symbol").agg(F.min("bar").alias("a"), F.max("bar").alias("z")).agg(F.max("a").alias("first"), F.min("z").alias("last"), F.count("*").alias("series"))
