@@ -1,4 +1,6 @@
+import importlib
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from tidemark.operators import reactions as R
 from tidemark.operators import similarity as Y
 from tidemark.operators import stats as L
 
+SMALL = Path("/root/testdata/sf0.01")
+
 
 def test_greedy_groups_equal_a_plain_loop(spark):
     rng = random.Random(11)
@@ -52,6 +56,46 @@ def test_cosine_pairs_lose_nothing(spark):
         assert {(r.a, r.b) for r in Y.alike_pairs(v, df, least, 150).collect()} == want
 
 
+def test_alike_texts_lose_nothing(spark):
+    rng = random.Random(5)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "t1"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 6))), rng.randrange(-300, 900), rng.choice(["a", "b", None])) for i in range(90)]
+    df = spark.createDataFrame([*rows, rows[0]], "id bigint, k string, t bigint, side string")  # a repeated row counts once
+    at, side = {r[0]: r[2] for r in rows}, {r[0]: r[3] for r in rows}
+    for grams, codes in ((Y.char_grams, Y.char_codes), (Y.word_grams, Y.word_codes)):
+        vec = {}
+        for r in Y.tfidf(df.distinct(), "id", grams(F.col("k"))).collect():
+            vec.setdefault(r.id, {})[r.gram] = r.w
+        dot = {(a, b): sum(w * vec[b].get(g, 0) for g, w in vec[a].items()) for a in vec for b in vec if abs(at[a] - at[b]) <= 150 and a != b}
+        for least, cell in ((0.35, 4), (0.35, 1000), (0.84, 4)):
+            for sided in (False, True):
+                want = {p: c for p, c in dot.items() if c >= least and (side[p[0]] == "a" and side[p[1]] == "b" if sided else p[0] < p[1])}
+                got = [(r.a, r.b, r.cosine) for r in Y.alike_texts(df, codes, least, 150, sided, cell).collect()]
+                assert sorted((a, b) for a, b, _ in got) == sorted(want)
+                assert all(abs(c - want[a, b]) < 1e-9 for a, b, c in got)
+
+
+def shuffled(spark, df):
+    """Bytes that the stages of a query write to shuffles."""
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        store = spark.sparkContext._jsc.sc().statusStore()
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    before = written()
+    df().write.format("noop").mode("overwrite").save()
+    return written() - before
+
+
+@pytest.mark.skipif(not SMALL.exists(), reason="no test tables")
+@pytest.mark.parametrize("name", ["g14_stories"])
+def test_likeness_shuffles_little(spark, name):
+    query = importlib.import_module("__spark_entry__").queries()[name]
+    assert 0 < shuffled(spark, lambda: query(spark, str(SMALL))) < 4 * (SMALL / "primary_source_events.parquet").stat().st_size
+
+
 def test_titles(spark):
     df = spark.createDataFrame([("A title", "A title"), ("A title of it", "A title of its"), ("One", "Other"), (None, "x")], "a string, b string")
     out = df.select(T.drift(F.col("a"), F.col("b"), F.lit(0.0), T.sequence_ratio("a", "b"))).collect()

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators.ordered import previous, running
+from tidemark.operators.windowed import runs
 from tidemark.plans.cut import cut
 
 #: Microseconds of a day, the bucket of times.
@@ -241,7 +242,7 @@ def non_overlapping(rows: DataFrame, key: str, ident: str, t: str, hold: int, ho
     kinds = dict(r.dtypes)
 
     def doors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for k, blk, b in _runs(batches, ["k", "blk"]):
+        for k, blk, b in runs(batches, ["k", "blk"]):
             times = np.unique(b["t"].to_numpy())
             first = np.searchsorted(times, blk * hold * holds + hold) + 1  # rows within the first hold, and the first after it
             yield pd.DataFrame({"k": k, "blk": blk, "t": times[:first], "leave": _exits(times, hold)[:first]})
@@ -266,7 +267,7 @@ def non_overlapping(rows: DataFrame, key: str, ident: str, t: str, hold: int, ho
     both = r.withColumn("door", F.lit(1)).unionByName(entry.select("k", F.lit(None).cast(kinds["i"]).alias("i"), F.col("t").cast(kinds["t"]), "blk", F.lit(0).alias("door")))
 
     def accept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, _, b in _runs(batches, ["k", "blk"]):
+        for _, _, b in runs(batches, ["k", "blk"]):
             door = b["door"].to_numpy() == 0
             if not door.any():
                 continue
@@ -281,24 +282,6 @@ def non_overlapping(rows: DataFrame, key: str, ident: str, t: str, hold: int, ho
     return done.toDF(key, ident)
 
 
-def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple]:
-    """(key values..., rows) of each run of equal keys; rows come sorted by the keys, and a run may go over several batches."""
-    held: list[pd.DataFrame] = []
-    for b in batches:
-        if not len(b):
-            continue
-        new = np.append(True, np.logical_or.reduce([b[c].to_numpy()[1:] != b[c].to_numpy()[:-1] for c in keys]))
-        bounds = np.append(np.flatnonzero(new), len(b))
-        for s, e in zip(bounds[:-1], bounds[1:], strict=True):
-            part = b.iloc[s:e]
-            if held and any(held[0][c].iloc[0] != part[c].iloc[0] for c in keys):
-                yield *(held[0][c].iloc[0] for c in keys), pd.concat(held)
-                held = []
-            held.append(part)
-    if held:
-        yield *(held[0][c].iloc[0] for c in keys), pd.concat(held)
-
-
 def mapping_conflicts(rows: DataFrame, member: list[str], target: Column) -> DataFrame:
     """(member..., targets): members that map to more than one target; NULL targets are none."""
     return rows.groupBy(*member).agg(F.count_distinct(target).alias("targets")).where("targets > 1")

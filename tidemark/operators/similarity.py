@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.identity import text_key
+from tidemark.operators.windowed import CELL, expanded, meetings, met, slices
 from tidemark.plans.cut import cut
 
 
@@ -65,6 +70,160 @@ def alike_pairs(vectors: DataFrame, times: DataFrame, least: float, within_us: i
     return dots.where(F.col("cosine") >= least)
 
 
+#: Grams of a text: the rows they stand in and their codes.
+Codes = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
+
+
+def char_codes(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``char_grams`` of text keys as (row, code); a gram of 37 letters is told exactly by its code."""
+    size = np.array([len(k) + 2 if k else 0 for k in keys], dtype=np.int64)
+    raw = np.frombuffer("".join(f" {k} " for k in keys if k).encode(), dtype=np.uint8).astype(np.int64)
+    letter = np.where(raw == 32, 0, np.where(raw >= 97, raw - 96, raw - 21))  # blank, a-z, 0-9
+    row, left = np.repeat(np.arange(len(keys)), size), np.repeat(np.cumsum(size), size) - np.arange(size.sum())
+    rows, codes, base = [], [], 0
+    for n in range(3, 6):
+        code = np.zeros(max(len(letter) - n + 1, 0), dtype=np.int64)
+        for k in range(n):
+            code = code * 37 + letter[k : k + len(code)]
+        whole = left[: len(code)] >= n
+        rows.append(row[: len(code)][whole])
+        codes.append(code[whole] + base)
+        base += 37**n
+    return np.concatenate(rows), np.concatenate(codes)
+
+
+def word_codes(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``word_grams`` of text keys as (row, code), a hash of 64 bits."""
+    words = [k.split() for k in keys]
+    row = np.repeat(np.arange(len(keys)), [len(w) for w in words])
+    h = pd.util.hash_array(np.array([x for w in words for x in w], dtype=object), categorize=False).view(np.uint64)
+    pair = np.flatnonzero(row[1:] == row[:-1])
+    x = h[pair] * np.uint64(0x9E3779B97F4A7C15) + h[pair + 1]
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.concatenate([row, row[pair]]), np.concatenate([h, x ^ (x >> np.uint64(32))]).view(np.int64)
+
+
+class _Vectors:
+    """Unit vectors of some texts as entries (row, gram, w), by row and from the most frequent gram on; grams of one text only count for its length."""
+
+    def __init__(self, texts: list[str], grams: Codes, vocabulary: tuple[np.ndarray, np.ndarray, np.ndarray], total: int) -> None:
+        known, rank, idf = vocabulary
+        rows, ranks, weights = [], [], []
+        for s in range(0, len(texts), 2000):
+            row, code = grams(texts[s : s + 2000])
+            at = np.minimum(np.searchsorted(known, code), max(len(known) - 1, 0))
+            listed = known[at] == code if len(known) else np.zeros(len(code), dtype=bool)
+            x, tf = np.unique(row[listed] * max(len(known), 1) + rank[at[listed]], return_counts=True)
+            r, g = np.divmod(x, max(len(known), 1))
+            w = tf * idf[g]
+            one, which = np.unique(code[~listed], return_inverse=True)
+            x, tf = np.unique(row[~listed] * max(len(one), 1) + which, return_counts=True)
+            lone = tf * (np.log((1 + total) / 2) + 1)
+            n = len(texts[s : s + 2000])
+            norm = np.sqrt(np.bincount(r, w * w, n) + np.bincount(x // max(len(one), 1), lone * lone, n))
+            rows.append(r + s)
+            ranks.append(g)
+            weights.append(w / norm[r])
+        self.row, self.gram, self.w = (np.concatenate(x) for x in (rows, ranks, weights))
+        self.count = np.bincount(self.row, minlength=len(texts))
+        self.start = np.cumsum(self.count) - self.count
+        self.grams = len(known)
+
+    def index(self, rest: float) -> None:
+        """Postings of the rarest grams of each row, as many as leave a rest shorter than ``rest``; notes how long the rest is."""
+        square = self.w * self.w
+        before = np.cumsum(square) - square
+        before = np.maximum(before - np.repeat(before[np.minimum(self.start, len(before) - 1)], self.count), 0) if len(before) else before
+        prefix = np.sqrt(before + square) >= rest
+        self.rest = np.sqrt(np.bincount(self.row[~prefix], square[~prefix], len(self.count)))
+        order = np.argsort(self.gram[prefix], kind="stable")
+        self.p_row, self.p_w = self.row[prefix][order], self.w[prefix][order]
+        self.p_count = np.bincount(self.gram[prefix], minlength=self.grams)
+        self.p_start = np.cumsum(self.p_count) - self.p_count
+        self.entry = self.row * self.grams + self.gram
+
+    def dots(self, own: np.ndarray, other: _Vectors, others: np.ndarray) -> np.ndarray:
+        """Whole products of pairs of rows, here and in ``other``."""
+        out = np.zeros(len(own))
+        for s, e in slices(other.count[others], 2_000_000):
+            which, at = expanded(other.start[others[s:e]], other.count[others[s:e]])
+            want = own[s:e][which] * self.grams + other.gram[at]
+            there = np.minimum(np.searchsorted(self.entry, want), len(self.entry) - 1)
+            hit = self.entry[there] == want
+            out[s:e] = np.bincount(which[hit], self.w[there[hit]] * other.w[at[hit]], e - s)
+        return out
+
+    def alike(self, other: _Vectors, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(rows here, rows of ``other``) of which the product may be ``least``: the product with the prefix, and at most the length of the rest."""
+        n = len(self.count)
+        need = least - 1e-9 - self.rest
+        met_ = self.p_count[other.gram]
+        cost = n + np.bincount(other.row, met_, len(other.count)).astype(np.int64)
+        for s, e in slices(cost, 4_000_000):
+            a, b = other.start[s], other.start[e - 1] + other.count[e - 1]
+            which, at = expanded(self.p_start[other.gram[a:b]], met_[a:b])
+            sums = np.bincount((other.row[a:b] - s)[which] * n + self.p_row[at], other.w[a:b][which] * self.p_w[at], (e - s) * n).reshape(e - s, n)
+            there, here = np.nonzero(sums >= need)
+            yield here, there + s
+
+
+def alike_texts(rows: DataFrame, grams: Codes, least: float, within_us: int, sided: bool = False, cell: int = CELL) -> DataFrame:
+    """(a, b, cosine): ids of ``rows`` (id, t, text key ``k``) whose TF-IDF vectors have a cosine of at least ``least`` and whose times are at most
+    ``within_us`` apart; a < b, or a and b on the sides 'a' and 'b' of the column ``side`` (NULL: on none). An id has one row.
+
+    What ``tfidf`` and ``alike_pairs`` tell, without a table of all grams of all texts: texts travel as they are to the cells of their time
+    (``meetings``), where their vectors are made. There the rarest grams of a text, without which the rest is too short, are looked up in the
+    others; a pair is computed whole if that and the length of the rest could be enough, so no pair is lost. The frequencies of the grams that
+    several texts have are held by each task; character n-grams are a bounded number, others as many as the language has.
+    """
+    rows = rows.distinct()
+    spark = rows.sparkSession
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for s in range(0, len(b), 2000):
+                row, code = grams(b["k"].iloc[s : s + 2000].tolist())
+                known, which = np.unique(code, return_inverse=True)
+                once = np.unique(row * max(len(known), 1) + which) % max(len(known), 1)
+                yield pd.DataFrame({"code": known, "n": np.bincount(once, minlength=len(known))})
+
+    filled = rows.where("k <> ''")
+    total = filled.count()
+    often = filled.select("k").mapInPandas(counted, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).where("n > 1").toPandas()
+    known, n = (often[c].to_numpy(dtype=np.int64) for c in ("code", "n"))
+    order = np.argsort(-n, kind="stable")
+    rank = np.empty(len(n), dtype=np.int64)
+    rank[order] = np.arange(len(n))
+    by_code = np.argsort(known)
+    vocabulary = spark.sparkContext.broadcast((known[by_code], rank[by_code], np.log((1 + total) / (1 + n[order])) + 1))
+
+    def paired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, own = None, None
+        for left, right in met(batches):
+            if right is None:
+                here, own = left, _Vectors(left["k"].tolist(), grams, vocabulary.value, total)
+                own.index(least / 2)
+                if sided:
+                    continue
+            there, other = (here, own) if right is None else (right, _Vectors(right["k"].tolist(), grams, vocabulary.value, total))
+            ia, ib, ta, tb = here["id"].to_numpy(), there["id"].to_numpy(), here["t"].to_numpy(), there["t"].to_numpy()
+            for x, y in own.alike(other, least):
+                near = np.abs(ta[x] - tb[y]) <= within_us
+                near &= ia[x] < ib[y] if right is None else True
+                x, y = x[near], y[near]
+                cosine = own.dots(x, other, y)
+                enough = cosine >= least
+                a, b = ia[x[enough]], ib[y[enough]]
+                if not sided:
+                    a, b = np.minimum(a, b), np.maximum(a, b)
+                yield pd.DataFrame({"a": a, "b": b, "cosine": cosine[enough]})
+
+    kind = dict(rows.dtypes)["id"]
+    if sided:
+        filled = filled.where("side IS NOT NULL")
+    return meetings(filled, "id", "t", within_us, sided, cell).mapInPandas(paired, f"a {kind}, b {kind}, cosine double")
+
+
 def nearest(pairs: DataFrame, k: int) -> DataFrame:
     """The k best partners of each a, the smaller id on a tie."""
     w = Window.partitionBy("a").orderBy(F.desc(F.round("cosine", 9)), F.asc("b"))

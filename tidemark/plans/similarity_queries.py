@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.identity import text_key
 from tidemark.operators import dedup as G
 from tidemark.operators import similarity as Y
 from tidemark.plans.cut import cut, read
@@ -17,6 +18,10 @@ def _titles(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "primary_source_events").where("published_at IS NOT NULL").select(F.col("record_id").alias("id"), "title", "source_type", epoch_us("published_at").alias("t"))
 
 
+def _keys(t: DataFrame, *more: str) -> DataFrame:
+    return t.select("id", "t", text_key(F.col("title")).alias("k"), *more)
+
+
 def g14_story_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Articles whose titles have a character n-gram cosine of .84 or more within 72 hours, and whether they merge by themselves."""
     t = _titles(spark, d)

@@ -18,7 +18,7 @@ from tidemark.operators.ordered import quantiles
 from tidemark.plans.analysis_queries import _EV, _FR, _TERMS, _events, _one
 from tidemark.plans.cut import checkpoint_dir, cut, read
 from tidemark.plans.models import BARS, RETURNS, bars, epoch_us, returns
-from tidemark.plans.similarity_queries import _CHAR, _DAY, _PAIR, _T, _V, _titles
+from tidemark.plans.similarity_queries import _CHAR, _DAY, _PAIR, _T, _V, _keys, _titles
 from tidemark.sources import tables as S
 from tidemark.streaming import windows as W
 
@@ -47,8 +47,7 @@ def g22_story_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 def g14_stories(spark: SparkSession, d: str) -> DataFrame:
     """Stories: articles with the same url or title, and those among each other's three most alike titles with a cosine of .965 within 48 hours."""
-    t = _titles(spark, d)
-    p = cut(Y.alike_pairs(cut(Y.tfidf(t, "id", Y.char_grams(F.col("title")))), t, 0.965, 2 * _DAY))
+    p = cut(Y.alike_texts(_keys(_titles(spark, d)), Y.char_codes, 0.965, 2 * _DAY))
     near = Y.nearest(p.select("a", "b", "cosine").unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine")), 3).select("a", "b")
     a = read(spark, d, "primary_source_events").where("published_at IS NOT NULL")
     return G.min_labels(near.union(G.stars(a, "record_id", F.lower("url"))).union(G.stars(a, "record_id", I.text_key(F.col("title")))))
