@@ -24,8 +24,7 @@ def _keys(t: DataFrame, *more: str) -> DataFrame:
 
 def g14_story_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Articles whose titles have a character n-gram cosine of .84 or more within 72 hours, and whether they merge by themselves."""
-    t = _titles(spark, d)
-    p = Y.alike_pairs(cut(Y.tfidf(t, "id", Y.char_grams(F.col("title")))), t, 0.84, 3 * _DAY)
+    p = Y.alike_texts(_keys(_titles(spark, d)), Y.char_codes, 0.84, 3 * _DAY)
     return p.select("a", "b", F.round("cosine", 6).alias("cosine"), F.when(F.col("cosine") >= 0.965, "merge").otherwise("review").alias("action"))
 
 
