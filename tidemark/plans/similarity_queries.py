@@ -30,8 +30,7 @@ def g14_story_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def g14_story_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Clusters of the pairs of .965 or more within 48 hours."""
-    t = _titles(spark, d)
-    p = Y.alike_pairs(cut(Y.tfidf(t, "id", Y.char_grams(F.col("title")))), t, 0.965, 2 * _DAY)
+    p = Y.alike_texts(_keys(_titles(spark, d)), Y.char_codes, 0.965, 2 * _DAY)
     return G.min_labels(p.select("a", "b"))
 
 
