@@ -34,7 +34,7 @@ def g22_story_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of articles that may tell one story: among the seven most alike titles of either within 72 hours, with an asset in common or one
     without assets, and whether they merge by themselves."""
     t = _titles(spark, d)
-    p = cut(Y.alike_pairs(cut(Y.tfidf(t, "id", Y.char_grams(F.col("title")))), t, 0.84, 3 * _DAY))
+    p = cut(Y.alike_texts(_keys(t), Y.char_codes, 0.84, 3 * _DAY))
     near = Y.nearest(p.select("a", "b", "cosine").unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine")), 7)
     kept = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cosine").dropDuplicates(["a", "b"])
     s, when = _assets(spark, d), t.select("id", "t")
