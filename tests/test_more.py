@@ -96,6 +96,24 @@ def test_likeness_shuffles_little(spark, name):
     assert 0 < shuffled(spark, lambda: query(spark, str(SMALL))) < 4 * (SMALL / "primary_source_events.parquet").stat().st_size
 
 
+def test_history_equals_all_pairs_and_shuffles_no_pairs(spark, monkeypatch):
+    day, rng = 86_400_000_000, random.Random(9)
+    rows = [(i, rng.randrange(-40 * day, 80 * day, day // 2), ["all", *rng.choices("abcdef", k=rng.randrange(0, 5))] if i % 9 else []) for i in range(150)]
+    words = {i: set(w) for i, _, w in rows}
+    want = {}
+    for i, t, _ in rows:
+        s = [(t - u, len(words[i] & words[k]) / len(words[i] | words[k])) for k, u, _ in rows if t - 30 * day <= u and (u, k) < (t, i) and words[i] & words[k]]
+        want[i] = (round(max([j for age, j in s if age <= 7 * day], default=0), 9), sum(j >= 0.5 and age <= 7 * day for age, j in s), sum(j >= 0.5 for _, j in s))
+    df = spark.createDataFrame(rows, "i bigint, t bigint, w array<string>")
+    whole = G.meetings
+    for most in (8192, 7):
+        monkeypatch.setattr(G, "meetings", lambda *a, most=most: whole(*a, most=most))
+        assert {r.id: (round(r.max_near, 9), r.similar_near, r.similar_all) for r in G.history_similarity(df, "i", "t", "w").collect()} == want
+    monkeypatch.setattr(G, "meetings", whole)
+    same = spark.range(1500).selectExpr("id AS i", "id AS t", "array('one', string(id % 50)) AS w")
+    assert shuffled(spark, lambda: G.history_similarity(same, "i", "t", "w")) < 1_000_000
+
+
 def test_titles(spark):
     df = spark.createDataFrame([("A title", "A title"), ("A title of it", "A title of its"), ("One", "Other"), (None, "x")], "a string, b string")
     out = df.select(T.drift(F.col("a"), F.col("b"), F.lit(0.0), T.sequence_ratio("a", "b"))).collect()

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators.ordered import previous, running
-from tidemark.operators.windowed import runs
-from tidemark.plans.cut import cut
+from tidemark.operators.windowed import expanded, meetings, met, runs, slices
+from tidemark.plans.cut import cut, small
 
 #: Microseconds of a day, the bucket of times.
 DAY_US = 86_400_000_000
@@ -104,22 +104,81 @@ def upsert_changed(stored: DataFrame, new: DataFrame, key: str, digest: str) ->
 def history_similarity(rows: DataFrame, ident: str, t: str, tokens: str, days: int = 30, near_days: int = 7) -> DataFrame:
     """(id, max_near, similar_near, similar_all): likeness of each row's tokens to those of earlier rows.
 
-    Token Jaccard against rows of the ``days`` before; the largest within ``near_days``, and how many reach 0.5 within either. Rows are joined
-    on shared tokens within day blocks, so rows without a common token, which can't be alike, never meet; token counts give the sizes.
+    Token Jaccard against rows of the ``days`` before; the largest within ``near_days``, and how many reach 0.5 within either. Rows travel once
+    with the hashes of their tokens to the cells of their time (``meetings``), where common tokens are counted; of pairs nothing but each
+    row's figures leaves a task. An id has one row.
     """
-    day = 86_400_000_000
-    r = rows.select(F.col(ident).alias("id"), F.col(t).alias("t"), F.array_distinct(tokens).alias("w")).where("t IS NOT NULL").withColumn("n", F.size("w"))
-    x = r.select("id", "t", "n", F.explode("w").alias("w"))
-    blk = F.floor(F.col("t") / (days * day))
-    a = x.withColumn("blk", blk).select(F.col("id").alias("a"), F.col("t").alias("ta"), F.col("n").alias("na"), "w", F.explode(F.array("blk", F.col("blk") - 1)).alias("blk"))
-    b = x.withColumn("blk", blk).select(F.col("id").alias("b"), F.col("t").alias("tb"), F.col("n").alias("nb"), "w", "blk")
-    met = a.join(b, ["w", "blk"]).where(F.col("tb").between(F.col("ta") - days * day, F.col("ta")) & ((F.col("tb") < F.col("ta")) | (F.col("b") < F.col("a"))))
-    s = met.groupBy("a", "b", "ta", "tb", "na", "nb").agg(F.count("*").alias("c")).select("a", (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("j"), (F.col("ta") - F.col("tb") <= near_days * day).alias("near"))
-    g = s.groupBy(F.col("a").alias("id")).agg(F.max(F.when(F.col("near"), F.col("j"))).alias("m"), F.count_if(F.col("near") & (F.col("j") >= 0.5)).alias("k7"), F.count_if(F.col("j") >= 0.5).alias("k30"))
+    reach, near = days * DAY_US, near_days * DAY_US
+    r = cut(rows.select(F.col(ident).alias("id"), F.col(t).alias("t"), F.array_distinct(tokens).alias("w")).where("t IS NOT NULL"))
+    hashed = F.transform(F.filter("w", lambda x: x.isNotNull()), lambda x: F.xxhash64(x))
+    x = r.where(F.size("w") > 0).select("id", "t", F.size("w").alias("n"), hashed.alias("w"))
+
+    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for left, right in met(batches):
+            if right is None:
+                here, index = left, _token_index(left["w"])
+            yield _history(here, index, here if right is None else right, right is None, reach, near)
+
+    kind = dict(r.dtypes)["id"]
+    s = meetings(x, "id", "t", reach).mapInPandas(told, f"id {kind}, m double, k7 bigint, k30 bigint")
+    g = s.groupBy("id").agg(F.max("m").alias("m"), F.sum("k7").alias("k7"), F.sum("k30").alias("k30"))
     zero = F.lit(0).cast("bigint")
     return r.select("id").join(g, "id", "left").select("id", F.coalesce("m", F.lit(0.0)).alias("max_near"), F.coalesce("k7", zero).alias("similar_near"), F.coalesce("k30", zero).alias("similar_all"))
 
 
+def _tokens(w: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """(row, token) of all rows' tokens."""
+    count = np.array([len(x) for x in w], dtype=np.int64)
+    return np.repeat(np.arange(len(count)), count), np.concatenate(w.tolist()).astype(np.int64)
+
+
+def _token_index(w: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens of some rows in order, where the rows of each begin and how many they are, and the rows."""
+    row, token = _tokens(w)
+    known, which = np.unique(token, return_inverse=True)
+    count = np.bincount(which, minlength=len(known))
+    return known, np.cumsum(count) - count, count, row[np.argsort(which, kind="stable")]
+
+
+def _history(a: pd.DataFrame, index: tuple, b: pd.DataFrame, same: bool, reach: int, near: int) -> pd.DataFrame:
+    """(id, m, k7, k30) of the later row of each two of ``a`` (indexed) and ``b`` that share a token, over all of these."""
+    known, start, count, rows = index
+    row, token = _tokens(b["w"])
+    at = np.minimum(np.searchsorted(known, token), max(len(known) - 1, 0))
+    hit = known[at] == token if len(known) else np.zeros(len(token), dtype=bool)
+    row, at = row[hit], at[hit]
+    first = np.searchsorted(row, np.arange(len(b) + 1))
+    (ia, ta, na), (ib, tb, nb) = ([x[c].to_numpy() for c in ("id", "t", "n")] for x in (a, b))
+    size = len(a)
+    m, k7, k30 = (np.zeros((2, max(size, len(b))), dtype=k) for k in (np.float64, np.int64, np.int64))  # those of a, those of b
+    for s, e in slices(size + np.bincount(row, count[at], len(b)).astype(np.int64), 4_000_000):
+        part = slice(first[s], first[e])
+        which, place = expanded(start[at[part]], count[at[part]])
+        common = np.bincount((row[part] - s)[which] * size + rows[place], minlength=(e - s) * size)
+        pair = np.flatnonzero(common)
+        y, x = np.divmod(pair, size)
+        y += s
+        age = ta[x] - tb[y]
+        ok = np.abs(age) <= reach
+        if same:
+            ok &= ia[x] < ib[y]
+        pair, x, y, age = pair[ok], x[ok], y[ok], age[ok]
+        c = common[pair]
+        j = c / (na[x] + nb[y] - c)
+        of_a = (age > 0) | ((age == 0) & (ib[y] < ia[x]))
+        for k, (who, later) in enumerate(((x, of_a), (y, ~of_a))):
+            if same and k:
+                k = 0
+            who, jj, close = who[later], j[later], np.abs(age[later]) <= near
+            np.maximum.at(m[k], who[close], jj[close])
+            k7[k] += np.bincount(who[close & (jj >= 0.5)], minlength=m.shape[1])
+            k30[k] += np.bincount(who[jj >= 0.5], minlength=m.shape[1])
+    sides = [(0, ia)] if same else [(0, ia), (1, ib)]
+    out = [pd.DataFrame({"id": i, "m": m[k, : len(i)], "k7": k7[k, : len(i)], "k30": k30[k, : len(i)]}) for k, i in sides]
+    out = pd.concat(out)
+    return out[(out["m"] > 0) | (out["k30"] > 0)]
+
+
 def alike_titles(rows: DataFrame, ident: str, tokens: str, least: float) -> DataFrame:
     """(a, b, j): pairs of rows whose distinct tokens have a Jaccard of at least ``least``, by prefix filter.
 

@@ -37,8 +37,8 @@ def g14_story_clusters(spark: SparkSession, d: str) -> DataFrame:
 def g16_primary_media(spark: SparkSession, d: str) -> DataFrame:
     """For each article of an official source the most alike media article within 7 days, if the cosine is .35 or more."""
     t = _titles(spark, d)
-    sides = t.where("source_type IN ('regulator', 'media')").select("id", F.when(F.col("source_type") == "regulator", "a").otherwise("b").alias("side"))
-    p = Y.alike_pairs(cut(Y.tfidf(t, "id", Y.word_grams(F.col("title")))), t, 0.35, 7 * _DAY, sides)
+    side = F.when(F.col("source_type") == "regulator", "a").when(F.col("source_type") == "media", "b")
+    p = Y.alike_texts(_keys(t.withColumn("side", side), "side"), Y.word_codes, 0.35, 7 * _DAY, sided=True)
     return Y.nearest(p, 1).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
