@@ -114,6 +114,14 @@ def test_history_equals_all_pairs_and_shuffles_no_pairs(spark, monkeypatch):
     assert shuffled(spark, lambda: G.history_similarity(same, "i", "t", "w")) < 1_000_000
 
 
+def test_alike_titles_shuffle_no_pairs(spark):
+    rows = [(i, [*random.Random(i).sample("abcdefghijklmnop", 7), *random.Random(i).sample("qrstuvwxyz", 3)]) for i in range(1500)]
+    df = spark.createDataFrame(rows, "i bigint, w array<string>")
+    want = sum(len({*x} & {*y}) >= 0.8 * len({*x} | {*y}) for a, x in rows for b, y in rows if a < b)
+    assert shuffled(spark, lambda: G.alike_titles(df, "i", "w", 0.8)) < 3_000_000
+    assert G.alike_titles(df, "i", "w", 0.8).distinct().count() == G.alike_titles(df, "i", "w", 0.8).count() == want
+
+
 def test_titles(spark):
     df = spark.createDataFrame([("A title", "A title"), ("A title of it", "A title of its"), ("One", "Other"), (None, "x")], "a string, b string")
     out = df.select(T.drift(F.col("a"), F.col("b"), F.lit(0.0), T.sequence_ratio("a", "b"))).collect()

@@ -180,22 +180,28 @@ def _history(a: pd.DataFrame, index: tuple, b: pd.DataFrame, same: bool, reach:
 
 
 def alike_titles(rows: DataFrame, ident: str, tokens: str, least: float) -> DataFrame:
-    """(a, b, j): pairs of rows whose distinct tokens have a Jaccard of at least ``least``, by prefix filter.
+    """(a, b, j): pairs of rows whose distinct tokens have a Jaccard of at least ``least``, by prefix filter. An id has one row.
 
-    Tokens are put in the order of their rarity; two sets that alike must share one of the first n - ceil(least * n) + 1, so only those are
-    joined, and the pairs are verified on the whole sets. Sets whose sizes rule the threshold out never meet.
+    Tokens are put in the order of their rarity. Of two sets of which at least c tokens must be common, both have the first two common ones
+    among their first n - c + 2, so they are joined on these two; where one common token may be enough, on the first of n - c + 1. A pair
+    meets under all that it shares but is kept only under its first, and is verified where it meets, so no pairs are shuffled.
     """
     r = rows.select(F.col(ident).alias("id"), F.array_distinct(tokens).alias("w")).where(F.size("w") > 0)
     x = r.select("id", F.explode("w").alias("w"))
-    rarity = x.groupBy("w").agg(F.count("*").alias("df"))
-    ordered = x.join(rarity, "w").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("s")).select("id", F.transform("s", lambda y: y["w"]).alias("w"))
-    ordered = cut(ordered.withColumn("n", F.size("w")))
-    prefix = ordered.select("id", "n", F.explode(F.slice("w", 1, F.col("n") - F.ceil(F.col("n") * F.lit(least)).cast("int") + 1)).alias("p"))
-    a, b = (prefix.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), "p") for k in ("a", "b"))
-    met = a.join(b, "p").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(least))).select("a", "b").distinct()
-    wa, wb = (ordered.select(F.col("id").alias(k), F.col("w").alias(f"w{k}")) for k in ("a", "b"))
-    v = met.join(wa, "a").join(wb, "b").withColumn("c", F.size(F.array_intersect("wa", "wb")))
-    return v.select("a", "b", (F.col("c") / (F.size("wa") + F.size("wb") - F.col("c"))).alias("j")).where(F.col("j") >= least)
+    rarity = cut(x.groupBy("w").agg(F.count("*").alias("df")))
+    ordered = x.join(small(rarity), "w").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", F.xxhash64("w").alias("w")))).alias("s")).select("id", F.transform("s", lambda y: y["w"]).alias("w"))
+    n, alone = F.size("w"), F.lit(0).cast("bigint")
+    must = F.greatest(F.ceil(n * F.lit(least) - 1e-9).cast("int"), F.lit(1))
+    two = F.slice("w", 1, F.least(n, n - must + 2))
+    pairs = F.flatten(F.transform(two, lambda p, i: F.transform(F.slice(two, i + 2, F.size(two)), lambda q: F.xxhash64(p, q))))
+    one = F.when(must == 1, F.transform("w", lambda p: F.xxhash64(p, alone))).otherwise(F.array().cast("array<bigint>"))
+    keyed = ordered.select("id", "w", F.explode(F.array_distinct(F.concat(pairs, one))).alias("key")).repartition("key")
+    a, b = (keyed.select(F.col("id").alias(k), F.col("w").alias(f"w{k}"), "key") for k in ("a", "b"))
+    na, nb, common = F.size("wa"), F.size("wb"), F.array_intersect("wa", "wb")
+    near = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.least(na, nb) >= F.greatest(na, nb) * F.lit(least) - 1e-9)).withColumn("common", common)
+    c = F.size("common")
+    under = F.xxhash64(F.col("common")[0], F.when(c > 1, F.try_element_at("common", F.lit(2))).otherwise(alone))
+    return near.where(F.col("key") == under).select("a", "b", (c / (na + nb - c)).alias("j")).where(F.col("j") >= least)
 
 
 def ledger(batch: DataFrame, stored: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
