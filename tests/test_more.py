@@ -90,7 +90,7 @@ def shuffled(spark, df):
 
 
 @pytest.mark.skipif(not SMALL.exists(), reason="no test tables")
-@pytest.mark.parametrize("name", ["g14_stories", "g14_story_pairs", "g14_story_clusters", "g22_story_candidates"])
+@pytest.mark.parametrize("name", ["g14_stories", "g14_story_pairs", "g14_story_clusters", "g22_story_candidates", "g16_primary_media"])
 def test_likeness_shuffles_little(spark, name):
     query = importlib.import_module("__spark_entry__").queries()[name]
     assert 0 < shuffled(spark, lambda: query(spark, str(SMALL))) < 4 * (SMALL / "primary_source_events.parquet").stat().st_size
