@@ -33,7 +33,7 @@ SKETCH, CARRIED = 256, 128
 FAR_CARRIED, FAR = 51, 97
 #: Records whose links in one bucket are all looked for at once; a larger bucket goes through its first record first.
 BUCKET = 4096
-#: Rows up to which such a bucket is then compared by blocks; in a larger one records must meet in a second table.
+#: Rows up to which such a bucket is then compared by blocks at once; in a larger one records that meet in a second table come first.
 BLOCKS = 16 * BUCKET
 #: Records of an anchor beyond which its buckets are split over tasks.
 HOT = 50_000
@@ -305,8 +305,8 @@ def near_copy_groups(records: DataFrame, n: int = 3, least: float = 0.5, bucket:
     sequences and stays alone. NULL titles and bodies count as empty. Of repeated rows of a record the one with the smallest text hash counts.
     Exact copies are collapsed first, so a group of copies of any size is one text. Buckets of anchors that very many records have are split
     over tasks and joined by their first record. A bucket of more than ``bucket`` texts is linked through its first text; those of its
-    texts that are then still in different groups are compared by blocks or, in a bucket of more than ``blocks``, where they meet in a
-    second table as well.
+    texts that are then still in different groups are compared by blocks; in a bucket of more than ``blocks`` first those that meet in a
+    second table as well, then what this leaves in different groups.
     """
     narrow = records.select("record_id", "title", "body").where("record_id IS NOT NULL")
     numbers = [f"c{k}" for k in range(SKETCH // 64)]
@@ -398,6 +398,10 @@ def near_copy_groups(records: DataFrame, n: int = 3, least: float = 0.5, bucket:
                 links = cut(links.union(linked(cut(more.distinct()))).distinct())
                 groups = components(links).withColumnsRenamed({"node": "id", "component": "group_id"})
                 more = across(unsettled(finer, large))
+            # Not all that is alike meets in a second table: what is in different groups even now is compared by blocks as well.
+            links = cut(links.union(linked(cut(more.distinct()))).distinct())
+            groups = components(links).withColumnsRenamed({"node": "id", "component": "group_id"})
+            more = across(unsettled(rows, huge.select(F.col("key").alias("a"))))
         links = cut(links.union(linked(cut(more.distinct()))).distinct())
         groups = components(links).withColumnsRenamed({"node": "id", "component": "group_id"})
     least_id = groups.groupBy("group_id").agg(F.min("id").alias("least"))
