@@ -12,6 +12,7 @@ from tidemark.operators import quality as Q
 from tidemark.operators import reactions as R
 from tidemark.operators import similarity as Y
 from tidemark.operators import stats as L
+from tidemark.operators.windowed import meetings
 
 SMALL = Path("/root/testdata/sf0.01")
 
@@ -96,6 +97,25 @@ def test_likeness_shuffles_little(spark, name):
     assert 0 < shuffled(spark, lambda: query(spark, str(SMALL))) < 4 * (SMALL / "primary_source_events.parquet").stat().st_size
 
 
+def test_best_partner_equals_nearest_of_all_pairs(spark):
+    rng = random.Random(6)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "t1"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 5))), rng.randrange(-300, 900), rng.choice(["a", "b", "b", None])) for i in range(80)]
+    df = spark.createDataFrame(rows, "id bigint, k string, t bigint, side string")
+    want = {(r.a, r.b, round(r.cosine, 9)) for r in Y.nearest(Y.alike_texts(df, Y.word_codes, 0.35, 150, True), 1).collect()}
+    for cell in (5, 1000):
+        assert {(r.a, r.b, round(r.cosine, 9)) for r in Y.nearest(Y.alike_texts(df, Y.word_codes, 0.35, 150, True, cell, best=True), 1).collect()} == want != set()
+    same = spark.range(2000).selectExpr("id", "'one title of all' AS k", "id AS t", "IF(id % 2 = 0, 'a', 'b') AS side")
+    assert [(r.a, r.b) for r in Y.alike_texts(same, Y.word_codes, 0.35, 5000, True, best=True).orderBy("a").collect()] == [(i, 1) for i in range(0, 2000, 2)]
+
+
+def test_rows_of_side_b_go_to_the_cells_of_side_a_only(spark):
+    rows = spark.range(1000).selectExpr("id", "5L AS t", "IF(id % 10 = 0, 'a', 'b') AS side")
+    sent = meetings(rows, "id", "t", 100, True, 50).groupBy("blk", "p", "cell").agg(F.count("*").alias("n"), F.count_if(F.expr("side = 'a'")).alias("a")).collect()
+    assert sum(r.n for r in sent) <= 100 + 900 * 4
+    assert sum(r.a for r in sent) == 100 and len({(r.blk, r.p) for r in sent if r.a}) == 2
+
+
 def test_history_equals_all_pairs_and_shuffles_no_pairs(spark, monkeypatch):
     day, rng = 86_400_000_000, random.Random(9)
     rows = [(i, rng.randrange(-40 * day, 80 * day, day // 2), ["all", *rng.choices("abcdef", k=rng.randrange(0, 5))] if i % 9 else []) for i in range(150)]

@@ -167,7 +167,17 @@ class _Vectors:
             yield here, there + s
 
 
-def alike_texts(rows: DataFrame, grams: Codes, least: float, within_us: int, sided: bool = False, cell: int = CELL) -> DataFrame:
+def _best(a: np.ndarray, cosine: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs of each a those that may be first in ``nearest``: as far as cosines differ by rounding only, the smallest b of each cosine."""
+    order = np.lexsort((b, -cosine, a))
+    a, cosine, b = a[order], cosine[order], b[order]
+    new = np.append(True, a[1:] != a[:-1])[: len(a)]
+    top = cosine[np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))] if len(a) else cosine
+    keep = (new | np.append(True, cosine[1:] != cosine[:-1])[: len(a)]) & (cosine >= top - 2e-9)
+    return a[keep], cosine[keep], b[keep]
+
+
+def alike_texts(rows: DataFrame, grams: Codes, least: float, within_us: int, sided: bool = False, cell: int = CELL, best: bool = False) -> DataFrame:
     """(a, b, cosine): ids of ``rows`` (id, t, text key ``k``) whose TF-IDF vectors have a cosine of at least ``least`` and whose times are at most
     ``within_us`` apart; a < b, or a and b on the sides 'a' and 'b' of the column ``side`` (NULL: on none). An id has one row.
 
@@ -175,7 +185,11 @@ def alike_texts(rows: DataFrame, grams: Codes, least: float, within_us: int, sid
     (``meetings``), where their vectors are made. There the rarest grams of a text, without which the rest is too short, are looked up in the
     others; a pair is computed whole if that and the length of the rest could be enough, so no pair is lost. The frequencies of the grams that
     several texts have are held by each task; character n-grams are a bounded number, others as many as the language has.
+
+    best, with sided: only what ``nearest`` needs for the best partner of each a. All partners of an a come to one task, which keeps no others.
     """
+    if best and not sided:
+        raise ValueError("best needs sides")
     rows = rows.distinct()
     spark = rows.sparkSession
 
@@ -199,8 +213,17 @@ def alike_texts(rows: DataFrame, grams: Codes, least: float, within_us: int, sid
 
     def paired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         here, own = None, None
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def kept() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            return _best(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
         for left, right in met(batches):
             if right is None:
+                if held:
+                    yield pd.DataFrame(dict(zip(("a", "cosine", "b"), kept(), strict=True)))[["a", "b", "cosine"]]
+                    held, size = [], 0
                 here, own = left, _Vectors(left["k"].tolist(), grams, vocabulary.value, total)
                 own.index(least / 2)
                 if sided:
@@ -214,9 +237,18 @@ def alike_texts(rows: DataFrame, grams: Codes, least: float, within_us: int, sid
                 cosine = own.dots(x, other, y)
                 enough = cosine >= least
                 a, b = ia[x[enough]], ib[y[enough]]
+                if best:
+                    held.append((a, cosine[enough], b))
+                    size += len(a)
+                    if size > 1_000_000:
+                        held = [kept()]
+                        size = 0
+                    continue
                 if not sided:
                     a, b = np.minimum(a, b), np.maximum(a, b)
                 yield pd.DataFrame({"a": a, "b": b, "cosine": cosine[enough]})
+        if held:
+            yield pd.DataFrame(dict(zip(("a", "cosine", "b"), kept(), strict=True)))[["a", "b", "cosine"]]
 
     kind = dict(rows.dtypes)["id"]
     if sided:

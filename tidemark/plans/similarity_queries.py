@@ -38,7 +38,7 @@ def g16_primary_media(spark: SparkSession, d: str) -> DataFrame:
     """For each article of an official source the most alike media article within 7 days, if the cosine is .35 or more."""
     t = _titles(spark, d)
     side = F.when(F.col("source_type") == "regulator", "a").when(F.col("source_type") == "media", "b")
-    p = Y.alike_texts(_keys(t.withColumn("side", side), "side"), Y.word_codes, 0.35, 7 * _DAY, sided=True)
+    p = Y.alike_texts(_keys(t.withColumn("side", side), "side"), Y.word_codes, 0.35, 7 * _DAY, sided=True, best=True)
     return Y.nearest(p, 1).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
