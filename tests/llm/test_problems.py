@@ -76,6 +76,41 @@ def test_a_rare_line_is_aligned_among_its_own_pages(spark):
     assert {tuple(r) for r in wrappers.boilerplate(records(spark, rows)).collect()} == {(i, 5) for i in range(7, 3000, 300)}
 
 
+@pytest.mark.parametrize("part", [4096, 40])
+def test_a_rare_line_is_aligned_with_all_pages_that_have_it(spark, monkeypatch, part):
+    """Of 308 pages with a line 300 tell what each of the others tells a half of; only four of one half and four of the other are evidence, and
+    they are hardly ever neighbours. Two and two are too few.
+    """
+    monkeypatch.setattr(wrappers, "PART", part)
+    spell = str.maketrans("0123456789", "abcdefghij")
+    unlike = lambda i, n=4: "\n".join(f"Nothing{i}x{k} like{i}x{k} this{i}x{k} was{i}x{k} seen{i}x{k} before{i}x{k}." for k in range(n)).translate(spell)
+    rows = [(i, "own", None, None, unlike(i)) for i in range(3000)]
+    for at, whole, half, line in ((4000, 300, 4, "A notice that few pages of this site have. It is long."), (5000, 30, 2, "Another notice of very few pages. It is long as well.")):
+        texts = [unlike(at) + "\n" + unlike(at + 500)] * whole + [unlike(at)] * half + [unlike(at + 500)] * half
+        rows += [(at + k, "own", None, None, unlike(at + 5000 + k, 1) + "\n" + t + "\n" + line) for k, t in enumerate(texts)]
+    assert {tuple(r) for r in wrappers.boilerplate(records(spark, rows)).collect()} == {(4000 + k, 10 if k < 300 else 6) for k in range(308)}
+
+
+def test_evidence_equals_alignment_of_all_pairs(monkeypatch):
+    monkeypatch.setattr(wrappers, "RARE", 10**9)
+    rng = random.Random(8)
+    bodies = ["\n".join(rng.sample([f"line {'abcdefghijklmnopqrst'[k] * 9}" for k in range(20)], rng.randrange(1, 9))) for _ in range(150)]
+    batch = wrappers.pd.DataFrame({"record_id": range(150), "src": 1, "title": None, "author": None, "body": bodies})
+    pages = list(dict.fromkeys(next(wrappers.encode(iter([batch])))["nodes"]))
+    label = wrappers.decode(pages[0])[1][0]
+    pages = [p for p in pages if label in wrappers.decode(p)[1]]
+    want = {False: set(), True: set()}
+    for x, y in itertools.combinations(range(len(pages)), 2):
+        a, b = wrappers._Page(pages[y]), wrappers._Page(pages[x])
+        wrappers.match(a, b)
+        for own in (True, False):
+            if label in a.matched and (own or x % 3 != y % 3):
+                want[own] |= {x, y}
+    assert want[True]
+    for own in (True, False):
+        assert set(wrappers.evidence(pages, [1] * len(pages), [k % 3 for k in range(len(pages))], label, own)) == want[own]
+
+
 def test_paths_and_bylines_need_other_pages(spark):
     """A line with the page's own title or author is template only if other pages of the site have it, with their titles and authors, in the same frame."""
     rng = random.Random(21)
